@@ -5,43 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Creation stamp as it stands in the raw text, and the strict forms.
-STAMP = r"\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2}"
-_DAY_TIME = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})\s+(\d{1,2}):(\d{1,2})$"
-_DAY = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
-_ISO_DAY = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-_EXACT = r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}$"
+# The whole-string layouts.
+DAY_TIME = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})\s+(\d{1,2}):(\d{1,2})\z"
+DAY = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})\z"
+ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}\z"
+EXACT = r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}\z"
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
+# The stamp anywhere in a text, and the whole-string layouts, to year first. Year 0 is
+# left as it is, which no cast accepts.
+_ANYWHERE = r"(?s)^.*?(\d{2})\.(\d{2})\.(?!0000)(\d{4})\s+(\d{2}:\d{2}).*$"
+_WHOLE = r"^(\d+)\.(\d+)\.(?!0000)(\d+)(?:\s+(\d+:\d+))?\z"
+_YEAR_FIRST = "$3-$2-$1 $4"
 
-def _wall_clock(iso: Column) -> Column:
-    return F.when(~iso.startswith("0000"), iso.try_cast("timestamp_ntz"))
 
+def first_stamp(raw: Column) -> Column:
+    """First ``dd.MM.yyyy HH:mm`` anywhere in the text: the creation time, edited or not.
 
-def _from_stamp(stamp: Column) -> Column:
-    """``dd.MM.yyyy ... HH:mm`` of known layout, cut by position."""
-    day, month, year = F.substring(stamp, 1, 2), F.substring(stamp, 4, 2), F.substring(stamp, 7, 4)
-    return _wall_clock(F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), F.right(stamp, F.lit(5))))
+    One regex finds and turns the stamp; a text that it leaves unchanged has none.
+    """
+    return F.nullif(F.regexp_replace(raw, _ANYWHERE, _YEAR_FIRST), raw).try_cast("timestamp_ntz")
 
 
-def first_stamp(raw: Column) -> Column:
-    """First ``dd.MM.yyyy HH:mm`` anywhere in the text: the creation time, edited or not."""
-    stamp = F.regexp_extract(raw, STAMP, 0)
-    return F.when(stamp != "", _from_stamp(stamp))
+def _wall_clock(stamp: Column) -> Column:
+    return F.regexp_replace(stamp, _WHOLE, _YEAR_FIRST).try_cast("timestamp_ntz")
 
 
 def multi_format(raw: Column) -> Column:
     """Whole-string parse; the first of three layouts that fits."""
-    return (
-        F.when(raw.rlike(_DAY_TIME), _wall_clock(F.regexp_replace(raw, _DAY_TIME, "$3-$2-$1 $4:$5")))
-        .when(raw.rlike(_DAY), _wall_clock(F.regexp_replace(raw, _DAY, "$3-$2-$1")))
-        .when(raw.rlike(_ISO_DAY), _wall_clock(raw))
-    )
+    known = raw.rlike(f"{DAY_TIME}|{DAY}|{ISO_DAY}") & ~raw.startswith("0000")
+    return F.when(known, _wall_clock(raw))
 
 
 def strict_stamp(raw: Column) -> Column:
     """Whole-string ``dd.MM.yyyy HH:mm`` only."""
-    return F.when(raw.rlike(_EXACT), _from_stamp(raw))
+    return F.when(raw.rlike(EXACT), _wall_clock(raw))
+
+
+def first_stamp_sql(raw: str) -> str:
+    """``first_stamp`` as SQL text."""
+    turned = f"regexp_replace({raw}, r'{_ANYWHERE}', '{_YEAR_FIRST}')"
+    return f"try_cast(nullif({turned}, {raw}) AS TIMESTAMP_NTZ)"
 
 
 PARSERS = {"first": first_stamp, "multi": multi_format, "strict": strict_stamp}

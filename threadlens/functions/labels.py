@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadlens import config
-from threadlens.functions.text import strip_blank
+from threadlens.functions.text import bind, strip_blank
 
 
 def clean_topics(
@@ -23,26 +23,19 @@ def clean_topics(
         F.transform(F.coalesce(topics, F.array().cast("array<string>")), strip_blank),
         lambda c: c.isin(allowed),
     )
-    return F.when(F.size(kept) > 0, F.slice(kept, 1, most)).otherwise(F.array(F.lit(default)))
-
-
-def in_scale(score: Column) -> Column:
-    """A sentiment code inside the scale, else the neutral one."""
-    ok = score.between(config.SENTIMENT_MIN, config.SENTIMENT_MAX)
-    return F.when(ok, score).otherwise(F.lit(config.SENTIMENT_DEFAULT)).cast("int")
+    return bind(kept, lambda k: F.when(F.size(k) > 0, F.slice(k, 1, most)).otherwise(F.array(F.lit(default))))
 
 
 def sentiment_code(value: Column) -> Column:
-    """Sentiment given as a variant: numbers are truncated, whole-number strings read, the rest is neutral."""
-    kind = F.schema_of_variant(value)
-    text = strip_blank(F.try_variant_get(value, "$", "string"))
+    """Sentiment given as a variant: numbers are truncated, whole-number strings read.
+
+    Anything else, and anything off the scale, becomes the neutral code.
+    """
     number = F.try_variant_get(value, "$", "double")
-    whole = (
-        F.when(kind == "STRING", F.when(text.rlike(r"^[+-]?\d{1,9}$"), text.try_cast("int")))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int"))
-        .when(number.between(-1e9, 1e9), number.cast("int"))
-    )
-    return in_scale(whole)
+    whole = F.try_variant_get(value, "$", "string").rlike(r"^\s*[+-]?\d{1,9}\s*$")
+    usable = (F.schema_of_variant(value) != "STRING") | whole
+    on_scale = (number >= config.SENTIMENT_MIN) & (number < config.SENTIMENT_MAX + 1)
+    return F.when(usable & on_scale, number.cast("int")).otherwise(F.lit(config.SENTIMENT_DEFAULT))
 
 
 def sentiment_bin(score: Column) -> Column:

@@ -3,24 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import WORD_START
+from threadlens.functions.text import WORD_START, fold_case, fold_word
 
+_REGEX_SIGNS = frozenset("\\.^$*+?{}[]|()")
 
-def alternation(stems: str | Iterable[str], at_word_start: bool = False) -> str:
-    """One case-insensitive regex that matches any of the given patterns."""
+
+def _as_list(stems: str | Iterable[str]) -> list[str]:
     parts = [stems] if isinstance(stems, str) else list(stems)
     if not parts:
         raise ValueError("a lexicon entry needs at least one pattern")
-    return "(?iu)" + (WORD_START if at_word_start else "") + "(?:" + "|".join(parts) + ")"
+    return parts
+
+
+def _is_plain(stem: str) -> bool:
+    return not _REGEX_SIGNS.intersection(stem)
+
+
+def alternation(stems: str | Iterable[str], at_word_start: bool = False) -> str:
+    """One case-insensitive regex that matches any of the given patterns."""
+    return "(?iu)" + (WORD_START if at_word_start else "") + "(?:" + "|".join(_as_list(stems)) + ")"
 
 
 def matches(text: Column, stems: str | Iterable[str], at_word_start: bool = False) -> Column:
-    """True where the text holds a pattern; false, not null, on null text."""
-    return F.coalesce(text.rlike(alternation(stems, at_word_start)), F.lit(False))
+    """True where the text holds a pattern, ignoring case; false, not null, on null text.
+
+    Plain stems are searched as substrings of the folded text, which all flags of one
+    projection share; stems with regex signs go into one alternation. A word-start
+    condition is only tested on texts that hold the stem at all.
+    """
+    parts = _as_list(stems)
+    plain = [fold_word(p) for p in parts if _is_plain(p)]
+    regexes = [p for p in parts if not _is_plain(p)]
+    folded = fold_case(text)
+    tests = [folded.contains(p) for p in plain]
+    if plain and at_word_start:
+        tests = [reduce(or_, tests) & folded.rlike(WORD_START + "(?:" + "|".join(plain) + ")")]
+    if regexes:
+        tests.append(text.rlike(alternation(regexes, at_word_start)))
+    return F.coalesce(reduce(or_, tests), F.lit(False))
+
+
+def match_sql(column: str, stems: str | Iterable[str], at_word_start: bool = False) -> str:
+    """``matches`` as SQL text, by regex alone."""
+    return f"coalesce(rlike({column}, r'{alternation(stems, at_word_start)}'), false)"
 
 
 def flag_columns(text: Column, lexicon: Mapping[str, str | Iterable[str]], prefix: str = "") -> list[Column]:

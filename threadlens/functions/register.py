@@ -7,13 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import SparkSession
 
 from threadlens import config
-from threadlens.functions.dates import STAMP
-from threadlens.functions.patterns import alternation
-from threadlens.functions.text import SLUG_LENGTH, SLUG_LETTERS
-
-
-def _quoted(text: str) -> str:
-    return "r'" + text.replace("'", "\\'") + "'"
+from threadlens.functions.dates import first_stamp_sql
+from threadlens.functions.patterns import match_sql
+from threadlens.functions.text import BLANKS, SLUG_LENGTH, SLUG_LETTERS
 
 
 def register_functions(
@@ -22,21 +18,15 @@ def register_functions(
     topics: Iterable[str] = config.TOPIC_CODES,
 ) -> list[str]:
     """Create ``parse_first_stamp``, ``slug``, ``clean_topics`` and ``mention_group`` for this session."""
-    stamp = f"regexp_extract(raw, {_quoted(STAMP)}, 0)"
-    iso = (
-        f"concat(substring({stamp}, 7, 4), '-', substring({stamp}, 4, 2), '-', substring({stamp}, 1, 2), ' ',"
-        f" right({stamp}, 5))"
-    )
     codes = ", ".join(f"'{t}'" for t in topics)
     whens = " ".join(
-        f"WHEN rlike(content, {_quoted(alternation(stems, at_word_start=True))}) THEN '{name}'"
+        f"WHEN {match_sql('content', stems, at_word_start=True)} THEN '{name}'"
         for name, stems in mention_stems
     )
-    kept = f"filter(transform(topics, t -> trim(t)), t -> t IN ({codes}))"
+    blanks = "".join(f"\\u{ord(b):04x}" for b in BLANKS)
+    kept = f"filter(transform(topics, t -> trim(BOTH '{blanks}' FROM t)), t -> t IN ({codes}))"
     bodies = {
-        "parse_first_stamp": ("raw STRING", "TIMESTAMP_NTZ",
-                              f"CASE WHEN {stamp} <> '' AND substring({stamp}, 7, 4) <> '0000'"
-                              f" THEN try_cast({iso} AS TIMESTAMP_NTZ) END"),
+        "parse_first_stamp": ("raw STRING", "TIMESTAMP_NTZ", first_stamp_sql("raw")),
         "slug": ("title STRING", "STRING",
                  f"left(coalesce(nullif(trim(BOTH '_' FROM regexp_replace(title, '[^{SLUG_LETTERS}]+', '_')), ''),"
                  f" 'untitled'), {SLUG_LENGTH})"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ WORD_CLASS = r"[\p{L}\p{N}_]"
 WORD = WORD_CLASS + "+"
 # Position that no word character precedes, for any script.
 WORD_START = rf"(?<!{WORD_CLASS})"
-# Every white space of Unicode, with the four ASCII separators.
-_BLANK = r"[\s\x1c-\x1f]"
+# The characters that count as white space around a text.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Letters kept in title words and in slugs.
 TITLE_LETTERS = "a-zçğıöşüİĞÜŞÖÇ"
@@ -21,7 +26,7 @@ SNIPPET_LENGTH = 150
 
 
 def strip_blank(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -29,6 +34,24 @@ def blank_to_null(text: Column) -> Column:
     return F.when(F.length(stripped) > 0, stripped)
 
 
+# Letters that match an ``i`` or ``s`` of any case and that lower-casing alone leaves apart.
+_CASE_PAIRS = (("İ", "i"), ("ı", "i"), ("ſ", "s"))
+
+
+def fold_case(text: Column) -> Column:
+    """Key under which texts that differ only in case are equal, dotted and dotless i included."""
+    for letter, plain in _CASE_PAIRS:
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
+def fold_word(word: str) -> str:
+    """``fold_case`` of a driver-side string."""
+    for letter, plain in _CASE_PAIRS:
+        word = word.replace(letter, plain)
+    return word.lower()
+
+
 def lower_key(text: Column) -> Column:
     return F.lower(text)
 
@@ -50,10 +73,19 @@ def title_words(title: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(f"[{TITLE_LETTERS}]+"), F.lit(0))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bigrams(words: Column) -> Column:
     """Neighbouring pairs of one word array; empty for fewer than two words."""
-    firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.transform(firsts, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    return bind(words, pairs)
 
 
 def slug(title: Column) -> Column:
@@ -63,7 +95,7 @@ def slug(title: Column) -> Column:
 
 def strip_trailing_count(line: Column) -> Column:
     """Drop a result count such as ``1,234b`` from the end of a line."""
-    bare = F.regexp_replace(line, rf"(?U){_BLANK}+$", "")
+    bare = F.rtrim(line, F.lit(BLANKS))
     return F.regexp_replace(bare, r"\s*\p{Nd}{1,3}(?:,\p{Nd}{3})*b?$", "")
 
 

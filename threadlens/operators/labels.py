@@ -45,11 +45,7 @@ def pack_batches(
 
 def recovered_json(response: Column) -> Column:
     """The response as a variant; failing that, the text from the first ``{`` to the last ``}``."""
-    start = F.instr(response, "{")
-    stop = F.length(response) - F.instr(F.reverse(response), "}") + 1
-    inner = F.when(
-        (start > 0) & (F.instr(response, "}") > 0) & (stop > start), F.substring(response, start, stop - start + 1)
-    )
+    inner = F.regexp_extract(response, r"(?s)\{.*\}", 0)
     return F.coalesce(F.try_parse_json(response), F.try_parse_json(inner))
 
 
@@ -76,28 +72,20 @@ def parse_responses(responses: DataFrame, response: str) -> DataFrame:
 def topic_values(value: Column) -> Column:
     """Topics given as a variant: a list, or one value taken as a list of one."""
     as_list = F.try_variant_get(value, "$", "array<string>")
-    alone = F.try_variant_get(value, "$", "string")
-    return F.when(as_list.isNotNull(), as_list).when(alone.isNotNull(), F.array(alone))
+    return F.coalesce(as_list, F.array_compact(F.array(F.try_variant_get(value, "$", "string"))))
 
 
 def normalise_labels(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One clean ``(entry_id, sentiment_numeric, categories)`` row per usable label."""
     x = F.col("x")
-    return (
-        parsed.filter(F.col("status") == "ok")
-        .select(*keep, F.posexplode("labels").alias("pos", "x"))
-        .select(
-            *keep,
-            "pos",
-            strip_blank(F.coalesce(F.try_variant_get(x, "$.entry_id", "string"), F.lit(""))).alias("entry_id"),
-            F.coalesce(
-                sentiment_code(F.try_variant_get(x, "$.sentiment_numeric", "variant")),
-                F.lit(config.SENTIMENT_DEFAULT),
-            ).alias("sentiment_numeric"),
-            clean_topics(topic_values(F.try_variant_get(x, "$.categories", "variant"))).alias("categories"),
-        )
-        .filter(F.col("entry_id") != "")
-    )
+    rows = parsed.select(*keep, F.posexplode("labels").alias("pos", "x"))
+    return rows.select(
+        *keep,
+        "pos",
+        strip_blank(F.coalesce(F.try_variant_get(x, "$.entry_id", "string"), F.lit(""))).alias("entry_id"),
+        sentiment_code(F.try_variant_get(x, "$.sentiment_numeric", "variant")).alias("sentiment_numeric"),
+        clean_topics(topic_values(F.try_variant_get(x, "$.categories", "variant"))).alias("categories"),
+    ).filter(F.col("entry_id") != "")
 
 
 def audit_ids(expected: DataFrame, returned: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def negativity_logit(
         cells.withColumn("year_c", F.col("_year") - F.lit(facts["mean_year"]))
     )
     fit = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="weight", fitIntercept=intercept, tol=1e-10, maxIter=50
+        family="binomial", link="logit", weightCol="weight", fitIntercept=intercept, tol=1e-8, maxIter=25
     ).fit(ready)
     names = [*terms, "intercept"] if intercept else terms
     values = [*fit.coefficients.toArray().tolist(), *([fit.intercept] if intercept else [])]
