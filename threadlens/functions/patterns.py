@@ -30,20 +30,23 @@ def alternation(stems: str | Iterable[str], at_word_start: bool = False) -> str:
     return "(?iu)" + (WORD_START if at_word_start else "") + "(?:" + "|".join(_as_list(stems)) + ")"
 
 
-def matches(text: Column, stems: str | Iterable[str], at_word_start: bool = False) -> Column:
+def matches(
+    text: Column, stems: str | Iterable[str], at_word_start: bool = False, folded: bool = False
+) -> Column:
     """True where the text holds a pattern, ignoring case; false, not null, on null text.
 
     Plain stems are searched as substrings of the folded text, which all flags of one
     projection share; stems with regex signs go into one alternation. A word-start
-    condition is only tested on texts that hold the stem at all.
+    condition is only tested on texts that hold the stem at all. ``folded`` tells that
+    ``text`` went through ``fold_case`` already.
     """
     parts = _as_list(stems)
     plain = [fold_word(p) for p in parts if _is_plain(p)]
     regexes = [p for p in parts if not _is_plain(p)]
-    folded = fold_case(text)
-    tests = [folded.contains(p) for p in plain]
+    key = text if folded else fold_case(text)
+    tests = [key.contains(p) for p in plain]
     if plain and at_word_start:
-        tests = [reduce(or_, tests) & folded.rlike(WORD_START + "(?:" + "|".join(plain) + ")")]
+        tests = [reduce(or_, tests) & key.rlike(WORD_START + "(?:" + "|".join(plain) + ")")]
     if regexes:
         tests.append(text.rlike(alternation(regexes, at_word_start)))
     return F.coalesce(reduce(or_, tests), F.lit(False))
@@ -54,26 +57,23 @@ def match_sql(column: str, stems: str | Iterable[str], at_word_start: bool = Fal
     return f"coalesce(rlike({column}, r'{alternation(stems, at_word_start)}'), false)"
 
 
-def flag_columns(text: Column, lexicon: Mapping[str, str | Iterable[str]], prefix: str = "") -> list[Column]:
-    """One boolean per lexicon name; names do not exclude each other."""
-    return [matches(text, stems).alias(prefix + name) for name, stems in lexicon.items()]
-
-
 def first_match(
     text: Column,
     choices: Iterable[tuple[str, str | Iterable[str]]],
     at_word_start: bool = False,
+    folded: bool = False,
 ) -> Column:
     """Name of the first choice that matches, else null; put longer stems before their prefixes."""
     chain = None
     for name, stems in choices:
-        test = matches(text, stems, at_word_start)
+        test = matches(text, stems, at_word_start, folded)
         chain = F.when(test, F.lit(name)) if chain is None else chain.when(test, F.lit(name))
     if chain is None:
         raise ValueError("no choices")
     return chain
 
 
-def all_matches(text: Column, lexicon: Mapping[str, str | Iterable[str]]) -> Column:
+def all_matches(text: Column, lexicon: Mapping[str, str | Iterable[str]], folded: bool = False) -> Column:
     """Array of every lexicon name that matches, in lexicon order."""
-    return F.array_compact(F.array(*[F.when(matches(text, stems), F.lit(name)) for name, stems in lexicon.items()]))
+    found = [F.when(matches(text, stems, folded=folded), F.lit(name)) for name, stems in lexicon.items()]
+    return F.array_compact(F.array(*found))

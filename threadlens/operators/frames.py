@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.labels import display_label, share
-from threadlens.functions.patterns import all_matches, flag_columns
-from threadlens.operators.shape import count_flags
+from threadlens.functions.patterns import all_matches
+from threadlens.functions.text import fold_case
+from threadlens.operators.shape import add_flags, count_flags
 
 Lexicon = Mapping[str, Iterable[str]]
 
@@ -22,7 +23,7 @@ def distinct_titles(entries: DataFrame, group: str = "origin_folder") -> DataFra
 
 
 def frame_titles(titles: DataFrame, frames: Lexicon) -> DataFrame:
-    return titles.select("*", *flag_columns(F.col("title"), frames))
+    return add_flags(titles, "title", frames)
 
 
 def frame_counts(framed: DataFrame, group: str, frames: Iterable[str]) -> DataFrame:
@@ -33,7 +34,7 @@ def frame_counts(framed: DataFrame, group: str, frames: Iterable[str]) -> DataFr
 def title_flags(entries: DataFrame, subgroups: Lexicon) -> DataFrame:
     """Subgroup flags of each distinct title with the number of its entries."""
     titles = entries.groupBy("title").agg(F.count("*").alias("n_entries"))
-    return titles.select("*", *flag_columns(F.col("title"), subgroups))
+    return add_flags(titles, "title", subgroups)
 
 
 def join_title_flags(titles: DataFrame, flags: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def _subgrouped(titles: DataFrame, subgroups: Lexicon, extra: Sequence[str]) ->
 
     The flags depend on the title alone, so they are computed in place: no join.
     """
-    return titles.select(*extra, F.explode(all_matches(F.col("title"), subgroups)).alias("subgroup"))
+    folded = titles.select(*extra, fold_case(F.col("title")).alias("_folded"))
+    return folded.select(*extra, F.explode(all_matches(F.col("_folded"), subgroups, folded=True)).alias("subgroup"))
 
 
 def frame_counts_by_subgroup(framed: DataFrame, subgroups: Lexicon, frames: Sequence[str]) -> DataFrame:

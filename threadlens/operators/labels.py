@@ -43,6 +43,11 @@ def pack_batches(
     )
 
 
+def _once(value: Column) -> Column:
+    """``value`` as a generated column, so that the steps after it share one evaluation."""
+    return F.explode(F.array(value))
+
+
 def recovered_json(response: Column) -> Column:
     """The response as a variant; failing that, the text from the first ``{`` to the last ``}``."""
     inner = F.regexp_extract(response, r"(?s)\{.*\}", 0)
@@ -56,7 +61,7 @@ def parse_responses(responses: DataFrame, response: str) -> DataFrame:
     """
     labels = F.try_variant_get(F.col("_json"), "$.labels", "array<variant>")
     return (
-        responses.withColumn("_json", recovered_json(F.col(response)))
+        responses.withColumn("_json", _once(recovered_json(F.col(response))))
         .withColumn("labels", labels)
         .withColumn(
             "status",
@@ -132,23 +137,21 @@ def merge_audit(merged: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _json_state(text: Column) -> tuple[Column, Column]:
-    value = F.try_parse_json(text)
-    return value, F.try_variant_get(value, "$", "array<variant>").isNotNull()
-
-
 def inspect_annotations(files: DataFrame, name: str, text: str) -> DataFrame:
     """``(key, annotation_file, ann_state)`` per annotation file; narrow, the text is dropped."""
-    value, is_list = _json_state(F.col(text))
-    state = F.when(value.isNull(), "InvalidAnnotationJSON").when(~is_list, "AnnotationsNotList").otherwise("ok")
+    value = F.col("_json")
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    state = F.when(value.isNull(), "InvalidAnnotationJSON").when(listed.isNull(), "AnnotationsNotList").otherwise("ok")
     stem = F.regexp_replace(F.col(name), r"\.json$", "")
-    return files.select(strip_pair_suffix(stem).alias("key"), F.col(name).alias("annotation_file"),
-                        state.alias("ann_state"))
+    return files.select(name, _once(F.try_parse_json(F.col(text))).alias("_json")).select(
+        strip_pair_suffix(stem).alias("key"), F.col(name).alias("annotation_file"), state.alias("ann_state")
+    )
 
 
 def inspect_data(files: DataFrame, name: str, text: str) -> DataFrame:
     """``(key, data_file, data_state, n_without_id)`` per data file; narrow, the text is dropped."""
-    value, root_is_list = _json_state(F.col(text))
+    value = F.col("_json")
+    root_is_list = F.try_variant_get(value, "$", "array<variant>").isNotNull()
     entries = F.try_variant_get(value, "$.entries", "variant")
     listed = F.try_variant_get(value, "$.entries", "array<variant>")
     state = (
@@ -157,7 +160,7 @@ def inspect_data(files: DataFrame, name: str, text: str) -> DataFrame:
         .otherwise("ok")
     )
     without = F.size(F.filter(listed, lambda e: F.try_variant_get(e, "$.entry_id", "string").isNull()))
-    return files.select(
+    return files.select(name, _once(F.try_parse_json(F.col(text))).alias("_json")).select(
         F.regexp_replace(F.col(name), r"\.json$", "").alias("key"),
         F.col(name).alias("data_file"),
         state.alias("data_state"),

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from threadlens import config
 from threadlens.functions.labels import share
 from threadlens.functions.patterns import first_match
+from threadlens.functions.text import fold_case
+from threadlens.operators.shape import keep_found
 
 
 def with_mention(entries: DataFrame, content: str = "content", stems: Iterable = config.MENTION_STEMS) -> DataFrame:
     """Entries that mention a group, with the group's name as ``marker``; longer stems win."""
-    marked = entries.withColumn("marker", first_match(F.col(content), stems, at_word_start=True))
-    return marked.filter(F.col("marker").isNotNull())
+    folded = entries.withColumn("_folded", fold_case(F.col(content)))
+    marker = first_match(F.col("_folded"), stems, at_word_start=True, folded=True)
+    return keep_found(folded, "marker", marker).drop("_folded")
 
 
 def mention_descriptives(df: DataFrame, signed: str = "signed") -> DataFrame:

@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.functions.patterns import matches
+from threadlens.functions.text import fold_case
+
+
+def keep_found(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``value`` as ``name`` and drop the rows where it is null.
+
+    A filter on a computed column is pushed below it and computes it a second time. A
+    generator over zero or one element lets nothing past, so the value is computed once.
+    """
+    rest = [c for c in df.columns if c != name]
+    staged = df.select(*rest, value.alias("_found"))
+    one = F.when(F.col("_found").isNotNull(), F.array("_found"))
+    return staged.select(*rest, F.explode(one).alias(name))
+
+
+def add_flags(
+    df: DataFrame, text: str, lexicon: Mapping[str, str | Iterable[str]], prefix: str = ""
+) -> DataFrame:
+    """Add one boolean per lexicon name; the text is folded once for all of them."""
+    folded = df.withColumn("_folded", fold_case(F.col(text)))
+    flags = [matches(F.col("_folded"), stems, folded=True).alias(prefix + name) for name, stems in lexicon.items()]
+    return folded.select(*df.columns, *flags)
+
 
 def melt_flags(df: DataFrame, ids: Sequence[str], flags: Sequence[str], name: str, value: str = "present") -> DataFrame:
     """Wide booleans to one row per flag."""

@@ -10,16 +10,12 @@ from pyspark.sql import functions as F
 from threadlens import config
 from threadlens.functions.dates import parse_stamp
 from threadlens.functions.labels import display_label
-from threadlens.operators.shape import count_flags, dense_grid, to_wide
+from threadlens.operators.shape import count_flags, dense_grid, keep_found, to_wide
 
 
 def dated(entries: DataFrame, raw: str = "date_raw", mode: str = "first") -> DataFrame:
     """Entries whose date parses, with ``date`` and ``year``."""
-    return (
-        entries.withColumn("date", parse_stamp(F.col(raw), mode))
-        .filter(F.col("date").isNotNull())
-        .withColumn("year", F.year("date"))
-    )
+    return keep_found(entries, "date", parse_stamp(F.col(raw), mode)).withColumn("year", F.year("date"))
 
 
 def in_years(df: DataFrame, first: int = config.FIRST_YEAR, last: int = config.LAST_YEAR) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions.labels import half_even
-from threadlens.functions.patterns import flag_columns
 from threadlens.functions.text import snippet
 from threadlens.operators import frames, ranking, shape, summaries, timelines
 from threadlens.plans import views as v
@@ -107,9 +106,8 @@ def timeline_wide(spark, sf):
 
 
 def _flagged_posts(spark, sf):
-    return v.posts(spark, sf).select(
-        "entry_id", "category", "year", *flag_columns(F.col("title"), v.SUBGROUPS)
-    )
+    rows = v.entries(spark, sf).select("entry_id", "category", "title")
+    return v.posts(spark, sf, shape.add_flags(rows, "title", v.SUBGROUPS))
 
 
 SQL_SUBGROUP_TIMELINE = "v_subgroup_timeline AS (" + " UNION ALL ".join(
@@ -154,7 +152,7 @@ def combined_timeline(spark, sf):
     [v.V_ENTRIES],
 )
 def melt_flags(spark, sf):
-    rows = v.entries(spark, sf).select("entry_id", *flag_columns(F.col("title"), v.SUBGROUPS))
+    rows = shape.add_flags(v.entries(spark, sf).select("entry_id", "title"), "title", v.SUBGROUPS)
     return shape.melt_flags(rows, ["entry_id"], v.SUBGROUP_NAMES, "subgroup")
 
 

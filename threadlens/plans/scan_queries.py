@@ -9,6 +9,7 @@ from threadlens.functions.labels import display_label, truthy_flag
 from threadlens.functions.patterns import matches
 from threadlens.functions.text import blank_to_null, thousands
 from threadlens.operators import frames, mentions, summaries, timelines
+from threadlens.operators.shape import keep_found
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
 from threadlens.schema import POLYMORPHIC
@@ -376,11 +377,7 @@ def nonempty_content(spark, sf):
     padded = F.when(F.col("doc_id") % 9 == 0, F.lit(" \t\n ")).otherwise(
         F.concat(F.lit("\t "), F.col("content"), F.lit(" \n"))
     )
-    kept = (
-        v.entries(spark, sf)
-        .select("entry_id", blank_to_null(padded).alias("content"))
-        .filter(F.col("content").isNotNull())
-    )
+    kept = keep_found(v.entries(spark, sf), "content", blank_to_null(padded))
     return kept.select(
         "entry_id", F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5")
     )

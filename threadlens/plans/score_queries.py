@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadlens.functions.patterns import first_match, flag_columns
+from threadlens.functions.patterns import first_match
 from threadlens.operators import mentions, scoring, summaries
 from threadlens.operators.regression import negativity_logit as fit_logit
+from threadlens.operators.shape import add_flags, keep_found
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
 
@@ -14,9 +15,11 @@ SQL_MARKER = v.sql_case("content", v.MENTIONS, at_word_start=True)
 SQL_MARKED = f"v_marked AS (SELECT *, {SQL_MARKER} AS marker, sentiment - 3 AS signed FROM v_posts)"
 
 
-def _marked(spark, sf):
-    posts = v.labelled_posts(spark, sf).withColumn("signed", F.col("sentiment") - 3)
-    return mentions.with_mention(posts, stems=v.MENTIONS)
+def _marked(spark, sf, lexicon=None):
+    """Entries with a mention, dated and labelled; texts are read before the joins and left behind."""
+    rows = mentions.with_mention(v.entries(spark, sf), stems=v.MENTIONS).select("entry_id", "marker", "content")
+    rows = add_flags(rows, "content", lexicon or {}).drop("content")
+    return v.labelled_posts(spark, sf, rows).withColumn("signed", F.col("sentiment") - 3)
 
 
 @query("mean_score_group", """
@@ -49,7 +52,7 @@ CATEGORY_NAMES = [name for name, _ in v.TITLE_CATEGORIES]
 )
 def mention_crosstab(spark, sf):
     rows = mentions.with_mention(v.entries(spark, sf), stems=v.MENTIONS)
-    sorted_titles = rows.withColumn("title_category", first_match(F.col("title"), v.TITLE_CATEGORIES))
+    sorted_titles = keep_found(rows, "title_category", first_match(F.col("title"), v.TITLE_CATEGORIES))
     return summaries.crosstab(sorted_titles, "marker", "title_category", CATEGORY_NAMES)
 
 
@@ -101,9 +104,8 @@ def title_creation(spark, sf):
     [v.V_POSTS],
 )
 def sentiment_timeline(spark, sf):
-    flagged = v.labelled_posts(spark, sf).select(
-        "year", "sentiment", *flag_columns(F.col("content"), v.CATALOGUE)
-    )
+    flags = add_flags(v.entries(spark, sf).select("entry_id", "content"), "content", v.CATALOGUE)
+    flagged = v.labelled_posts(spark, sf, flags.drop("content"))
     return mentions.sentiment_timeline(flagged, list(v.CATALOGUE), "sentiment")
 
 
@@ -188,14 +190,12 @@ def multi_model_score(spark, sf):
 @query("negativity_logit")
 def negativity_logit(spark, sf):
     """Negativity of labelled mentions on marker, centred year and two lexicon flags."""
-    rows = _marked(spark, sf).filter(F.col("sentiment").isNotNull())
+    lexicon = {"entry_verbal": v.FRAMES["verbal"], "entry_german": v.FRAMES["german"]}
+    rows = _marked(spark, sf, lexicon).filter(F.col("sentiment").isNotNull())
     coded = rows.select(
         (F.col("signed") < 0).cast("int").alias("negative"),
         "year",
         (F.col("marker") == "ther").cast("int").alias("is_ther"),
-        *[c.cast("int").alias(n) for c, n in zip(
-            flag_columns(F.col("content"), {k: v.FRAMES[k] for k in ("verbal", "german")}),
-            ("entry_verbal", "entry_german"),
-        )],
+        *[F.col(name).cast("int").alias(name) for name in lexicon],
     )
-    return fit_logit(coded, "negative", ["is_ther", "entry_verbal", "entry_german"])
+    return fit_logit(coded, "negative", ["is_ther", *lexicon])

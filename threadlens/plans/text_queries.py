@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import dates, labels, patterns, text
 from threadlens.functions.register import register_functions
+from threadlens.operators.shape import add_flags
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
 
@@ -184,12 +185,12 @@ def snippet(spark, sf):
 
 @query("subgroup_flags", f"SELECT entry_id, {v.sql_flags('title', v.SUBGROUPS)} FROM v_entries", [v.V_ENTRIES])
 def subgroup_flags(spark, sf):
-    return v.entries(spark, sf).select("entry_id", *patterns.flag_columns(F.col("title"), v.SUBGROUPS))
+    return add_flags(v.entries(spark, sf).select("entry_id", "title"), "title", v.SUBGROUPS).drop("title")
 
 
 @query("frame_flags", f"SELECT entry_id, {v.sql_flags('title', v.FRAMES)} FROM v_entries", [v.V_ENTRIES])
 def frame_flags(spark, sf):
-    return v.entries(spark, sf).select("entry_id", *patterns.flag_columns(F.col("title"), v.FRAMES))
+    return add_flags(v.entries(spark, sf).select("entry_id", "title"), "title", v.FRAMES).drop("title")
 
 
 @query(
@@ -200,12 +201,10 @@ def frame_flags(spark, sf):
 )
 def entry_title_flags(spark, sf):
     """Lexicon flags on whole texts and on titles, and group flags on texts."""
-    return v.entries(spark, sf).select(
-        "entry_id",
-        *patterns.flag_columns(F.col("content"), v.FRAMES, "entry_"),
-        *patterns.flag_columns(F.col("title"), v.FRAMES, "title_"),
-        *patterns.flag_columns(F.col("content"), v.CATALOGUE, "group_"),
-    )
+    rows = v.entries(spark, sf).select("entry_id", "title", "content")
+    on_texts = {"entry_" + n: s for n, s in v.FRAMES.items()} | {"group_" + n: s for n, s in v.CATALOGUE.items()}
+    flagged = add_flags(rows, "content", on_texts).drop("content")
+    return add_flags(flagged, "title", v.FRAMES, "title_").drop("title")
 
 
 @query(

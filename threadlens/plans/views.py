@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.functions.dates import first_stamp
+from threadlens.operators import timelines
+from threadlens.sources.tables import read_table, spread
 from threadlens.sinks.threads import PART_SIZE, nest_entries, thread_json
 
 # Lexicons over words that occur in the benchmark texts.
@@ -36,11 +37,11 @@ FIRST, LAST = 1996, 2000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").cast("string").alias("entry_id"),
         "doc_id",
         F.substring_index("text", "\n", 1).alias("title"),
@@ -105,19 +106,17 @@ v_dated AS (
     FROM v_raw_dated))"""
 
 
-def posts(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries with the author and date of the order of the same number, and their labels."""
-    when = dated(spark, sf).drop("category")
-    return (
-        entries(spark, sf)
-        .join(when, "entry_id")
-        .withColumn("date", first_stamp(F.col("date_raw")))
-        .withColumn("year", F.year("date"))
-    )
+def posts(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """Entries with the author and date of the order of the same number.
+
+    ``rows`` are entries already reduced to what is needed, so that texts stay out of the joins.
+    """
+    when = timelines.dated(dated(spark, sf).drop("category"))
+    return (entries(spark, sf) if rows is None else rows).join(when, "entry_id")
 
 
-def labelled_posts(spark: SparkSession, sf: str) -> DataFrame:
-    return posts(spark, sf).join(labels(spark, sf), "entry_id", "left")
+def labelled_posts(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return posts(spark, sf, rows).join(labels(spark, sf), "entry_id", "left")
 
 
 V_POSTS = V_ENTRIES + "," + V_LABELS + "," + V_DATED + """,

@@ -34,10 +34,10 @@ def read_threads(spark: SparkSession, paths: str | list[str], lines: bool = Fals
 
 
 def parse_threads(df: DataFrame, text: str, schema=THREAD) -> DataFrame:
-    """Same shape from a column that holds the JSON text."""
+    """Same shape from a column that holds the JSON text, which is parsed once whatever is filtered later."""
     parsed = F.from_json(F.col(text), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.col(text).alias("_text"), parsed.alias("_t")).select(
+    return df.select(*rest, F.col(text).alias("_text"), F.explode(F.array(parsed)).alias("_t")).select(
         *rest, *[F.col("_t")[f.name].alias(f.name) for f in schema.fields if f.name != CORRUPT],
         F.coalesce(F.col("_t")[CORRUPT], F.when(F.col("_t").isNull(), F.col("_text"))).alias(CORRUPT),
     )

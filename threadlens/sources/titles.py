@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from threadlens.functions.text import strip_blank
+from threadlens.operators.shape import keep_found
 
 # Encodings in the order they are tried.
 ENCODINGS = ("utf-8", "utf-16", "latin-1")
@@ -36,7 +37,7 @@ def clean_line(line: Column) -> Column:
 
 def clean_titles(lines: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` holds a title, trimmed."""
-    return lines.withColumn(column, clean_line(F.col(column))).filter(F.col(column).isNotNull())
+    return keep_found(lines, column, clean_line(F.col(column)))
 
 
 def read_title_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
