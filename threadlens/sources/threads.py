@@ -46,13 +46,14 @@ def parse_threads(df: DataFrame, text: str, schema=THREAD) -> DataFrame:
 def read_problem() -> Column:
     """Why a thread row is unusable, or null.
 
-    The reader flags both broken text and ``entries`` that is no list; text that
-    still parses as JSON tells them apart.
+    The reader flags broken text, ``entries`` that is no list, and a field of the wrong
+    kind deeper down alike; they are told apart by parsing the flagged text again.
     """
-    broken = F.try_parse_json(F.col(CORRUPT))
+    flagged = F.col(CORRUPT).isNotNull()
     return (
-        F.when(F.col(CORRUPT).isNotNull() & broken.isNull(), F.lit("InvalidDataJSON"))
-        .when(F.col(CORRUPT).isNotNull(), F.lit("EntriesNotList"))
+        F.when(flagged & F.try_parse_json(F.col(CORRUPT)).isNull(), F.lit("InvalidDataJSON"))
+        .when(flagged & F.col("entries").isNull(), F.lit("EntriesNotList"))
+        .when(flagged, F.lit("MalformedField"))
     )
 
 
@@ -233,4 +234,4 @@ def export_shape(entries: DataFrame) -> DataFrame:
 
 def read_typed(spark: SparkSession, path: str) -> DataFrame:
     """The typed table, as saved; a filter on ``category`` prunes folders."""
-    return spark.read.schema(TYPED_ENTRY).parquet(path)
+    return spark.read.schema(TYPED_ENTRY).parquet(path).select(*TYPED_ENTRY.fieldNames())
