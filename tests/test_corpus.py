@@ -1,0 +1,149 @@
+"""The analyses on small invented folders, and on a corpus sample if THREADLENS_CORPUS names one."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadlens import config
+from threadlens.functions.text import token_count
+from threadlens.operators import mentions, summaries
+from threadlens.plans import reports
+from threadlens.sources import threads as th
+
+
+def _thread(title, entries):
+    return {"scrape_info": {"input": title, "total_entries": len(entries)}, "entries": [
+        {"title": title, "entry_id": f"{title[:3]}{i}", "author": "a", "date": d, "content": c, "has_external_url": False}
+        for i, (d, c) in enumerate(entries)]}
+
+
+@pytest.fixture
+def folders(tmp_path):
+    threads = {
+        "gocmen_titles_data/a.json": _thread("Göçmen suçları", [("01.01.2015 10:00", "suriyeliler geldi"),
+                                                               ("02.01.2016 10:00 ~ 11:00", "suri mi")]),
+        "gocmen_titles_data/b.json": _thread("sığınmacı yardım parası", [("05.05.2016 09:00", "iyi bir yazı")]),
+        "rus_titles_data/c.json": _thread("rus kadın turist", [("07.07.2012 12:00", "Suriyeli komşu iyi")]),
+    }
+    for name, data in threads.items():
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(json.dumps(data, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "rus_titles_data" / "bad.json").write_text("{", encoding="utf-8")
+    return [f"{tmp_path}/gocmen_titles_data", f"{tmp_path}/rus_titles_data"], tmp_path
+
+
+def test_count_and_folder_tables(spark, folders):
+    paths, _ = folders
+    tables = reports.count_tables(spark, paths)
+    stats = {r.category: (r.num_titles, r.num_entries) for r in tables["stats"].collect()}
+    assert stats == {"ALL": (3, 4), "gocmen": (2, 3), "rus": (1, 1)}
+    assert tables["unreadable"].count() == 1
+    rows = {r.label: (r.titles, r.entries, r.titles_text) for r in reports.folder_table(spark, paths).collect()}
+    assert rows["Total"] == (4, 4, "4") and rows[config.SUMMARY_LABELS["rus_titles_data"]][:2] == (2, 1)
+
+
+def test_frame_tables(spark, folders):
+    tables = reports.frame_tables(reports.folder_entries(spark, folders[0]), date_mode="first")
+    counts = {r.origin_folder: r for r in tables["frame_counts"].collect()}
+    assert counts["gocmen_titles_data"].crime == 2 and counts["gocmen_titles_data"].solidarity == 1
+    assert counts["rus_titles_data"].gender == 1 and counts["rus_titles_data"].label == "Rus"
+    assert tables["timeline"].count() == 32 and tables["combined_timeline"].count() == 16 * 4
+    combined = {r.label: r.crime for r in tables["frame_counts_combined"].collect()}
+    assert combined == {"Rus": 0, "Göçmen": 2, "Sığınmacı": 0}
+    words = {(r.origin_folder, r.word): r.n for r in tables["top_words"].collect()}
+    assert words["gocmen_titles_data", "göçmen"] == 2
+    strict = reports.frame_tables(reports.folder_entries(spark, folders[0]))
+    assert {r.origin_folder: r.crime for r in strict["frame_counts"].collect()}["gocmen_titles_data"] == 1
+    for name, table in tables.items():
+        assert table.count() >= 0, name
+
+
+def test_descriptive_tables(spark, folders):
+    tables = reports.descriptive_tables(reports.folder_entries(spark, folders[0]))
+    assert {r.origin_folder: r.n for r in tables["entries"].collect()} == {"gocmen_titles_data": 2, "rus_titles_data": 1}
+    assert tables["length_boxes"].count() == 2 and tables["top_titles"].count() == 3
+
+
+def test_mention_tables(spark, folders):
+    def load():
+        return lambda texts: [("positive", 0.5)] * len(texts)
+
+    tables = reports.mention_tables(reports.folder_entries(spark, folders[0]), {"iyi": 2.0}, load, "first")
+    assert {r.marker: r.n for r in tables["mentions"].collect()} == {"suriyeli": 2, "suri": 1}
+    assert {r.marker: r.gocmen for r in tables["crosstab"].collect()} == {"suriyeli": 1, "suri": 1}
+    means = {r.marker: (r.mean_compound, r.mean_model_score) for r in tables["means"].collect()}
+    assert means == {"suriyeli": (0.229, 0.5), "suri": (0.0, 0.5)}
+    assert {r.bin for r in tables["scored"].collect()} == {"Positive", "Neutral"}
+
+
+def test_merge_tables(spark, folders, tmp_path):
+    ann = tmp_path / "ann"
+    ann.mkdir()
+    (ann / "a_annotations.json").write_text(json.dumps([{"entry_id": "Göç0", "sentiment_numeric": 1, "categories": ["HATE"]}]))
+    (ann / "zz_annotated.json").write_text("[]")
+    tables = reports.merge_tables(spark, f"{folders[0][0]}/*.json", f"{ann}/*.json")
+    labelled = {r.entry_id: (r.sentiment_numeric, r.merged) for r in tables["merged"].collect()}
+    assert labelled == {"Göç0": ("1", True), "Göç1": (None, False), "sığ0": (None, False)}
+    assert {r.key: (r.n_merged, r.n_missing) for r in tables["audit"].collect()} == {"a": (1, 1), "b": (0, 1)}
+    assert [(r.annotation_file, r.error_type) for r in tables["errors"].collect()] == [("zz_annotated.json", "MissingDataFile")]
+
+
+CORPUS = os.environ.get("THREADLENS_CORPUS", "")
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    if not os.path.isdir(CORPUS):
+        pytest.skip("THREADLENS_CORPUS is not set")
+    return reports.typed_entries(spark, CORPUS).cache()
+
+
+def test_sample_counts(sample):
+    per = {r.category: r.n for r in summaries.entries_per_group(sample, "category").collect()}
+    assert per == {"suriye": 167, "rus": 123, "ukrayna": 97, "afganistan": 89, "pakistan": 48, "multeci": 16,
+                   "gocmen": 7, "siginmaci": 1}
+    covered = summaries.label_coverage(sample).first()
+    assert (covered.with_sentiment, covered.without_sentiment) == (387, 161)
+    assert sample.filter("date IS NULL").count() == 1
+    distinct = sample.agg(*[F.count_distinct(c) for c in ("entry_id", "title", "author")]).first()
+    assert tuple(distinct) == (529, 242, 499)
+
+
+def test_sample_measures(sample):
+    length = {r.category: r.mean_length for r in summaries.mean_length_per_group(sample, "category").collect()}
+    assert length == {"afganistan": 223.8, "gocmen": 200.6, "multeci": 341.8, "pakistan": 255.2, "rus": 166.2,
+                      "siginmaci": 241.0, "suriye": 263.0, "ukrayna": 228.0}
+    tokens = sample.groupBy("category").agg(F.sum(token_count(F.col("content"))).alias("n")).collect()
+    assert {r.category: r.n for r in tokens} == {
+        "afganistan": 2773, "gocmen": 185, "multeci": 752, "pakistan": 1707, "rus": 2977, "siginmaci": 27,
+        "suriye": 6044, "ukrayna": 3104,
+    }
+    means = summaries.mean_scores(sample, ["category"], ["sentiment"], 3).filter("mean_sentiment IS NOT NULL").collect()
+    assert {r.category: r.mean_sentiment for r in means} == {"rus": 2.732, "suriye": 2.563, "ukrayna": 2.784}
+    topics = sample.select(F.explode("topics").alias("t")).groupBy("t").count().collect()
+    assert {r.t: r["count"] for r in topics} == {
+        "NEUTRAL": 147, "XENO": 96, "HATE": 66, "POLICY": 64, "CULTURE": 40, "HUMAN": 39, "ECON": 23, "CRIME": 21,
+        "SEXUAL": 16, "HUMAN-POS": 9, "GENDER-MORAL": 7,
+    }
+    years = sample.groupBy(F.year("date").alias("y")).count().filter("y >= 2021").collect()
+    assert {r.y: r["count"] for r in years} == {2021: 28, 2022: 92, 2023: 76, 2024: 57, 2025: 54, 2026: 1}
+
+
+def test_sample_repeated_ids(sample):
+    found = summaries.source_overlap(sample, F.col("entry_id"), "category").collect()
+    assert len(found) == 17 and sum(r.n_rows for r in found) == 36
+    from threadlens.functions.dates import multi_format
+
+    assert sample.filter(multi_format(F.col("date_raw")).isNotNull()).count() == 465
+
+
+def test_sample_mentions(spark, sample):
+    raw = [f"{CORPUS}/{name}_titles_data/*.json" for name in ("suriye", "rus", "ukrayna")]
+    good, bad = th.split_readable(th.read_threads(spark, raw))
+    rows = th.scan_folders(good)
+    assert rows.count() == 414
+    got = {r.marker: r.n for r in mentions.with_mention(rows).groupBy("marker").agg(F.count("*").alias("n")).collect()}
+    assert got == {"suriyeli": 40, "suri": 32}

@@ -10,7 +10,6 @@ DAY_TIME = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})\s+(\d{1,2}):(\d{1,2})\z"
 DAY = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})\z"
 ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}\z"
 EXACT = r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}\z"
-ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 # The stamp anywhere in a text, and the whole-string layouts, to year first. Year 0 is
 # left as it is, which no cast accepts.
@@ -56,4 +55,5 @@ def parse_stamp(raw: Column, mode: str = "first") -> Column:
 
 
 def iso_text(ts: Column) -> Column:
-    return F.date_format(ts, ISO)
+    """ISO text of a wall-clock time; no time zone takes part."""
+    return F.replace(ts.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))

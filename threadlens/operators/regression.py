@@ -10,6 +10,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.session import materialise
+
 Z95 = 1.96
 
 
@@ -30,13 +32,14 @@ def negativity_logit(
         F.col(year).cast("double").alias("_year"),
         *[F.col(d).cast("double").alias(d) for d in dummies],
     ).agg(F.count("*").cast("double").alias("weight"))
-    cells = cells.cache()
+    # Written once, so that a lost executor costs a read of a few rows and not a new scan.
+    cells = materialise(cells, "logit-cells").cache()
     facts = cells.agg(
         (F.sum(F.col("_year") * F.col("weight")) / F.sum("weight")).alias("mean_year"),
-        F.count_distinct("_year").alias("year_c"),
-        *[F.count_distinct(d).alias(d) for d in dummies],
+        (F.min("_year") < F.max("_year")).alias("year_c"),
+        *[(F.min(d) < F.max(d)).alias(d) for d in dummies],
     ).first()
-    terms = [t for t in [*dummies, "year_c"] if facts[t] > 1]
+    terms = [t for t in [*dummies, "year_c"] if facts[t]]
     for dropped in sorted({*dummies, "year_c"} - set(terms)):
         warnings.warn(f"regressor {dropped} is constant and was dropped", stacklevel=2)
     ready = VectorAssembler(inputCols=terms, outputCol="features").transform(

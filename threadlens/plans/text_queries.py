@@ -305,7 +305,7 @@ def sql_functions(spark, sf):
     register_functions(spark, mention_stems=v.MENTIONS)
     return spark.sql(
         """
-        SELECT entry_id, date_format(parse_first_stamp(date_raw), "yyyy-MM-dd'T'HH:mm:ss") AS date,
+        SELECT entry_id, replace(cast(parse_first_stamp(date_raw) AS string), ' ', 'T') AS date,
                slug(title) AS slug, mention_group(content) AS marker,
                array_join(clean_topics(coalesce(topics, array())), ',') AS topics
         FROM {posts}""",
