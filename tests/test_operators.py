@@ -17,12 +17,13 @@ def test_lookup_join_with_hot_and_null_keys(spark):
     left = spark.createDataFrame(rows, "k string, n int")
     right = spark.createDataFrame([("hot", 1), ("k3", 2), ("other", 3)], "k string, v int")
     hot = spark.createDataFrame([("hot",)], "k string")
-    got = joins.lookup_join(left, right, ["k"], ["n"], salts=8, hot=hot)
+    got = joins.lookup_join(left, right, ["k"], ["n"], salts=8, probe=hot)
     want = sorted((str(k), n, str({"hot": 1, "k3": 2}.get(k))) for k, n in rows)
     assert sorted((str(r.k), r.n, str(r.v)) for r in got.collect()) == want
-    # the same without any hot key found
-    cold = joins.lookup_join(left, right, ["k"], ["n"])
-    assert sorted((str(r.k), r.n, str(r.v)) for r in cold.collect()) == want
+    # the same without any hot key found, and without looking for one
+    for probe in (True, False):
+        cold = joins.lookup_join(left, right, ["k"], ["n"], probe=probe)
+        assert sorted((str(r.k), r.n, str(r.v)) for r in cold.collect()) == want
 
 
 def test_heavy_keys_finds_the_hot_one(spark):
@@ -102,9 +103,11 @@ def test_fan_out_equals_the_many_to_many_join(entries):
     titles = frames.distinct_titles(entries)
     per_entry = entries.select("title")
     slow = titles.join(per_entry, "title", "left").groupBy("origin_folder", "title", "year").agg(F.count("*").alias("n_rows"))
-    quick = frames.fan_out(frames.join_title_flags(titles, frames.title_flags(entries, config.SUBGROUP_STEMS)))
+    quick = frames.title_subgroups_fanned(entries, config.SUBGROUP_STEMS)
     pick = lambda df: sorted(map(tuple, df.select("origin_folder", "title", "year", "n_rows").collect()))
     assert pick(quick) == pick(slow)
+    once = frames.title_subgroups(titles, config.SUBGROUP_STEMS)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, quick.select(*once.columns).collect()))
     big = {r.title: r.n_rows for r in quick.filter("year = 2016").collect()}
     assert big["göçmen ve mülteci suç"] == 3  # two years x three entries in all
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.labels import display_label, share
@@ -31,24 +31,24 @@ def frame_counts(framed: DataFrame, group: str, frames: Iterable[str]) -> DataFr
     return framed.groupBy(group).agg(*[F.count_if(F.col(f)).alias(f) for f in frames])
 
 
-def title_flags(entries: DataFrame, subgroups: Lexicon) -> DataFrame:
-    """Subgroup flags of each distinct title with the number of its entries."""
-    titles = entries.groupBy("title").agg(F.count("*").alias("n_entries"))
-    return add_flags(titles, "title", subgroups)
-
+def title_subgroups(titles: DataFrame, subgroups: Lexicon) -> DataFrame:
+    """Distinct titles with their subgroup flags.
 
-def join_title_flags(titles: DataFrame, flags: DataFrame) -> DataFrame:
-    """Distinct titles with their subgroup flags: one row per title row."""
-    return titles.join(flags, "title", "left")
+    The flags are a function of the title, so the left join on it becomes a projection.
+    """
+    return add_flags(titles, "title", subgroups)
 
 
-def fan_out(joined: DataFrame) -> DataFrame:
-    """The many-to-many reading of the flag join, as a multiplicity instead of repeated rows.
+def title_subgroups_fanned(entries: DataFrame, subgroups: Lexicon, group: str = "origin_folder") -> DataFrame:
+    """The many-to-many reading of that join, as a multiplicity instead of repeated rows.
 
-    Joining a title's rows to flags kept per entry repeats every row once per entry;
-    ``n_rows`` is that number, so later counts are sums of it and no row is copied.
+    Joining a title's rows to flags kept per entry repeats every row once per entry of
+    the title; ``n_rows`` is that number, so later counts are sums of it and no row is
+    copied. The window holds one row per group and year of a title.
     """
-    return joined.withColumn("n_rows", F.coalesce(F.col("n_entries"), F.lit(1)))
+    counted = entries.groupBy(group, "title", "year").agg(F.count("*").alias("n"))
+    fanned = counted.withColumn("n_rows", F.sum("n").over(Window.partitionBy("title"))).drop("n")
+    return add_flags(fanned, "title", subgroups)
 
 
 def title_years(titles: DataFrame, entries: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,25 +40,28 @@ def lookup_join(
     keys: Sequence[str],
     spread_by: Sequence[str],
     salts: int = 64,
-    hot: DataFrame | None = None,
+    probe: bool | DataFrame = True,
 ) -> DataFrame:
     """Left join to a table with unique ``keys``, safe for hot and null keys on the left.
 
     Rows of hot keys are spread over ``salts`` slots by ``spread_by`` (columns that tell
-    them apart), and only the matching right rows are repeated per slot. AQE still turns
-    the join into a broadcast when the right side proves small at run time.
+    them apart), and only the matching right rows are repeated per slot. ``probe`` is the
+    table of hot keys, or whether to look for them; with ``False`` only null keys are
+    spread. AQE still turns the join into a broadcast when the right side proves small.
     """
     keys = list(keys)
-    hot = heavy_keys(left, keys) if hot is None else hot
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     slot = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    spread = F.coalesce(F.col("_hot"), F.lit(False)) | no_key
-    a = left.join(marked, keys, "left").withColumn("_slot", F.when(spread, slot).otherwise(F.lit(0))).drop("_hot")
-    slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    b = right.join(marked, keys, "left").withColumn("_slot", F.explode(slots)).drop("_hot")
+    spread = reduce(or_, [F.col(k).isNull() for k in keys])
+    if probe is False:
+        a, b = left, right.withColumn("_slot", F.lit(0))
+    else:
+        hot = heavy_keys(left, keys) if probe is True else probe
+        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        a = left.join(marked, keys, "left")
+        b = right.join(marked, keys, "left").withColumn("_slot", F.explode(slots)).drop("_hot")
+        spread = spread | F.coalesce(F.col("_hot"), F.lit(False))
+    a = a.withColumn("_slot", F.when(spread, slot).otherwise(F.lit(0))).drop("_hot")
     return a.join(b, [*keys, "_slot"], "left").drop("_slot")
 
 

@@ -109,16 +109,21 @@ def audit_ids(expected: DataFrame, returned: DataFrame, keys: Sequence[str]) ->
 
 
 def merge_labels(
-    entries: DataFrame, latest: DataFrame, keys: Sequence[str] = ("entry_id",), spread_by: Sequence[str] | None = None
+    entries: DataFrame,
+    latest: DataFrame,
+    keys: Sequence[str] = ("entry_id",),
+    spread_by: Sequence[str] | None = None,
+    probe: bool = True,
 ) -> DataFrame:
     """Entries left-joined to their latest annotation; label fields overwrite, unmatched rows stay.
 
     ``latest`` is unique by ``keys``; ``merged`` tells whether an annotation was found.
+    ``probe`` looks for hot keys first, which reads the key columns of ``entries`` once more.
     """
     fields = [c for c in latest.columns if c not in keys]
     right = latest.select(*keys, *[F.col(c).alias("_new_" + c) for c in fields], F.lit(True).alias("_found"))
     spread = list(spread_by or [c for c in entries.columns if c not in ("content", *keys)])
-    joined = lookup_join(entries, right, keys, spread)
+    joined = lookup_join(entries, right, keys, spread, probe=probe)
     found = F.coalesce(F.col("_found"), F.lit(False))
     overwritten = [
         (F.when(found, F.col("_new_" + c)).otherwise(F.col(c)) if c in entries.columns else F.col("_new_" + c)).alias(c)

@@ -122,19 +122,13 @@ def frame_ratio_by_year(spark, sf):
 SQL_TITLE_FLAGS = f"v_flags AS (SELECT DISTINCT title, {v.sql_flags('title', v.SUBGROUPS)} FROM v_posts)"
 
 
-def _with_flags(spark, sf):
-    posts = v.posts(spark, sf)
-    titles = frames.distinct_titles(posts, "category")
-    return frames.join_title_flags(titles, frames.title_flags(posts, v.SUBGROUPS))
-
-
 @query(
     "title_subgroups",
     f"SELECT t.*, {', '.join(v.SUBGROUP_NAMES)} FROM v_titles t LEFT JOIN v_flags f ON t.title = f.title",
     [*VIEWS, SQL_TITLE_FLAGS],
 )
 def title_subgroups(spark, sf):
-    return _with_flags(spark, sf).drop("n_entries")
+    return frames.title_subgroups(frames.distinct_titles(v.posts(spark, sf), "category"), v.SUBGROUPS)
 
 
 @query(
@@ -148,7 +142,7 @@ def title_subgroups(spark, sf):
 )
 def title_subgroups_fanout(spark, sf):
     """The join to flags kept per entry, as row multiplicities."""
-    return frames.fan_out(_with_flags(spark, sf)).drop("n_entries")
+    return frames.title_subgroups_fanned(v.posts(spark, sf), v.SUBGROUPS, "category")
 
 
 @query(

@@ -158,7 +158,8 @@ def merge_tables(spark: SparkSession, data: str, annotations: str) -> Tables:
         "key", "pos", "entry_id", "sentiment_numeric", "categories"
     )
     latest = latest_annotations(keyed, ["key", "entry_id"])
-    merged = labels.merge_labels(entries, latest, ["key", "entry_id"], ["path", "pos"])
+    # An id hardly repeats within its own file, so hot keys are not worth a second parse of the JSON.
+    merged = labels.merge_labels(entries, latest, ["key", "entry_id"], ["path", "pos"], probe=False)
 
     def texts(paths: str) -> DataFrame:
         files = spark.read.text(paths, wholetext=True)
