@@ -88,6 +88,10 @@ def test_merge_tables(spark, folders, tmp_path):
     labelled = {r.entry_id: (r.sentiment_numeric, r.merged) for r in tables["merged"].collect()}
     assert labelled == {"Göç0": ("1", True), "Göç1": (None, False), "sığ0": (None, False)}
     assert {r.key: (r.n_merged, r.n_missing) for r in tables["audit"].collect()} == {"a": (1, 1), "b": (0, 1)}
+    stored = {json.loads(r.json)["entries"][0]["entry_id"]: json.loads(r.json) for r in tables["threads"].collect()}
+    first = stored["Göç0"]["entries"][0]
+    assert (first["sentiment_numeric"], first["categories"], first["has_external_url"]) == (1, ["HATE"], False)
+    assert "sentiment_numeric" not in stored["Göç0"]["entries"][1] and stored["sığ0"]["scrape_info"]["total_entries"] == 1
     assert [(r.annotation_file, r.error_type) for r in tables["errors"].collect()] == [("zz_annotated.json", "MissingDataFile")]
 
 

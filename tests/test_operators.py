@@ -221,7 +221,7 @@ def test_responses_and_audit(spark):
     parsed = labels.parse_responses(df, "response")
     assert {r.batch: r.status for r in parsed.collect()} == {
         "b1": "ok", "b2": "ok", "b3": "invalid_json", "b4": "invalid_json", "b5": "no_labels", "b6": "no_labels",
-        "b7": "empty_labels", "b8": "no_labels", "b9": "ok", "b10": "invalid_json",
+        "b7": "empty_labels", "b8": "no_labels", "b9": "empty_labels", "b10": "invalid_json",
     }
     clean = labels.normalise_labels(parsed, ["batch"])
     assert sorted((r.entry_id, r.sentiment_numeric, r.categories) for r in clean.collect()) == [

@@ -54,11 +54,16 @@ def recovered_json(response: Column) -> Column:
     return F.coalesce(F.try_parse_json(response), F.try_parse_json(inner))
 
 
+def _entry_id(label: Column) -> Column:
+    return strip_blank(F.coalesce(F.try_variant_get(label, "$.entry_id", "string"), F.lit("")))
+
+
 def parse_responses(responses: DataFrame, response: str) -> DataFrame:
     """Add ``labels`` (array of variants) and ``status``: ok, invalid_json, no_labels or empty_labels.
 
-    A bad response is a row with a status, never a failed job.
+    A bad response is a row with a status, never a failed job. Labels without any id count as empty.
     """
+    with_id = F.exists("labels", lambda x: _entry_id(x) != "")
     labels = F.try_variant_get(F.col("_json"), "$.labels", "array<variant>")
     return (
         responses.withColumn("_json", _once(recovered_json(F.col(response))))
@@ -67,7 +72,7 @@ def parse_responses(responses: DataFrame, response: str) -> DataFrame:
             "status",
             F.when(F.col("_json").isNull(), "invalid_json")
             .when(F.col("labels").isNull(), "no_labels")
-            .when(F.size("labels") == 0, "empty_labels")
+            .when(~with_id, "empty_labels")
             .otherwise("ok"),
         )
         .drop("_json")
@@ -87,7 +92,7 @@ def normalise_labels(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     return rows.select(
         *keep,
         "pos",
-        strip_blank(F.coalesce(F.try_variant_get(x, "$.entry_id", "string"), F.lit(""))).alias("entry_id"),
+        _entry_id(x).alias("entry_id"),
         sentiment_code(F.try_variant_get(x, "$.sentiment_numeric", "variant")).alias("sentiment_numeric"),
         clean_topics(topic_values(F.try_variant_get(x, "$.categories", "variant"))).alias("categories"),
     ).filter(F.col("entry_id") != "")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from threadlens.operators import labels as lb
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
+from threadlens.plans.scan_queries import annotation_log
+from threadlens.sources.annotations import latest_annotations
 
 
 def _responses(spark, sf):
@@ -157,10 +159,7 @@ v_merged AS (
 
 
 def _merged(spark, sf):
-    from threadlens.plans.scan_queries import _annotation_log
-    from threadlens.sources.annotations import latest_annotations
-
-    latest = latest_annotations(_annotation_log(spark, sf)).withColumnRenamed("quality", "sentiment_numeric")
+    latest = latest_annotations(annotation_log(spark, sf)).withColumnRenamed("quality", "sentiment_numeric")
     rows = v.entries(spark, sf).select("entry_id", "origin", "doc_id")
     return lb.merge_labels(rows, latest, spread_by=["doc_id"])
 
@@ -182,7 +181,10 @@ def merge_audit(spark, sf):
 
 
 def _pair_sides(spark, sf):
-    """Annotation and data files of every thread, with each sort of defect in some of them."""
+    """Annotation and data files of every thread, with each sort of defect in some of them.
+
+    Some data files bear another name, so their annotations find no partner.
+    """
     kind = F.col("conv_id") % 10
     entry_id = F.when((kind == 5) & (F.col("pos") % 2 == 1), F.lit(None)).otherwise(
         (F.col("conv_id") * 100 + F.col("pos")).cast("string")
@@ -202,9 +204,8 @@ def _pair_sides(spark, sf):
         .when(kind == 4, F.lit('{"entries": {"a": 1}}'))
         .otherwise(F.col("json"))
     )
-    data = files.filter(F.col("conv_id") % 17 != 0).select(
-        F.concat(F.col("stem"), F.lit(".json")).alias("name"), data_text.alias("json")
-    )
+    elsewhere = F.when(F.col("conv_id") % 17 == 0, F.lit("lost_")).otherwise(F.lit(""))
+    data = files.select(F.concat(elsewhere, F.col("stem"), F.lit(".json")).alias("name"), data_text.alias("json"))
     return lb.inspect_annotations(annotations, "name", "json"), lb.inspect_data(data, "name", "json")
 
 

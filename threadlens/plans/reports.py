@@ -16,6 +16,7 @@ from threadlens.functions.labels import display_label, sentiment_bin
 from threadlens.functions.patterns import first_match
 from threadlens.functions.text import blank_to_null, snippet, thousands
 from threadlens.operators import frames, labels, mentions, ranking, scoring, shape, summaries, timelines
+from threadlens.sinks.threads import entry_fields, nest_entries, thread_info, thread_json
 from threadlens.sources import threads as th
 from threadlens.sources.annotations import latest_annotations, read_annotations
 
@@ -148,7 +149,9 @@ def author_tables(typed: DataFrame, authors: int = 10, samples: int = 3, seed: i
 
 
 def merge_tables(spark: SparkSession, data: str, annotations: str) -> Tables:
-    """Entries with their labels merged in per file pair, the audit counts and the error table."""
+    """Entries with their labels merged in per file pair, the audit counts, the error table, and
+    the merged threads as JSON texts ready for ``sinks.threads.write_thread_lines``.
+    """
     threads, _ = th.split_readable(th.read_threads(spark, data))
     entries = th.explode_entries(threads).select("path", "scrape_info", "pos", "entry.*")
     entries = entries.withColumn("key", F.regexp_replace(th.file_name(F.col("path")), r"\.json$", ""))
@@ -168,4 +171,10 @@ def merge_tables(spark: SparkSession, data: str, annotations: str) -> Tables:
     errors = labels.merge_errors(
         labels.inspect_annotations(texts(annotations), "name", "json"), labels.inspect_data(texts(data), "name", "json")
     )
-    return {"merged": merged, "audit": labels.merge_audit(merged, ["key"]), "errors": errors}
+    nested = nest_entries(merged, ["path"], entry_fields(), carried=["scrape_info"])
+    return {
+        "merged": merged,
+        "audit": labels.merge_audit(merged, ["key"]),
+        "errors": errors,
+        "threads": thread_json(nested, thread_info()).select("path", "part", "json"),
+    }

@@ -172,7 +172,7 @@ def folder_summary(spark, sf):
     return summaries.folder_summary(files, "folder", {"red": "Red", "green": "Green"})
 
 
-def _annotation_log(spark, sf):
+def annotation_log(spark, sf):
     """Each label, a revision of every fourth one, and records without an id."""
     raw = v.table(spark, sf, "labels")
     base = raw.select(F.col("doc_id").cast("string").alias("entry_id"), F.col("doc_id").alias("pos"), "quality")
@@ -190,7 +190,7 @@ def _annotation_log(spark, sf):
     FROM labels""",
 )
 def annotation_latest(spark, sf):
-    return latest_annotations(_annotation_log(spark, sf))
+    return latest_annotations(annotation_log(spark, sf))
 
 
 @query(

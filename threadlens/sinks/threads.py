@@ -12,10 +12,28 @@ from pyspark.sql import functions as F
 PART_SIZE = 5_000
 
 
+def entry_fields() -> list[Column]:
+    """The fields of a stored entry in their JSON types, from rows read with the reader schema."""
+    return [
+        *[F.col(c) for c in ("title", "entry_id", "author", "date", "content")],
+        F.col("has_external_url").try_cast("boolean").alias("has_external_url"),
+        F.col("sentiment_numeric").try_cast("int").alias("sentiment_numeric"),
+        *[F.col(c) for c in ("categories", "referenced_content", "referenced_entry_ids")],
+    ]
+
+
+def thread_info() -> Column:
+    """``scrape_info`` in its JSON types."""
+    info = F.col("scrape_info")
+    for name, kind in (("total_entries", "bigint"), ("filter_external_urls", "boolean")):
+        info = info.withField(name, F.col(f"scrape_info.{name}").try_cast(kind))
+    return info
+
+
 def nest_entries(
     entries: DataFrame,
     keys: Iterable[str],
-    fields: Iterable[str],
+    fields: Iterable[str | Column],
     carried: Iterable[str] = (),
     part_size: int = PART_SIZE,
 ) -> DataFrame:

@@ -27,7 +27,6 @@ def read_threads(spark: SparkSession, paths: str | list[str], lines: bool = Fals
         .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", False)
         .json(paths)
         .withColumn("path", F.col("_metadata.file_path"))
     )
