@@ -89,5 +89,21 @@ SOURCES = (
     ("siginmaci", "gocmen_titles_data/siginmaci_kw/*.json", False),
 )
 
+# Errors of the label merge, in the order in which they are looked for.
+MERGE_ERRORS = {
+    "MissingDataFile": "Data file not found for ",
+    "InvalidAnnotationJSON": "Annotation file is not valid JSON",
+    "InvalidDataJSON": "Data file is not valid JSON",
+    "AnnotationsNotList": "Annotation file is not a list",
+    "EntriesNotList": "entries field is not a list",
+    "MissingEntryID": "Entry without entry_id",
+}
+
+# How an entry stands in a prompt.
+PROMPT_ID, PROMPT_TEXT = "ENTRY_ID: ", "TEXT: "
+
+# Scores up to this far from zero are neutral.
+NEUTRAL_BAND = 0.05
+
 # A driver-side dictionary becomes a broadcast table only up to this many rows.
 MAX_BROADCAST_ROWS = 200_000

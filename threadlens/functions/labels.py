@@ -38,12 +38,12 @@ def sentiment_code(value: Column) -> Column:
     return F.when(usable & on_scale, number.cast("int")).otherwise(F.lit(config.SENTIMENT_DEFAULT))
 
 
-def sentiment_bin(score: Column) -> Column:
-    """(-1,-.05] Negative, (-.05,.05] Neutral, (.05,1] Positive; anything else null."""
+def sentiment_bin(score: Column, band: float = config.NEUTRAL_BAND) -> Column:
+    """(-1, -band] Negative, (-band, band] Neutral, (band, 1] Positive; anything else null."""
     return (
-        F.when((score > -1) & (score <= -0.05), F.lit("Negative"))
-        .when((score > -0.05) & (score <= 0.05), F.lit("Neutral"))
-        .when((score > 0.05) & (score <= 1), F.lit("Positive"))
+        F.when((score > -1) & (score <= -band), F.lit("Negative"))
+        .when((score > -band) & (score <= band), F.lit("Neutral"))
+        .when((score > band) & (score <= 1), F.lit("Positive"))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens import config
-from threadlens.functions.labels import clean_topics, sentiment_code
+from threadlens.functions.labels import clean_topics, display_label, sentiment_code
 from threadlens.functions.text import strip_blank, strip_pair_suffix
 from threadlens.operators.joins import lookup_join, number_rows
 
@@ -26,7 +26,9 @@ def pack_batches(
     kept = entries.filter(F.col("entry_id") != "")
     ranked = number_rows(kept, [thread], "pos", "rn")
     batch = F.floor((F.col("rn") - 1) / size).cast("bigint").alias("batch")
-    block = F.concat(F.lit("ENTRY_ID: "), F.col("entry_id"), F.lit("\nTEXT: "), F.col("content"))
+    block = F.concat(
+        F.lit(config.PROMPT_ID), F.col("entry_id"), F.lit("\n" + config.PROMPT_TEXT), F.col("content")
+    )
     packed = F.sort_array(F.collect_list(F.struct("rn", F.col("entry_id").alias("id"), block.alias("block"))))
     return (
         ranked.select("*", batch)
@@ -204,15 +206,8 @@ def merge_errors(annotations: DataFrame, data: DataFrame) -> DataFrame:
         .when(F.col("data_state") == "EntriesNotList", F.col("data_state"))
         .when(F.col("n_without_id") > 0, "MissingEntryID")
     )
-    message = (
-        F.when(F.col("error_type") == "MissingDataFile",
-               F.concat(F.lit("Data file not found for "), F.col("annotation_file")))
-        .when(F.col("error_type") == "InvalidAnnotationJSON", "Annotation file is not valid JSON")
-        .when(F.col("error_type") == "InvalidDataJSON", "Data file is not valid JSON")
-        .when(F.col("error_type") == "AnnotationsNotList", "Annotation file is not a list")
-        .when(F.col("error_type") == "EntriesNotList", "entries field is not a list")
-        .otherwise("Entry without entry_id")
-    )
+    text = display_label(F.col("error_type"), config.MERGE_ERRORS)
+    message = F.when(missing, F.concat(text, F.col("annotation_file"))).otherwise(text)
     copies = F.when(F.col("error_type") == "MissingEntryID", F.col("n_without_id")).otherwise(1)
     return (
         pair.withColumn("error_type", kind)

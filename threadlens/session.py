@@ -16,6 +16,8 @@ JOB_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site capture on every column expression: it costs more than the planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
