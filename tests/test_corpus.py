@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlens import config
+from threadlens.__main__ import parser, run
 from threadlens.functions.text import token_count
 from threadlens.operators import mentions, summaries
 from threadlens.plans import reports
+from threadlens.sinks.tables import read_csv
 from threadlens.sources import threads as th
 
 
@@ -95,6 +97,29 @@ def test_merge_tables(spark, folders, tmp_path):
     assert [(r.annotation_file, r.error_type) for r in tables["errors"].collect()] == [("zz_annotated.json", "MissingDataFile")]
 
 
+def test_jobs_write_their_tables(spark, folders, tmp_path):
+    paths, _ = folders
+
+    def job(*argv):
+        run(spark, parser().parse_args([*argv, "--out", f"{tmp_path}/out/{argv[0]}"]))
+        return f"{tmp_path}/out/{argv[0]}"
+
+    frames_out = job("frames", "--threads", *paths)
+    lazy = reports.frame_tables(reports.folder_entries(spark, paths))
+    assert sorted(os.listdir(frames_out)) == sorted(lazy)
+    back = read_csv(spark, f"{frames_out}/top_words", lazy["top_words"].schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, lazy["top_words"].collect()))
+    assert "stats" in os.listdir(job("counts", "--threads", *paths))
+    assert "folders" in os.listdir(job("folders", "--threads", *paths))
+    ann = tmp_path / "ann2"
+    ann.mkdir()
+    (ann / "a_annotations.json").write_text(json.dumps([{"entry_id": "Göç0", "sentiment_numeric": 1, "categories": ["HATE"]}]))
+    merged = job("merge", "--data", f"{paths[0]}/*.json", "--annotations", f"{ann}/*.json")
+    again, _ = th.split_readable(th.read_threads(spark, f"{merged}/threads", lines=True))
+    scanned = th.scan_entries(again, "x", True)
+    assert {r.entry_id: r.sentiment for r in scanned.collect()} == {"Göç0": 1, "Göç1": None, "sığ0": None}
+
+
 CORPUS = os.environ.get("THREADLENS_CORPUS", "")
 
 

@@ -16,6 +16,7 @@ from threadlens.functions.labels import display_label, sentiment_bin
 from threadlens.functions.patterns import first_match
 from threadlens.functions.text import blank_to_null, snippet, thousands
 from threadlens.operators import frames, labels, mentions, ranking, scoring, shape, summaries, timelines
+from threadlens.session import materialise
 from threadlens.sinks.threads import entry_fields, nest_entries, thread_info, thread_json
 from threadlens.sources import threads as th
 from threadlens.sources.annotations import latest_annotations, read_annotations
@@ -82,15 +83,25 @@ def frame_tables(
     block: str = config.MIGRANT_FOLDER,
     first: int = config.FIRST_YEAR,
     last: int = config.LAST_YEAR,
+    store: bool = False,
 ) -> Tables:
-    """Timelines, title frames, their trends and ratios, frequent words and bigrams."""
+    """Timelines, title frames, their trends and ratios, frequent words and bigrams.
+
+    With ``store`` the dated rows and the framed titles, which a dozen tables share, are
+    written once to the shared folder, so the threads are parsed a single time.
+    """
     group, names = "origin_folder", list(lexicon)
-    rows = timelines.dated(entries, mode=date_mode)
+    rows = timelines.dated(entries, mode=date_mode).select(group, "title", "year")
+    if store:
+        rows = materialise(rows, "dated-titles")
     main = timelines.in_years(timelines.labelled_timeline(rows, group, group_labels), first, last)
     flagged = shape.add_flags(rows.filter(F.col(group) == block).select("title", "year"), "title", subgroups)
     sub = timelines.subgroup_timeline(flagged, list(subgroups))
     titles = frames.distinct_titles(rows, group)
     framed = frames.frame_titles(titles, lexicon)
+    if store:
+        framed = materialise(framed, "framed-titles")
+        titles = framed.select(*titles.columns)
     in_block = framed.filter(F.col(group) == block)
     counts = frames.frame_counts(framed, group, names)
     by_sub = frames.frame_counts_by_subgroup(in_block, subgroups, names)
