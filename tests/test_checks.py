@@ -35,6 +35,8 @@ def _rows(names, rows):
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_matches_sql(spark, duck, name):
     df = PLANS[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(bad in plan for bad in ("CartesianProduct", "NestedLoop", "BatchEvalPython"))
     cursor = duck.execute(CHECKS[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(columns)

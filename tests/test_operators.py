@@ -192,6 +192,14 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_long_rankings_are_cut_in_slots(spark):
+    rows = [("g", (i * 7919) % 5000) for i in range(5000)] + [("h", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, s int")
+    got = joins.top_per_group(df, ["g"], [F.desc("s")], 1500, slots=4).collect()
+    want = [("g", 4999 - i, i + 1) for i in range(1500)] + [("h", 2 - i, i + 1) for i in range(3)]
+    assert sorted((r.g, r.s, r["rank"]) for r in got) == sorted(want)
+
+
 def test_extremes_take_both_ends(spark):
     df = spark.createDataFrame([("g", float(i), str(i)) for i in range(10)] + [("g", None, "x")], "g string, s double, k string")
     got = ranking.extremes(df, "g", "s", "k", 2).collect()

@@ -93,7 +93,27 @@ def number_rows(
     )
 
 
-def top_per_group(df: DataFrame, group: Iterable[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` rows per group as ``rank``; each task drops all but its own first ``n`` before the shuffle."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+# Up to this many rows per group Spark cuts a ranking on the map side by itself
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1_000
+
+
+def top_per_group(
+    df: DataFrame, group: Iterable[str], order: Sequence[Column], n: int, slots: int = 64
+) -> DataFrame:
+    """First ``n`` rows per group as ``rank``; no task ever sorts a whole large group.
+
+    Each task drops all but its own first ``n`` before the shuffle. Where ``n`` is too
+    large for Spark to do so, the rows are first ranked within slots of their group: the
+    first ``n`` of a group are among the first ``n`` of its slots.
+    """
+    group = list(group)
+
+    def cut(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+    if n > GROUP_LIMIT:
+        slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*df.columns), F.lit(slots)))
+        df = cut(slotted, [*group, "_slot"]).drop("_slot", "rank")
+    return cut(df, group)
