@@ -215,6 +215,9 @@ def test_pack_batches(spark):
     assert {k: r.n_entries for k, r in got.items()} == {("t", 0): 40, ("t", 1): 40, ("t", 2): 5, ("u", 0): 1}
     assert got["t", 1].entry_ids[0] == "e40"
     assert "ENTRY_ID: e84\nTEXT: c84" in got["t", 2].prompt
+    tight = df.filter("entry_id <> ''").withColumn("pos", F.expr("pos div 3"))
+    dense = labels.pack_batches(tight, "thread", dense=True)
+    assert {(r.thread, r.batch): r for r in dense.collect()} == got
 
 
 def test_responses_and_audit(spark):

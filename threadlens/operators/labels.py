@@ -16,15 +16,17 @@ PREAMBLE = "Label every entry below. Topic codes to choose from: " + ", ".join(c
 
 
 def pack_batches(
-    entries: DataFrame, thread: str, size: int = config.BATCH_SIZE, preamble: str = PREAMBLE
+    entries: DataFrame, thread: str, size: int = config.BATCH_SIZE, preamble: str = PREAMBLE, dense: bool = False
 ) -> DataFrame:
     """Entries of a thread in order, ``size`` per batch, with one prompt text per batch.
 
     Entries must be distinct by id within a thread. Ranks come from ``number_rows``, so
-    the largest group held anywhere is one batch.
+    the largest group held anywhere is one range of positions. With ``dense`` the caller
+    vouches that ``pos`` counts usable entries from 0 without gaps; texts are then
+    shuffled once, straight to their batch.
     """
     kept = entries.filter(F.col("entry_id") != "")
-    ranked = number_rows(kept, [thread], "pos", "rn")
+    ranked = kept.withColumn("rn", F.col("pos") + 1) if dense else number_rows(kept, [thread], "pos", "rn")
     batch = F.floor((F.col("rn") - 1) / size).cast("bigint").alias("batch")
     block = F.concat(
         F.lit(config.PROMPT_ID), F.col("entry_id"), F.lit("\n" + config.PROMPT_TEXT), F.col("content")
