@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadlens.llm import packing, token_counts, token_files
+from threadlens.llm import line_dedup, packing, quality, secrets, token_counts, token_files, url_filter
 from threadlens.session import new_path
 
 PLANS, CHECKS = {}, {}
@@ -26,6 +27,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_secret_scan")
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_table(table(spark, sf, "documents"))
+
+
+@query("op3_url_filter")
+def url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf, "pages"))
+
+
 @query("op5_token_files")
 def token_file_index(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "tokens")
@@ -33,6 +44,31 @@ def token_file_index(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
+LINES_SQL = """
+WITH line AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM line),
+shared AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.keeper AS dropped
+  FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query("op6_line_dedup", LINES_SQL)
+def deduplicated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op7_packing")
 def packed_documents(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -42,3 +78,10 @@ def packed_documents(spark: SparkSession, sf: str) -> DataFrame:
 def token_count_table(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query("op10_quality_rules")
+def quality_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
