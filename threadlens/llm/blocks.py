@@ -61,20 +61,18 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
 
 
 class Recent:
-    """A bounded cache: the older half goes when the newer one is full."""
+    """A bounded cache: the older half goes when the newer one is full. Trimmed between slices only."""
 
     def __init__(self, size: int) -> None:
         self.size, self.new, self.old = size, {}, {}
 
-    def get(self, key):
-        value = self.new.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
+    def trim(self) -> None:
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+
+    def again(self, key):
+        """A value that has left the newer half, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.new[key] = value
+        return value

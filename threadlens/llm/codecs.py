@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,10 @@ import pyarrow.compute as pc
 
 from threadlens.llm.blocks import Recent, offsets_of, ragged_positions
 
-WORDS_KEPT = 300_000
+PIECES_KEPT = 500_000
 # Words of these characters alone take the short way; case and composition are settled for them.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = (".", ",", "!", "?", ";", ":", ")")
 FIRST = "\x01"  # marks the first word of a text, which has no space before it
 
 
@@ -51,7 +53,7 @@ class Codec:
         self.model = self.library.model
         self.table = byte_table()
         self.added = [t["content"] for t in self.spec["added_tokens"]]
-        self.words, self.pieces = Recent(WORDS_KEPT), Recent(WORDS_KEPT)
+        self.pieces = Recent(PIECES_KEPT)
         self.family = self._family()
         guard = "|".join(map(re.escape, self.added)) or r"(?!)"
         self.special = re.compile(guard)
@@ -110,36 +112,63 @@ class Codec:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in got]
 
-    def word_ids(self, words: list[str]) -> list[bytes | None]:
-        out: list[bytes | None] = [None] * len(words)
-        hard, places = [], []
-        recent, pieces, plain, special = self.words, self.pieces, self.plain.fullmatch, self.special.search
-        for i, word in enumerate(words):
-            ids = recent.get(word)
-            if ids is None:
-                text = self._text(word)
-                if text is None:
+    def cuts(self, words: list[str]) -> list[list[str] | str | None]:
+        """Each word's pre-tokens as text; the text itself where only the library can cut it; None if irregular.
+
+        Letters alone, or letters and one mark, which most words are, need no pattern.
+        """
+        out: list = []
+        add, plain, special, cut = out.append, self.plain.fullmatch, self.special.search, self.cut.findall
+        spaced, lower = self.family == "bytes", self.family == "dropped"
+        for word in words:
+            if word.isascii():
+                if word.isalpha():
+                    add([" " + word if spaced else word.lower()])
                     continue
-                if not text:
-                    ids = b""
-                elif not plain(text) or special(text):
-                    hard.append(text)
-                    places.append(i)
+                stem = word[:-1]
+                if word[-1:] in MARKS and stem.isalpha():
+                    add([" " + stem, word[-1]] if spaced else [stem.lower(), word[-1]])
                     continue
+            text = self._text(word)
+            if not text:
+                add(None if text is None else [])
+            elif plain(text) and not special(text):
+                add(cut(text.lower() if lower else text))
+            else:
+                add(text)
+        return out
+
+    def word_ids(self, words: list[str]) -> list[bytes | None]:
+        pieces = self.pieces
+        pieces.trim()
+        known, again, piece = pieces.new.get, pieces.again, self._piece
+        out: list[bytes | None] = []
+        hard, places = [], []
+        for found in self.cuts(words):
+            if type(found) is list:
+                if len(found) == 1:
+                    p = found[0]
+                    out.append(known(p) or again(p) or piece(p))
                 else:
-                    if self.family == "dropped":
-                        text = text.lower()
-                    ids = b"".join([pieces.get(p) or self._piece(p) for p in self.cut.findall(text)])
-                recent.put(word, ids)
-            out[i] = ids
+                    out.append(b"".join([known(p) or again(p) or piece(p) for p in found]))
+            else:
+                if found is not None:
+                    hard.append(found)
+                    places.append(len(out))
+                out.append(None)
         for i, ids in zip(places, self._whole(hard), strict=True):
-            recent.put(words[i], ids)
             out[i] = ids
         return out
 
+    def mapped(self, piece: str) -> str:
+        """A pre-token in the alphabet of the model."""
+        if piece.isascii() and piece[1:].isalpha():
+            return "\u0120" + piece[1:] if piece[0] == " " else piece
+        return piece.translate(self.table)
+
     def _piece(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(piece.translate(self.table))], np.uint32).tobytes()
-        self.pieces.put(piece, ids)
+        ids = array("I", [t.id for t in self.model.tokenize(self.mapped(piece))]).tobytes()
+        self.pieces.new[piece] = ids
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import line_dedup, packing, quality, secrets, token_counts, token_files, url_filter
+from threadlens.llm import line_dedup, ngram_join, packing, quality, secrets, token_counts, token_files, url_filter
 from threadlens.session import new_path
 
 PLANS, CHECKS = {}, {}
@@ -32,6 +32,35 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_table(table(spark, sf, "documents"))
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, list_filter(
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
+  FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))
+    WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g
+  FROM word),
+n AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o
+  FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
+FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("op2_ngram_join", NEAR_SQL)
+def near_duplicate_table(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op3_url_filter")
 def url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf, "pages"))

@@ -24,38 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.blocks import Recent, filled, held, offsets_of, ragged_positions, slices
-from threadlens.llm.codecs import WORDS_KEPT, Codec
+from threadlens.llm.blocks import filled, held, offsets_of, ragged_positions, slices
+from threadlens.llm.codecs import Codec
 
 HOT_SHARE = 8  # a pre-token in more than one of so many documents of a block is dealt by block
 SPECIAL = "\x00"  # before the text of an added token, which counts as one
+MAPPED = "\x02"  # before a pre-token that is in the model's alphabet already
 BLOCK_SCHEMA = (
     "part int, names binary, words array<string>, entries binary, docs binary, freqs binary"
 )
 
 
 class PreTokens:
-    """Cuts words into pre-tokens (in the model's alphabet) and counts the pieces of one."""
+    """Cuts texts into pre-tokens and counts the pieces of one."""
 
     def __init__(self, path: str) -> None:
         self.codec = Codec(path)
         self.library = self.codec.library
-        self.cuts = Recent(WORDS_KEPT)
-
-    def cut(self, word: str) -> tuple[str, ...] | None:
-        found = self.cuts.get(word)
-        if found is None:
-            codec = self.codec
-            text = codec._text(word)
-            if text is None:
-                return None
-            if text and codec.plain.fullmatch(text) and not codec.special.search(text):
-                text = text.lower() if codec.family == "dropped" else text
-                found = tuple(p.translate(codec.table) for p in codec.cut.findall(text))
-            else:
-                found = tuple(self._whole(text))
-            self.cuts.put(word, found)
-        return found
 
     def _whole(self, text: str) -> list[str]:
         """Pre-tokens by the library's own steps."""
@@ -64,7 +49,7 @@ class PreTokens:
             plain = text[at : hit.start()] if hit else text[at:]
             if self.library.normalizer is not None:
                 plain = self.library.normalizer.normalize_str(plain)
-            out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)] if plain else []
+            out += [MAPPED + p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)] if plain else []
             if hit:
                 out.append(SPECIAL + hit.group())
                 at = hit.end()
@@ -74,7 +59,7 @@ class PreTokens:
         """Pre-token numbers of all texts, the distinct pre-tokens, and the offsets of the texts."""
         which, words, bounds = self.codec.split(texts)
         numbers: dict[str, int] = {}
-        cuts = [self.cut(w) for w in words]
+        cuts = [self._whole(c) if isinstance(c, str) else c for c in self.codec.cuts(words)]
         odd = np.array([c is None for c in cuts], bool)
         flat = np.array([numbers.setdefault(p, len(numbers)) for c in cuts if c for p in c], np.int64)
         sizes = np.array([len(c) if c else 0 for c in cuts], np.int64)
@@ -91,7 +76,10 @@ class PreTokens:
         return out, list(numbers), offsets
 
     def pieces(self, pre_token: str) -> int:
-        return 1 if pre_token.startswith(SPECIAL) else len(self.codec.model.tokenize(pre_token))
+        head = pre_token[:1]
+        if head == SPECIAL:
+            return 1
+        return len(self.codec.model.tokenize(pre_token[1:] if head == MAPPED else self.codec.mapped(pre_token)))
 
 
 def _whole_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
