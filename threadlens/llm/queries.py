@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import line_dedup, ngram_join, packing, quality, secrets, token_counts, token_files, url_filter
+from threadlens.llm import (
+    line_dedup, ngram_join, packing, quality, secrets, sentencepieces, token_counts, token_files, url_filter,
+    vector_links,
+)
 from threadlens.session import new_path
 
 PLANS, CHECKS = {}, {}
@@ -66,6 +70,11 @@ def url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf, "pages"))
 
 
+@query("op4_sentencepiece")
+def sentencepiece_check(spark: SparkSession, sf: str) -> DataFrame:
+    return sentencepieces.check_documents(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op5_token_files")
 def token_file_index(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "tokens")
@@ -109,8 +118,18 @@ def token_count_table(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+@query("op9_vector_links")
+def vector_link_table(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_links.link_vectors(table(spark, sf, "embeddings"))
+
+
 @query("op10_quality_rules")
 def quality_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality.judge(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept")
+
+
+PLANS["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
