@@ -4,7 +4,7 @@ Texts are cut into pre-tokens where they are read. A task groups its rows into b
 sends, for each block and each of P parts of the pre-tokens, the distinct pre-tokens with
 the documents (as numbers in the block) and frequencies they have there. A part counts the
 pieces of each of its distinct pre-tokens once, with the tokenizer's model, multiplies,
-and returns a sum per document; the sums of the parts are added up.
+and returns to each block the sums of its documents; a block adds up what its parts return.
 
 A pre-token that many documents of a block have is dealt to a part by itself and its block
 rather than by itself alone, so that no part has to take in the rows of a hot one; it is
@@ -31,7 +31,7 @@ HOT_SHARE = 8  # a pre-token in more than one of so many documents of a block is
 SPECIAL = "\x00"  # before the text of an added token, which counts as one
 MAPPED = "\x02"  # before a pre-token that is in the model's alphabet already
 BLOCK_SCHEMA = (
-    "part int, names binary, words array<string>, entries binary, docs binary, freqs binary"
+    "part int, block long, names binary, words array<string>, entries binary, docs binary, freqs binary"
 )
 
 
@@ -106,7 +106,7 @@ def _whole_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
 def _blocks(docs: DataFrame, tokenizer: str, parts: int) -> DataFrame:
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = held(("pretokens", tokenizer), lambda: PreTokens(tokenizer))
-        schema = pa.schema([("part", pa.int32()), ("names", pa.binary()), ("words", pa.list_(pa.string())),
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("names", pa.binary()), ("words", pa.list_(pa.string())),
                             ("entries", pa.binary()), ("docs", pa.binary()), ("freqs", pa.binary())])
         for batch in slices(batches, "text"):
             rows = batch.column("row").to_numpy(zero_copy_only=False).astype("<i8")
@@ -133,7 +133,7 @@ def _blocks(docs: DataFrame, tokenizer: str, parts: int) -> DataFrame:
                     continue
                 at = ragged_positions(starts[mine], entries[mine])
                 found, where = np.unique(doc[at], return_inverse=True)
-                row = [[p], [rows[found].tobytes()], [[words[i] for i in mine]], [entries[mine].astype("<u4").tobytes()],
+                row = [[p], [salt], [rows[found].tobytes()], [[words[i] for i in mine]], [entries[mine].astype("<u4").tobytes()],
                        [where.astype("<u4" if n > 65536 else "<u2").tobytes()], [_small(freq[at])]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
@@ -169,11 +169,24 @@ def _part_sums(blocks: DataFrame, tokenizer: str) -> DataFrame:
                 doc = np.frombuffer(raw, "<u2" if len(raw) == 2 * total else "<u4")
                 freq = _large(batch.column("freqs")[i].as_py(), total)
                 each = np.repeat(np.array([counts[w] for w in words], np.int64), entries) * freq
-                rows = np.frombuffer(batch.column("names")[i].as_py(), "<i8")
-                sums = np.bincount(doc, each, minlength=len(rows)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], ["row", "n"])
+                names = batch.column("names").slice(i, 1)
+                sums = np.bincount(doc, each, minlength=len(names[0].as_py()) // 8).astype("<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("block").slice(i, 1), names, pa.array([sums.tobytes()], pa.binary())],
+                    ["block", "names", "sums"])
+
+    return blocks.mapInArrow(count, "block long, names binary, sums binary")
+
+
+def _block_sums(sums: DataFrame) -> DataFrame:
+    """``row, n``: what the parts return to each block, added up."""
+
+    def add(table: pa.Table) -> pa.Table:
+        read = lambda name: np.frombuffer(b"".join(table[name].to_pylist()), "<i8")
+        rows, where = np.unique(read("names"), return_inverse=True)
+        return pa.table({"row": rows, "n": np.bincount(where, read("sums")).astype(np.int64)})
 
-    return blocks.mapInArrow(count, "row long, n long")
+    return sums.groupBy("block").applyInArrow(add, "row long, n long")
 
 
 def count_tokens(
@@ -187,7 +200,7 @@ def count_tokens(
         sums = _whole_texts(rows, tokenizer)
     else:
         dealt = _blocks(rows, tokenizer, parts).repartition(parts, "part")
-        sums = _part_sums(dealt, tokenizer).groupBy("row").agg(F.sum("n").alias("n"))
+        sums = _block_sums(_part_sums(dealt, tokenizer))
     sizes = rows.select("doc_id", "row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return sizes.join(sums, "row", "left").select(
