@@ -76,3 +76,8 @@ class Recent:
         if value is not None:
             self.new[key] = value
         return value
+
+
+def renamed(df):
+    """``df`` with its columns as ``_c0``, ``_c1``, ..., so that none clashes with an operator's own."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.llm.blocks import renamed
+
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 20
@@ -59,9 +61,10 @@ def dedup_lines(
     a document; without, rows that repeat an id count as one, for one more shuffle of hashes.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    own = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).alias("_id"))
-    own = own.withColumn("_mark", F.xxhash64(F.col("_row").getField(text_col)))
-    text = F.coalesce(F.col("_row").getField(text_col), F.lit(""))
+    own = renamed(docs.select(*columns))
+    kept_columns, at_text = own.columns, F.col(f"_c{columns.index(text_col)}")
+    own = own.withColumns({"_id": F.col(f"_c{columns.index(id_col)}"), "_mark": F.xxhash64(at_text)})
+    text = F.coalesce(at_text, F.lit(""))
     hashed = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_mark"),
         line_hashes(F.col(text_col), min_chars).alias("_hashes"),
@@ -77,11 +80,9 @@ def dedup_lines(
     )
     # A generator keeps Spark from splitting a text once per use of its lines.
     cut = own.join(lost, ["_id", "_mark"], "left").select(
-        "_row", "_drop", F.explode(F.array(F.split(text, "\n", -1))).alias("_lines"))
+        *kept_columns, "_drop", F.explode(F.array(F.split(text, "\n", -1))).alias("_lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.transform(left, lambda i: F.get("_lines", i)))
-    done = cut.select("_row", F.size("_lines").cast("long").alias("n_lines"), F.explode(F.array(kept)).alias("_kept"))
-    texts = [
-        F.array_join("_kept", "\n").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in columns
-    ]
+    done = cut.select(*kept_columns, F.size("_lines").cast("long").alias("n_lines"), F.explode(F.array(kept)).alias("_kept"))
+    texts = [(F.array_join("_kept", "\n") if c == text_col else F.col(k)).alias(c) for c, k in zip(columns, kept_columns)]
     return done.select(*texts, "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.llm.blocks import renamed
 from threadlens.session import materialise
 
 SPACE = " \t\n\x0b\f\r"
@@ -48,17 +49,18 @@ def one(column: Column) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts of each text, and its number of lines with a word."""
     kept = [c for c in docs.columns if c not in (*COUNTS, "_used")]
-    t = F.coalesce(F.col("_row").getField(text_col), F.lit(""))
+    rows = renamed(docs.select(*kept))
+    own = rows.columns
+    t = F.coalesce(F.col(own[kept.index(text_col)]), F.lit(""))
     words = F.filter(F.split(F.translate(t, SPACE, " " * len(SPACE)), " ", -1), lambda w: w != "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    rows = docs.select(F.struct(*kept).alias("_row"))
     rows = rows.select(
-        "_row",
+        *own,
         F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         one(lines).alias("_l"),
     ).select(
-        "_row", "word_chars", "n_symbols", F.size("_l").cast("long").alias("_used"),
+        *own, "word_chars", "n_symbols", F.size("_l").cast("long").alias("_used"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         one(words).alias("_w"),
     )
@@ -80,7 +82,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a: a["n"],
     )
     return rows.select(
-        *[F.col("_row").getField(c).alias(c) for c in kept], "_used", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        *[F.col(k).alias(c) for c, k in zip(kept, own)], "_used", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 

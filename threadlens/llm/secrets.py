@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.blocks import slices
+from threadlens.llm.blocks import renamed, slices
 from threadlens.session import materialise
 
 KINDS = ("assign", "access", "hex", "random")
@@ -270,7 +270,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), "text", **options)
     spans = found.filter((F.size("spans") > 0) & F.col("row").isNotNull()).groupBy(F.col("row").alias("_id")).agg(
         F.first("spans").alias("_spans"))
-    text = F.col("_row").getField(text_col)
+    rows = renamed(docs)
+    text, name = (F.col(f"_c{docs.columns.index(c)}") for c in (text_col, id_col))
     # Code points before, between and after the spans; a span inside an earlier one adds nothing.
     cut = F.aggregate(
         "_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -280,6 +281,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
             s["stop"].alias("at"))),
         lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))),
     )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id")).join(spans, "_id", "left")
+    joined = rows.withColumn("_id", name).join(spans, "_id", "left")
     clean = F.when(F.col("_spans").isNull(), text).otherwise(cut)
-    return rows.select(*[clean.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return joined.select(*[(clean if c == text_col else F.col(k)).alias(c) for c, k in zip(docs.columns, rows.columns)])
