@@ -8,11 +8,12 @@ serial correlation. Fisher's method combines them to one p-value, uniform for a
 and near 0 for a name, a path or a counter.
 
 Short strings give weak tests, so candidates are judged within strata of encoding and
-length. A stratum's distinct strings are counted by bins of p. As random strings fill all
-bins evenly, the least dense stretch of bins tells how many of them there can be at most;
-what a bin holds beyond its share are false discoveries. The cut of a stratum is the lowest
-at which the estimated share of these above it is at most ``fdr``. There are at most
-a few hundred pairs of stratum and bin, whatever the size of the corpus.
+length. A stratum's distinct strings are counted by bins of p. Random strings fill all bins
+evenly and others hardly reach the upper half, which so tells how many random strings there
+are; what lies above a cut beyond their share are false discoveries. The cut of a stratum is
+the lowest, from the level of a single test on, above which their estimated share is at most
+``fdr`` beyond chance. There are some two thousand pairs of stratum and bin at most, whatever
+the size of the corpus.
 
 A null text is an empty one and holds nothing. Each row counts, also where ids repeat;
 strings that repeat are one string in the strata. Whole texts are searched, of any length.
@@ -191,20 +192,16 @@ def scan(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) ->
 def cut_of(counts: list[int], fdr: float) -> float | None:
     """The lowest bin edge above which the estimated share of false discoveries is at most ``fdr``.
 
-    ``counts`` are distinct strings by equal bins of p. The strings that are random are
-    estimated by the least dense run of a quarter of the bins.
+    ``counts`` are distinct strings by equal bins of p. Random strings fill the bins evenly
+    and others hardly reach the upper half, so its mean tells how many random strings a bin
+    holds; what lies above an edge beyond that, less one deviation of chance, is false.
     """
     bins = len(counts)
-    wide = max(1, bins // 4)
-    density = min(sum(counts[i : i + wide]) / wide for i in range(bins - wide + 1))
+    upper = counts[bins // 2 :]
+    density = sum(upper) / len(upper)
     for i in range(math.ceil(LEVEL * bins), bins):
         above = sum(counts[i:])
-        if not above:
-            return None
-        false = sum(max(0.0, c - density) for c in counts[i:]) if density else sum(counts[i:])
-        # Chance alone lifts bins over the mean; a bin's surplus counts from two deviations on.
-        surplus = sum(max(0.0, c - density - 2 * math.sqrt(density + 1)) for c in counts[i:])
-        if min(false, surplus) <= fdr * above:
+        if above and above - density * (bins - i) <= fdr * above + math.sqrt(above):
             return i / bins
     return None
 
