@@ -116,23 +116,22 @@ def limits(sound: DataFrame, lang: str, source: str, min_group: int, reach: floa
     def lines(frame: DataFrame, by: list[str], tag: str) -> DataFrame:
         out = []
         for i, (m, side, q, margin) in enumerate(RULES):
-            at = F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
-            mid = F.kll_sketch_get_quantile_double(F.col(m), F.lit(0.5))
+            # An empty sketch has no quantiles.
+            at, mid = (F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double(F.col(m), F.lit(x))) for x in (q, 0.5))
             far = at + reach * (at - mid)
-            out.append((F.greatest(F.ceil(far / STEP) * STEP, F.lit(margin)) if side == "high"
-                        else F.least(F.floor(far / STEP) * STEP, F.lit(margin))).alias(f"{tag}{i}"))
+            limit = (F.greatest(F.ceil(far / STEP) * STEP, F.lit(margin)) if side == "high"
+                     else F.least(F.floor(far / STEP) * STEP, F.lit(margin)))
+            out.append(F.when(F.col("_n") > 0, limit).alias(f"{tag}{i}"))
         return frame.select(*by, F.col("_n").alias(f"{tag}n"), *out)
 
     languages = merged(groups, ["_lang"])
-    every = lines(merged(languages, []), [], "a")
     per_language = lines(languages, ["_lang"], "l").withColumnRenamed("_lang", "_of")
     own = lines(groups, ["_lang", "_source"], "g")
-    # Of these tables, one has a row for each pair, one for each language, and one a single row.
     joined = own.join(per_language, F.col("_lang").eqNullSafe(F.col("_of"))).drop("_of")
-    joined = joined.join(F.broadcast(every.withColumn("_all", F.lit(1))), F.lit(1) == F.col("_all"))
+    every = lines(merged(languages, []), [], "a").first()  # one row, whatever the input
     picked = [
         F.when(F.col("gn") >= min_group, F.col(f"g{i}")).when(F.col("ln") >= min_group, F.col(f"l{i}"))
-        .otherwise(F.col(f"a{i}")).alias(f"_limit{i}")
+        .otherwise(F.lit(every[f"a{i}"]).cast("double")).alias(f"_limit{i}")
         for i in range(len(RULES))
     ]
     return joined.select("_lang", "_source", *picked)
