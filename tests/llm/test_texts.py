@@ -1,0 +1,299 @@
+"""Secrets, near duplicates, lines and quality rules against plain Python on whole texts."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from threadlens.llm import line_dedup, ngram_join, quality, queries, secrets, shingles
+from threadlens.llm.components import connected
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts_of(df):
+    return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+
+# Secrets
+
+
+def plain_spans(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m.group(2)) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
+    return sorted(found)
+
+
+def check_base(docs, rows):
+    want = collections.Counter()
+    for doc, text in docs:
+        spans = plain_spans(text)
+        kinds = [k for _, k, _ in spans]
+        line = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        want[(doc, *[kinds.count(k) for k in range(3)], hashlib.sha256(line.encode()).hexdigest())] += 1
+    assert collections.Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows) == want
+
+
+def test_secret_query(spark, sf):
+    rows = queries.PLANS["op1_secret_scan"](spark, sf).collect()
+    check_base(texts_of(spark.read.parquet(f"{sf}/documents.parquet")), rows)
+
+
+def test_secrets_odd(spark, clashing, no_docs):
+    extra = spark.createDataFrame([
+        (20, 'token=secret=abcdefghijkl token: secret: abcdefghijklmnop PASSWORD = "x" apı_key=abcdefghijklmnop'),
+        (21, "AKIAAKIAAKIAAKIAAK AKIA1 é" + "deadbeef" * 2 + " \x85pass\u017fword=abcdefghijklmnop")], "doc_id long, text string")
+    docs = clashing.unionByName(extra, allowMissingColumns=True)
+    check_base(texts_of(docs), secrets.secret_table(docs).collect())
+    assert secrets.secret_table(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
+    assert secrets.redact(clashing).columns == clashing.columns
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Half the texts hold a random string, half an identifier, a path, a slug or a long word."""
+    rng, rows = random.Random(5), []
+    words = "version release station machine learning paper garden window table river street music".split()
+    for i in range(400):
+        name = list(secrets.ALPHABETS)[i % 5]
+        key = "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(rng.choice((32, 40, 64))))
+        rows.append((i, f"some words {key} and more", key))
+    for i in range(400, 800):
+        pick = [rng.choice(words) for _ in range(5)]
+        shape = [
+            "".join(w.title() for w in pick), "-".join(w.title() for w in pick), "/usr/" + "/".join(pick) + "/V2",
+            "_".join(pick) + "_ID7", "".join(pick), "0123456789ABCDEF0123456789ABCDEF",
+        ][i % 6]
+        rows.append((i, f"some words {shape} and more", None))
+    return spark.createDataFrame(rows, "doc_id long, text string, planted string")
+
+
+def test_random_strings_are_told_from_names(mixed):
+    rows = secrets.secret_table(mixed).join(mixed, "doc_id").collect()
+    hit = lambda r: r.spans != ""
+    planted, clean = [r for r in rows if r.planted], [r for r in rows if not r.planted]
+    assert sum(map(hit, planted)) >= 0.9 * len(planted)
+    assert sum(map(hit, clean)) <= 0.02 * len(clean)
+    one = next(r for r in planted if "random" in r.spans)
+    _, a, b = one.spans.split(",")[0].split(":")
+    assert one.planted in one.text[int(a) - 1 : int(b) + 1]
+
+
+def test_redaction(spark):
+    rows = [(1, "é password=abcdefghijklmnop0123456789abcdef x"), (2, None), (3, "plain"), (None, "token=abcdefghijklmnop")]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "é [SECRET] x" and got[2] is None and got[3] == "plain"
+
+
+def test_p_values_are_uniform_for_random_strings():
+    rng = random.Random(1)
+    for name, alphabet in secrets.ALPHABETS.items():
+        ps = [secrets.randomness("".join(rng.choice(alphabet) for _ in range(48)), name) for _ in range(600)]
+        assert 0.4 < np.mean(ps) < 0.6 and 0.01 < np.mean([p < 0.1 for p in ps]) < 0.2, name
+
+
+# Near duplicates
+
+
+def gram_set(text, size=5):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text)]
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+
+def plain_components(docs, num=80, den=100):
+    """Rows with their set size and component, by all pairs that share a shingle."""
+    sets = [gram_set(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        common = collections.Counter()
+        for g in s:
+            common.update(holders[g])
+            holders[g].append(i)
+        for j, both in common.items():
+            if den * both >= num * (len(s) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (doc, _) in enumerate(docs):
+        if doc is not None:
+            low[find(i)] = min(low.get(find(i), doc), doc)
+    return collections.Counter((doc, len(sets[i]), low.get(find(i))) for i, (doc, _) in enumerate(docs))
+
+
+def found_components(df, **options):
+    return collections.Counter(
+        (r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, **options).collect())
+
+
+def test_near_duplicates_odd(clashing, no_docs):
+    assert found_components(clashing) == plain_components(texts_of(clashing))
+    assert ngram_join.near_duplicates(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_near_copies_at_all_distances(spark, rounds):
+    """A large group of copies with zero to many edits, whose members link in chains, beside shared passages."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base, passage = [rng.choices(vocabulary, k=n) for n in (60, 25)]
+    docs = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 3, 5))):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        docs.append((i, " ".join(words)))
+    for i in range(300, 420):
+        docs.append((i, " ".join(rng.choices(vocabulary, k=rng.choice((0, 2, 8, 30))) + passage)))
+    for i in range(420, 520):
+        docs.append((i, " ".join(rng.choices(vocabulary, k=rng.choice((3, 5, 7))))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert found_components(df, rounds=rounds) == plain_components(docs)
+
+
+def test_hot_shingles_take_the_other_way(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_CLASSES", 3)
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(i, f"{passage} {' '.join(rng.choices('abcdefgh', k=i % 9))}") for i in range(120)]
+    assert found_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == plain_components(docs)
+
+
+def test_threshold_is_exact(spark):
+    docs = [(1, " ".join(f"a{i}" for i in range(13))), (2, " ".join(f"a{i}" for i in range(12))),
+            (3, " ".join(f"b{i}" for i in range(8))), (4, " ".join(f"b{i}" for i in range(7)))]  # 8 of 9; 3 of 4
+    assert found_components(spark.createDataFrame(docs, "doc_id long, text string")) == plain_components(docs)
+
+
+def test_shingle_sets_match_words():
+    import pyarrow as pa
+
+    texts = ["", None, "A b", "a B", "x y z x y z x y z x y z", " \t", "é É ß"]
+    sizes = [len(s) for s in shingles.shingle_sets(pa.array(texts))]
+    assert sizes == [len(gram_set(t or "")) for t in texts]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (200, 201), (201, 200)]
+    rng.shuffle(links)
+    got = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+    assert got == want
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# Lines
+
+
+def plain_lines(docs, min_chars=20, min_docs=3):
+    key = lambda l: l.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    holders = collections.defaultdict(set)
+    for doc, text in docs:
+        for line in text.split("\n"):
+            if len(key(line)) >= min_chars and doc is not None:
+                holders[key(line)].add(doc)
+    out = []
+    for doc, text in docs:
+        lines = text.split("\n")
+        kept = [x for x in lines if doc is None or len(holders[key(x)]) < min_docs or doc == max(holders[key(x)])]
+        out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return collections.Counter(out)
+
+
+def test_lines_odd(clashing, no_docs):
+    rows = line_dedup.dedup_lines(clashing, unique_ids=False)
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in rows.collect()) == plain_lines(
+        texts_of(clashing))
+    assert rows.columns == [*clashing.columns, "n_lines", "n_dropped"]
+    assert line_dedup.dedup_lines(no_docs).count() == 0
+
+
+def test_lines_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == plain_lines(texts_of(docs))
+
+
+# Quality
+
+
+def plain_measures(text):
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    counts, covered, seen, dup = collections.Counter(windows), set(), set(), 0
+    for i, w in enumerate(windows):
+        if counts[w] > 1:
+            covered.update(range(i, i + 8))
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def check_measures(docs, rows):
+    want = collections.Counter()
+    for doc, text in docs:
+        m = plain_measures(text)
+        want[(doc, *m, m[0] < 20 or 100 * m[4] > 30 * m[0])] += 1
+    assert collections.Counter(
+        (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == want
+    assert all(not (r.base_failed and r.kept) for r in rows)
+
+
+def test_quality_query(spark, sf):
+    check_measures(texts_of(spark.read.parquet(f"{sf}/documents.parquet")), queries.PLANS["op10_quality_rules"](spark, sf).collect())
+
+
+def test_quality_odd(spark, clashing, no_docs):
+    extra = [(30, "a b c d e f g h " * 3), (31, "a b c d e f g h a b c d e f g h i"), (32, "x x x x x x x x x")]
+    docs = clashing.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    judged = quality.judge(docs)
+    check_measures(texts_of(docs), judged.collect())
+    assert "text" in judged.columns and judged.filter("_id = 'x-_id'").count() > 0
+    assert quality.judge(no_docs).count() == 0
+
+
+def test_limits_follow_the_group(spark):
+    """One source writes in symbols throughout and is kept; the odd text of a plain source is not."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 7)))
+    rows = [(i, " ".join(word() + "|" * rng.randint(0, 4) for _ in range(60)), "en", "tables") for i in range(300)]
+    rows += [(i, " ".join(word() for _ in range(60)), "en", "prose") for i in range(300, 700)]
+    rows += [(i, " ".join(word() + "%%" for _ in range(60)), "en", "prose") for i in range(700, 705)]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    kept = {r.doc_id for r in judged.filter("kept").collect()}
+    assert kept == set(range(700))
+
+
+def test_quality_stays_in_spark(spark, sf):
+    for name in ("op6_line_dedup", "op10_quality_rules", "op3_url_filter"):
+        plan = queries.PLANS[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan), name
+
+
+def test_line_query_matches_sql(spark, sf):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("op2_ngram_join", "op6_line_dedup"):
+        df = queries.PLANS[name](spark, sf)
+        order = ", ".join(df.columns)
+        want = duck.execute(f"SELECT {order} FROM ({queries.CHECKS[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want), name
+    assert F.col is not None
