@@ -315,11 +315,13 @@ def test_model_failures_are_null_rows(spark):
         raise OSError("no such model")
 
     df = spark.createDataFrame([(i, "boom" if i == 5 else "x" * 600) for i in range(40)], "i int, content string")
-    got = {r.i: (r.model_label, r.model_score) for r in scoring.model_scores(df, load_fragile, tasks=2).collect()}
+    got = {r.i: (r.model_label, r.model_score) for r in scoring.model_scores(df, load_fragile, tasks=2, max_chars=512).collect()}
     assert got[5] == (None, None) and got[6] == ("positive", 512.0) and len(got) == 40
-    scored, status = scoring.multi_model_scores(df, {"a": load_fragile, "b": load_missing})
-    assert status["a"] == "ok" and "no such model" in status["b"]
-    assert "a_label" in scored.columns and "b_label" not in scored.columns
+    scored = scoring.multi_model_scores(df, {"a": load_fragile, "b": load_missing})
+    status = {r.model: (r.status, r.n) for r in scoring.model_status(scored, ["a", "b"]).collect()}
+    assert status["a"] == ("ok", 40) and "no such model" in status["b"][0]
+    assert scored.filter("b_label IS NOT NULL OR b_score IS NOT NULL").count() == 0
+    assert scored.filter("i <> 5").agg({"a_score": "min"}).first()[0] == 600.0  # whole texts unless told otherwise
 
 
 def _irls(x, y):

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from threadlens.schema import TYPED_ENTRY
 from threadlens.sinks.tables import annotation_rows, read_csv, write_annotations, write_csv, write_typed
-from threadlens.sinks.threads import nest_entries, thread_json, write_thread_lines
+from threadlens.plans import reports
+from threadlens.sinks.threads import nest_entries, thread_json, write_thread_lines, write_threads
 from threadlens.sources import threads as th
-from threadlens.sources.annotations import latest_annotations, read_annotations
+from threadlens.sources.annotations import latest_annotations, read_annotations, read_written_annotations
 from threadlens.sources.titles import read_title_lists
 from threadlens.streaming.ingest import ingest_new
 
@@ -164,18 +165,53 @@ def test_optional_fields_survive_the_rebuild(spark, tmp_path):
 def test_annotation_output(spark, tmp_path):
     df = spark.createDataFrame([("f", "1", 2, ["HATE"])], "name string, entry_id string, sentiment_numeric int, categories array<string>")
     assert annotation_rows(df, "name").first().annotation_file == "f_annotations.json"
-    write_annotations(df, "name", f"{tmp_path}/ann")
-    assert spark.read.json(f"{tmp_path}/ann").first().entry_id == "1"
+    more = df.unionByName(spark.createDataFrame([("g", str(i), 3, ["HUMAN", "ECON"]) for i in range(17)], df.schema))
+    write_annotations(more, "name", f"{tmp_path}/ann")
+    back = read_written_annotations(spark, f"{tmp_path}/ann").collect()
+    assert sorted((r.annotation_file, r.entry_id, r.sentiment_numeric, tuple(r.categories)) for r in back) == sorted(
+        (r.name + "_annotations.json", r.entry_id, r.sentiment_numeric, tuple(r.categories)) for r in more.collect())
+
+
+def test_one_badly_typed_field_costs_that_field(spark, tmp_path):
+    _write(tmp_path / "x", "a.json", {"scrape_info": {"input": "a", "filters": 7}, "entries": [
+        _entry(1, categories="HATE"), _entry(2, categories={"a": 1}, referenced_content="q"), _entry(3, categories=None)]})
+    good, bad = th.load_threads(spark, f"{tmp_path}/x/*.json")
+    assert bad.count() == 0
+    topics = {r.entry_id: r.topics for r in th.scan_entries(good, "k", True).collect()}
+    assert topics["1"] == ["HATE"] and topics["3"] == [] and len(topics) == 3
+
+
+def test_long_threads_count_once(spark, tmp_path):
+    """A thread in several stored parts is one title wherever it is counted, under its file name."""
+    rows = [("file:/c/red/long.json", p, f"i{p}", "x y", "18.06.2016 15:07", "Long") for p in range(23)]
+    rows += [("file:/c/red/short.json", 0, "s", "x", "18.06.2016 15:07", "Short")]
+    df = spark.createDataFrame(rows, "path string, pos bigint, entry_id string, content string, date string, title string")
+    nested = nest_entries(df, ["path"], ["entry_id", "content", "date", "title"], part_size=5)
+    assert nested.count() == 6
+    write_threads(thread_json(nested, F.struct(F.lit("q").alias("input"))), f"{tmp_path}/t")
+    stats = {(r.level, r.category): (r.num_titles, r.num_entries)
+             for r in reports.count_tables(spark, [f"{tmp_path}/t"], stored=True)["stats"].collect()}
+    assert stats[("overall", "ALL")] == (2, 24) and stats[("category", "red")][1] == 24
+    folders = reports.folder_table(spark, [f"{tmp_path}/t"], {"red": "Red"}, stored=True).collect()
+    assert {(r.label, r.titles, r.entries) for r in folders} == {("Red", 2, 24), ("Total", 2, 24)}
+    entries = reports.folder_entries(spark, [f"{tmp_path}/t"], "file", stored=True)
+    assert {(r.title, r.pos) for r in entries.collect()} == {("long.json", p) for p in range(23)} | {("short.json", 0)}
 
 
 def test_ingest_reads_each_file_once(spark, corpus, tmp_path):
     target, place = f"{tmp_path}/table", f"{tmp_path}/progress"
 
-    def run():
-        ingest_new(spark, str(corpus), "kuzey", True, target, place).awaitTermination()
-        return spark.read.parquet(target).count()
+    def run(source=corpus, to=target):
+        ingest_new(spark, str(source), "kuzey", True, to, place).awaitTermination()
+        return spark.read.parquet(f"{to}/entries").count()
 
     assert run() == 3
     assert run() == 3
     _write(corpus, "later.json", {"scrape_info": {"input": "z"}, "entries": [_entry(50)]})
     assert run() == 4
+    bad = spark.read.parquet(f"{target}/unreadable").collect()
+    assert sorted(r.problem for r in bad) == ["EntriesNotList", "InvalidDataJSON"]
+    # The same progress folder serves other targets and sources.
+    assert run(to=f"{tmp_path}/second") == 4
+    _write(tmp_path / "other", "one.json", {"scrape_info": {"input": "o"}, "entries": [_entry(60)]})
+    assert run(source=tmp_path / "other") == 5

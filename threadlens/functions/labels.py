@@ -26,13 +26,19 @@ def clean_topics(
     return bind(kept, lambda k: F.when(F.size(k) > 0, F.slice(k, 1, most)).otherwise(F.array(F.lit(default))))
 
 
+def topic_values(value: Column) -> Column:
+    """Topics given as a variant: a list, or one value taken as a list of one."""
+    as_list = F.try_variant_get(value, "$", "array<string>")
+    return F.coalesce(as_list, F.array_compact(F.array(F.try_variant_get(value, "$", "string"))))
+
+
 def sentiment_code(value: Column) -> Column:
     """Sentiment given as a variant: numbers are truncated, whole-number strings read.
 
     Anything else, and anything off the scale, becomes the neutral code.
     """
     number = F.try_variant_get(value, "$", "double")
-    whole = F.try_variant_get(value, "$", "string").rlike(r"^\s*[+-]?\d{1,9}\s*$")
+    whole = F.try_variant_get(value, "$", "string").rlike(r"^\s*[+-]?\d+\s*$")
     usable = (F.schema_of_variant(value) != "STRING") | whole
     on_scale = (number >= config.SENTIMENT_MIN) & (number < config.SENTIMENT_MAX + 1)
     return F.when(usable & on_scale, number.cast("int")).otherwise(F.lit(config.SENTIMENT_DEFAULT))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.labels import display_label, share
@@ -26,9 +26,15 @@ def frame_titles(titles: DataFrame, frames: Lexicon) -> DataFrame:
     return add_flags(titles, "title", frames)
 
 
-def frame_counts(framed: DataFrame, group: str, frames: Iterable[str]) -> DataFrame:
-    """Wide: titles per frame for each group."""
-    return framed.groupBy(group).agg(*[F.count_if(F.col(f)).alias(f) for f in frames])
+def _count(flag: str, weight: str | None) -> Column:
+    if weight is None:
+        return F.count_if(F.col(flag)).alias(flag)
+    return F.sum(F.when(F.col(flag), F.col(weight)).otherwise(F.lit(0))).cast("bigint").alias(flag)
+
+
+def frame_counts(framed: DataFrame, group: str, frames: Iterable[str], weight: str | None = None) -> DataFrame:
+    """Wide: titles per frame for each group, or the sum of ``weight`` over them."""
+    return framed.groupBy(group).agg(*[_count(f, weight) for f in frames])
 
 
 def title_subgroups(titles: DataFrame, subgroups: Lexicon) -> DataFrame:
@@ -51,8 +57,14 @@ def title_subgroups_fanned(entries: DataFrame, subgroups: Lexicon, group: str =
     return add_flags(fanned, "title", subgroups)
 
 
-def title_years(titles: DataFrame, entries: DataFrame) -> DataFrame:
-    """Titles with each year in which they have entries; both sides are distinct before the join."""
+def title_years(titles: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Titles with each year in which they have entries.
+
+    Without ``entries``, ``titles`` are the entries themselves and no join is needed; else
+    both sides are distinct before it.
+    """
+    if entries is None:
+        return titles.select("title", "year").distinct()
     years = entries.select("title", "year").distinct()
     return titles.select("title").distinct().join(years, "title", "left")
 
@@ -66,8 +78,30 @@ def _subgrouped(titles: DataFrame, subgroups: Lexicon, extra: Sequence[str]) ->
     return folded.select(*extra, F.explode(all_matches(F.col("_folded"), subgroups, folded=True)).alias("subgroup"))
 
 
-def frame_counts_by_subgroup(framed: DataFrame, subgroups: Lexicon, frames: Sequence[str]) -> DataFrame:
-    return frame_counts(_subgrouped(framed, subgroups, frames), "subgroup", frames)
+def frame_counts_by_subgroup(
+    framed: DataFrame, subgroups: Lexicon, frames: Sequence[str], weight: str | None = None
+) -> DataFrame:
+    """With ``weight="n_rows"`` of ``title_subgroups_fanned``, the counts of the many-to-many join."""
+    extra = [*frames, *([weight] if weight else [])]
+    return frame_counts(_subgrouped(framed, subgroups, extra), "subgroup", frames, weight)
+
+
+def frame_counts_side_by_side(
+    framed: DataFrame, group: str, labels: Mapping[str, str], subgroups: Lexicon, sub_labels: Mapping[str, str],
+    frames: Sequence[str],
+) -> DataFrame:
+    """Labelled counts of the groups and of the subgroups from one aggregate: a title counts in each it belongs to."""
+    folded = framed.select(group, *frames, fold_case(F.col("title")).alias("_folded"))
+    kinds = F.concat(
+        F.array(F.struct(F.lit(0).alias("kind"), F.col(group).alias("name"))),
+        F.transform(all_matches(F.col("_folded"), subgroups, folded=True),
+                    lambda s: F.struct(F.lit(1).alias("kind"), s.alias("name"))),
+    )
+    counted = folded.select(*frames, F.explode(kinds).alias("k")).groupBy("k.kind", "k.name").agg(
+        *[F.count_if(F.col(f)).alias(f) for f in frames])
+    label = F.when(F.col("kind") == 0, display_label(F.col("name"), labels)).otherwise(
+        display_label(F.col("name"), sub_labels))
+    return counted.select(label.alias("label"), *frames)
 
 
 def frame_counts_combined(
@@ -91,19 +125,21 @@ def frame_trend(framed: DataFrame, frames: Sequence[str], by: Sequence[str] = ()
     return count_flags(framed, [*by, "year"], frames, "frame", "n")
 
 
-def _ratios(rows: DataFrame, keys: Sequence[str], frames: Sequence[str]) -> DataFrame:
+def _ratios(rows: DataFrame, keys: Sequence[str], frames: Sequence[str], weight: str | None = None) -> DataFrame:
     """Flagged count, total and ratio per key and frame from one aggregate: no join to totals."""
-    wide = rows.groupBy(*keys).agg(
-        F.count("*").alias("total"), *[F.count_if(F.col(f)).alias(f) for f in frames]
-    )
+    total = F.count("*") if weight is None else F.sum(weight).cast("bigint")
+    wide = rows.groupBy(*keys).agg(total.alias("total"), *[_count(f, weight) for f in frames])
     long = wide.unpivot([*keys, "total"], list(frames), "frame", "n").filter(F.col("n") > 0)
     return long.withColumn("ratio", share(F.col("n"), F.col("total")))
 
 
-def frame_ratio(framed: DataFrame, subgroups: Lexicon, frames: Sequence[str], first: int, last: int) -> DataFrame:
-    """Share of a subgroup's titles that carry a frame, per year."""
+def frame_ratio(
+    framed: DataFrame, subgroups: Lexicon, frames: Sequence[str], first: int, last: int, weight: str | None = None
+) -> DataFrame:
+    """Share of a subgroup's titles that carry a frame, per year; of the rows of the fanned join with its ``weight``."""
     inside = framed.filter(F.col("year").between(first, last))
-    return _ratios(_subgrouped(inside, subgroups, ["year", *frames]), ["subgroup", "year"], frames)
+    extra = ["year", *frames, *([weight] if weight else [])]
+    return _ratios(_subgrouped(inside, subgroups, extra), ["subgroup", "year"], frames, weight)
 
 
 def frame_ratio_by_year(framed: DataFrame, frames: Sequence[str]) -> DataFrame:

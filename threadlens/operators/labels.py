@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens import config
-from threadlens.functions.labels import clean_topics, display_label, sentiment_code
+from threadlens.functions.labels import clean_topics, display_label, sentiment_code, topic_values
 from threadlens.functions.text import strip_blank, strip_pair_suffix
 from threadlens.operators.joins import lookup_join, number_rows
 
@@ -83,12 +83,6 @@ def parse_responses(responses: DataFrame, response: str) -> DataFrame:
     )
 
 
-def topic_values(value: Column) -> Column:
-    """Topics given as a variant: a list, or one value taken as a list of one."""
-    as_list = F.try_variant_get(value, "$", "array<string>")
-    return F.coalesce(as_list, F.array_compact(F.array(F.try_variant_get(value, "$", "string"))))
-
-
 def normalise_labels(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One clean ``(entry_id, sentiment_numeric, categories)`` row per usable label."""
     x = F.col("x")
@@ -151,18 +145,24 @@ def merge_audit(merged: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def inspect_annotations(files: DataFrame, name: str, text: str) -> DataFrame:
+def pair_key(name: Column, folder: Column | None = None) -> Column:
+    """What an annotation file and its data file share: the base name without its suffixes, below ``folder``."""
+    stem = strip_pair_suffix(F.regexp_replace(name, r"\.json$", ""))
+    return stem if folder is None else F.when(folder == "", stem).otherwise(F.concat(folder, F.lit("/"), stem))
+
+
+def inspect_annotations(files: DataFrame, name: str, text: str, folder: str | None = None) -> DataFrame:
     """``(key, annotation_file, ann_state)`` per annotation file; narrow, the text is dropped."""
     value = F.col("_json")
     listed = F.try_variant_get(value, "$", "array<variant>")
     state = F.when(value.isNull(), "InvalidAnnotationJSON").when(listed.isNull(), "AnnotationsNotList").otherwise("ok")
-    stem = F.regexp_replace(F.col(name), r"\.json$", "")
-    return files.select(name, _once(F.try_parse_json(F.col(text))).alias("_json")).select(
-        strip_pair_suffix(stem).alias("key"), F.col(name).alias("annotation_file"), state.alias("ann_state")
+    key = pair_key(F.col(name), None if folder is None else F.col(folder))
+    return files.select(F.col(name).alias("_name"), key.alias("key"), _once(F.try_parse_json(F.col(text))).alias("_json")).select(
+        "key", F.col("_name").alias("annotation_file"), state.alias("ann_state")
     )
 
 
-def inspect_data(files: DataFrame, name: str, text: str) -> DataFrame:
+def inspect_data(files: DataFrame, name: str, text: str, folder: str | None = None) -> DataFrame:
     """``(key, data_file, data_state, n_without_id)`` per data file; narrow, the text is dropped."""
     value = F.col("_json")
     root_is_list = F.try_variant_get(value, "$", "array<variant>").isNotNull()
@@ -174,12 +174,39 @@ def inspect_data(files: DataFrame, name: str, text: str) -> DataFrame:
         .otherwise("ok")
     )
     without = F.size(F.filter(listed, lambda e: F.try_variant_get(e, "$.entry_id", "string").isNull()))
-    return files.select(name, _once(F.try_parse_json(F.col(text))).alias("_json")).select(
-        F.regexp_replace(F.col(name), r"\.json$", "").alias("key"),
-        F.col(name).alias("data_file"),
+    stem = F.regexp_replace(F.col(name), r"\.json$", "")
+    key = stem if folder is None else F.when(F.col(folder) == "", stem).otherwise(F.concat(folder, F.lit("/"), stem))
+    rows = files.select(F.col(name).alias("_name"), key.alias("key"), _once(F.try_parse_json(F.col(text))).alias("_json")).select(
+        "key",
+        F.col("_name").alias("data_file"),
         state.alias("data_state"),
         F.when(state == "ok", F.greatest(F.coalesce(without, F.lit(0)), F.lit(0))).otherwise(0).alias("n_without_id"),
     )
+    # A thread may be stored in parts: one row per file, with the state of its worst part.
+    worst = F.max(F.struct((F.col("data_state") != "ok").alias("bad"), "data_state"))["data_state"]
+    return rows.groupBy("key", "data_file").agg(
+        worst.alias("data_state"),
+        F.sum("n_without_id").alias("n_without_id"),
+    ).withColumn("n_without_id", F.when(F.col("data_state") == "ok", F.col("n_without_id")).otherwise(0).cast("int"))
+
+
+def annotation_elements(files: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """``keep, pos, entry_id, sentiment_numeric, categories`` of each element of annotation lists given as text."""
+    listed = F.try_variant_get(F.try_parse_json(F.col(text)), "$", "array<variant>")
+    rows = files.select(*keep, F.posexplode(listed).alias("pos", "x"))
+    categories = F.try_variant_get(F.col("x"), "$.categories", "variant")
+    return rows.select(
+        *keep, "pos",
+        F.try_variant_get(F.col("x"), "$.entry_id", "string").alias("entry_id"),
+        F.try_variant_get(F.col("x"), "$.sentiment_numeric", "string").alias("sentiment_numeric"),
+        F.when(categories.isNotNull(), topic_values(categories)).alias("categories"),
+    )
+
+
+def sound_pairs(annotations: DataFrame, data: DataFrame) -> DataFrame:
+    """``key`` of the pairs whose files are both usable: the only ones that a merge may touch."""
+    pair = annotations.filter(F.col("ann_state") == "ok").select("key").distinct()
+    return data.filter(F.col("data_state") == "ok").select("key").distinct().join(pair, "key")
 
 
 def match_pairs(annotations: DataFrame, data: DataFrame) -> DataFrame:
@@ -192,8 +219,8 @@ def unmatched(annotations: DataFrame, data: DataFrame) -> DataFrame:
     return annotations.join(data, "key", "left_anti")
 
 
-def merge_errors(annotations: DataFrame, data: DataFrame) -> DataFrame:
-    """Error table ``(annotation_file, data_file, error_type, error_message)`` of all pairs.
+def merge_errors(annotations: DataFrame, data: DataFrame, with_key: bool = False) -> DataFrame:
+    """Error table ``(annotation_file, data_file, error_type, error_message)`` of all pairs, with their ``key`` if asked for.
 
     The first failing check of a pair is reported; a sound pair reports every entry
     without an id. Only file names and states are joined, no texts.
@@ -215,6 +242,7 @@ def merge_errors(annotations: DataFrame, data: DataFrame) -> DataFrame:
         pair.withColumn("error_type", kind)
         .filter(F.col("error_type").isNotNull())
         .select(
+            *["key"] * with_key,
             "annotation_file",
             F.coalesce("data_file", F.concat("key", F.lit(".json"))).alias("data_file"),
             "error_type",

@@ -16,14 +16,15 @@ Z95 = 1.96
 
 
 def negativity_logit(
-    df: DataFrame, outcome: str, dummies: Sequence[str], year: str = "year", intercept: bool = True
+    df: DataFrame, outcome: str, dummies: Sequence[str], year: str = "year", intercept: bool = True,
+    max_iter: int = 25,
 ) -> DataFrame:
     """``term, estimate, conf_low, conf_high, p_value`` of a binomial logit.
 
     Rows are first counted per distinct combination of outcome and regressors; the fit
     runs on those few weighted rows and gives the same estimates, errors and p-values
     as a fit on all rows. The year is centred on its mean. Constant regressors are
-    dropped with a warning.
+    dropped with a warning, and a fit that has not converged after ``max_iter`` steps warns too.
     """
     spark = df.sparkSession
     kept = df.filter(F.col(outcome).isNotNull() & F.col(year).isNotNull())
@@ -33,7 +34,7 @@ def negativity_logit(
         *[F.col(d).cast("double").alias(d) for d in dummies],
     ).agg(F.count("*").cast("double").alias("weight"))
     # Written once, so that a lost executor costs a read of a few rows and not a new scan.
-    cells = materialise(cells, "logit-cells").cache()
+    cells = materialise(cells, "logit-cells")
     facts = cells.agg(
         (F.sum(F.col("_year") * F.col("weight")) / F.sum("weight")).alias("mean_year"),
         (F.min("_year") < F.max("_year")).alias("year_c"),
@@ -46,12 +47,13 @@ def negativity_logit(
         cells.withColumn("year_c", F.col("_year") - F.lit(facts["mean_year"]))
     )
     fit = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="weight", fitIntercept=intercept, tol=1e-8, maxIter=25
+        family="binomial", link="logit", weightCol="weight", fitIntercept=intercept, tol=1e-8, maxIter=max_iter
     ).fit(ready)
+    if fit.summary.numIterations >= max_iter:
+        warnings.warn(f"the fit did not converge in {max_iter} steps", stacklevel=2)
     names = [*terms, "intercept"] if intercept else terms
     values = [*fit.coefficients.toArray().tolist(), *([fit.intercept] if intercept else [])]
     errors, p_values = fit.summary.coefficientStandardErrors, fit.summary.pValues
-    cells.unpersist()
     rows = [
         (n, float(v), float(v - Z95 * e), float(v + Z95 * e), float(p))
         for n, v, e, p in zip(names, values, errors, p_values)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import tokens
-from threadlens.operators.joins import small_table
 
 # Normalisation constant of the compound score, text length given to models.
 ALPHA = 15.0
@@ -22,17 +21,25 @@ Scorer = Callable[[Sequence[str]], Sequence[tuple[str, float]]]
 Loader = Callable[[], Scorer]
 
 
-def lexicon_scores(entries: DataFrame, keys: Sequence[str], valence: Mapping[str, float]) -> DataFrame:
-    """Compound score in [-1, 1] per row key: summed valences, normalised; 0 without a hit.
+def with_lexicon_score(entries: DataFrame, valence: Mapping[str, float], out: str = "compound") -> DataFrame:
+    """Adds the compound score in [-1, 1]: summed valences of the text's words, normalised; 0 without a hit.
 
-    Texts are cut into words next to the scan; word hits are summed per key before the
-    shuffle, so it carries keys and sums, never texts or tokens. ``keys`` identify a row.
+    A row's words are cut down to those of the lexicon by a hash set before their valences
+    are looked up, so the score is made in place: no row per word, no join, no shuffle.
     """
-    spark = entries.sparkSession
-    table = small_table(spark, sorted(valence.items()), "word string, valence double")
-    words = entries.select(*keys, F.explode_outer(tokens(F.lower("content"))).alias("word"))
-    sums = words.join(table, "word", "left").groupBy(*keys).agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("s"))
-    return sums.select(*keys, (F.col("s") / F.sqrt(F.col("s") * F.col("s") + ALPHA)).alias("compound"))
+    words = sorted(valence)
+    if not words:
+        return entries.withColumn(out, F.lit(0.0))
+    table = F.create_map(*[F.lit(x) for w in words for x in (w, float(valence[w]))])
+    hits = F.filter(tokens(F.lower("content")), lambda w: w.isin(words))
+    total = F.aggregate(hits, F.lit(0.0), lambda s, w: s + table[w])
+    staged = entries.withColumn("_s", F.explode(F.array(F.coalesce(total, F.lit(0.0)))))
+    return staged.withColumn(out, F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + ALPHA)).drop("_s")
+
+
+def lexicon_scores(entries: DataFrame, keys: Sequence[str], valence: Mapping[str, float]) -> DataFrame:
+    """``keys`` and the compound score of each row."""
+    return with_lexicon_score(entries.select(*keys, "content"), valence).select(*keys, "compound")
 
 
 def _score_batch(scorer: Scorer, texts: list[str]) -> list[tuple[str | None, float | None]]:
@@ -46,53 +53,48 @@ def _score_batch(scorer: Scorer, texts: list[str]) -> list[tuple[str | None, flo
 
 
 def model_scores(
-    entries: DataFrame, load: Loader, text: str = "content", prefix: str = "model", tasks: int | None = None
+    entries: DataFrame, load: Loader, text: str = "content", prefix: str = "model", tasks: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Add ``<prefix>_label`` and ``<prefix>_score``; the model is loaded once per task.
+    """Add ``<prefix>_label``, ``<prefix>_score`` and ``<prefix>_status``; the model is loaded once per task.
 
-    Texts are cut to what the model reads before they leave the JVM. ``tasks`` spreads
-    the rows evenly first, where one input file holds much of the work.
+    A model that cannot be loaded where a task runs gives null scores and the error as the
+    status of its rows, not a failed job. ``max_chars`` cuts texts to what a model reads
+    before they leave the JVM. ``tasks`` spreads the rows evenly first, where one input file
+    holds much of the work.
     """
 
-    @F.pandas_udf("label string, score double")
+    @F.pandas_udf("label string, score double, status string")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = load()
+        try:
+            scorer, status = load(), "ok"
+        except Exception as error:
+            scorer, status = None, f"{type(error).__name__}: {error}"
         for batch in batches:
-            out: list[tuple[str | None, float | None]] = []
             values = batch.tolist()
+            out: list[tuple[str | None, float | None]] = []
             for i in range(0, len(values), MODEL_BATCH):
-                out.extend(_score_batch(scorer, values[i : i + MODEL_BATCH]))
-            yield pd.DataFrame(out, columns=["label", "score"])
+                part = values[i : i + MODEL_BATCH]
+                out.extend([(None, None)] * len(part) if scorer is None else _score_batch(scorer, part))
+            yield pd.DataFrame([(*pair, status) for pair in out], columns=["label", "score", "status"])
 
     rows = entries.repartition(tasks) if tasks else entries
-    cut = F.left(F.coalesce(F.col(text), F.lit("")), F.lit(MODEL_TEXT_LENGTH))
-    return (
-        rows.withColumn("_s", score(cut))
-        .withColumn(f"{prefix}_label", F.col("_s.label"))
-        .withColumn(f"{prefix}_score", F.col("_s.score"))
-        .drop("_s")
-    )
-
-
-def load_status(loaders: Mapping[str, Loader]) -> dict[str, str]:
-    """Try each loader once: name -> ``ok`` or the error text."""
-    status = {}
-    for name, load in loaders.items():
-        try:
-            load()
-            status[name] = "ok"
-        except Exception as error:  # a model that cannot be loaded is reported, not fatal
-            status[name] = f"{type(error).__name__}: {error}"
-    return status
+    whole = F.coalesce(F.col(text), F.lit(""))
+    scored = rows.withColumn("_s", score(whole if max_chars is None else F.left(whole, F.lit(max_chars))))
+    return scored.withColumns({f"{prefix}_{f}": F.col(f"_s.{f}") for f in ("label", "score", "status")}).drop("_s")
 
 
 def multi_model_scores(
-    entries: DataFrame, loaders: Mapping[str, Loader], text: str = "content"
-) -> tuple[DataFrame, dict[str, str]]:
-    """Scores of every model that loads, side by side, and the load status of all."""
-    status = load_status(loaders)
+    entries: DataFrame, loaders: Mapping[str, Loader], text: str = "content", max_chars: int | None = None
+) -> DataFrame:
+    """Scores and status of every model, side by side."""
     scored = entries
     for name, load in loaders.items():
-        if status[name] == "ok":
-            scored = model_scores(scored, load, text, prefix=name)
-    return scored, status
+        scored = model_scores(scored, load, text, prefix=name, max_chars=max_chars)
+    return scored
+
+
+def model_status(scored: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``model, status, n``: how many rows each model scored, or why it did not."""
+    return scored.select(*[F.col(f"{n}_status").alias(n) for n in names]).unpivot(
+        [], list(names), "model", "status").groupBy("model", "status").agg(F.count("*").alias("n"))

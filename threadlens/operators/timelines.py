@@ -51,5 +51,25 @@ def combined_timeline(
     return dense_grid(averaged, "label", "entries", first, last, kind="double")
 
 
+def side_by_side_timeline(
+    flagged: DataFrame, group: str, labels: Mapping[str, str], flags: Sequence[str], sub_labels: Mapping[str, str],
+    first: int, last: int,
+) -> DataFrame:
+    """``combined_timeline`` of groups and subgroups of the same rows, which are read once."""
+    counted = flagged.groupBy(group, "year").agg(
+        F.count("*").alias("entries"), *[F.count_if(F.col(f)).alias(f) for f in flags])
+    cells = F.array(
+        F.struct(F.lit(0).alias("kind"), display_label(F.col(group), labels).alias("label"), F.col("entries").alias("n")),
+        *[F.struct(F.lit(i).alias("kind"), F.lit(sub_labels.get(f)).alias("label"), F.col(f).alias("n"))
+          for i, f in enumerate(flags, 1)],
+    )
+    # A group's cells stay apart by group; those of a subgroup add up over the groups.
+    per = counted.select(group, "year", F.explode(cells).alias("c")).filter("c.label IS NOT NULL AND c.n > 0")
+    own = F.when(F.col("c.kind") == 0, F.col(group)).alias("_own")
+    summed = per.groupBy("c.kind", own, "c.label", "year").agg(F.sum("c.n").alias("entries"))
+    averaged = summed.groupBy("label", "year").agg(F.avg("entries").alias("entries"))
+    return dense_grid(averaged, "label", "entries", first, last, kind="double")
+
+
 def timeline_wide(df: DataFrame, group: str, names: Sequence[str]) -> DataFrame:
     return to_wide(timeline(df, group), "year", group, "entries", names)

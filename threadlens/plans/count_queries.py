@@ -137,10 +137,8 @@ def subgroup_timeline(spark, sf):
 )
 def combined_timeline(spark, sf):
     """Groups and subgroups on one grid; one subgroup shares a group's label, so those cells average."""
-    rows = _flagged_posts(spark, sf)
-    main = timelines.labelled_timeline(rows, "category", v.LABELS)
-    sub = timelines.subgroup_timeline(rows, v.SUBGROUP_NAMES)
-    return timelines.combined_timeline(main, sub, v.SUBGROUP_LABELS, v.FIRST, v.LAST)
+    return timelines.side_by_side_timeline(
+        _flagged_posts(spark, sf), "category", v.LABELS, v.SUBGROUP_NAMES, v.SUBGROUP_LABELS, v.FIRST, v.LAST)
 
 
 @query(

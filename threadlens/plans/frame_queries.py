@@ -46,10 +46,8 @@ def frame_counts_subgroup(spark, sf):
     VIEWS,
 )
 def frame_counts_combined(spark, sf):
-    framed = _framed(spark, sf)
-    base = frames.frame_counts(framed, "category", v.FRAME_NAMES)
-    sub = frames.frame_counts_by_subgroup(framed, v.SUBGROUPS, v.FRAME_NAMES)
-    return frames.frame_counts_combined(base, sub, "category", v.LABELS, v.SUBGROUP_LABELS, v.FRAME_NAMES)
+    return frames.frame_counts_side_by_side(
+        _framed(spark, sf), "category", v.LABELS, v.SUBGROUPS, v.SUBGROUP_LABELS, v.FRAME_NAMES)
 
 
 SQL_TOTAL = " + ".join(v.FRAME_NAMES)
@@ -153,5 +151,44 @@ def title_subgroups_fanout(spark, sf):
     VIEWS,
 )
 def title_years(spark, sf):
+    return frames.title_years(v.posts(spark, sf))
+
+
+SQL_FANNED = f"""
+v_fanned AS (
+  SELECT t.*, {', '.join(f'f.s_{n}' for n in v.SUBGROUP_NAMES)}
+  FROM v_framed t
+  JOIN (SELECT title, {v.sql_flags('title', v.SUBGROUPS, 's_')} FROM v_posts) f ON t.title = f.title),
+v_fanned_sub AS (
+  {' UNION ALL '.join(f"SELECT '{n}' AS subgroup, * FROM v_fanned WHERE s_{n}" for n in v.SUBGROUP_NAMES)})"""
+
+
+def _fanned(spark, sf):
     posts = v.posts(spark, sf)
-    return frames.title_years(frames.distinct_titles(posts, "category"), posts)
+    fanned = frames.title_subgroups_fanned(posts, v.SUBGROUPS, "category").drop(*v.SUBGROUP_NAMES)
+    return frames.frame_titles(fanned, v.FRAMES)
+
+
+@query(
+    "frame_counts_subgroup_fanout",
+    f"SELECT subgroup, {SQL_COUNTS} FROM v_fanned_sub GROUP BY subgroup",
+    [*VIEWS, SQL_FANNED],
+)
+def frame_counts_subgroup_fanout(spark, sf):
+    """Frame counts over the rows of the many-to-many join, by their multiplicities."""
+    return frames.frame_counts_by_subgroup(_fanned(spark, sf), v.SUBGROUPS, v.FRAME_NAMES, weight="n_rows")
+
+
+@query(
+    "frame_ratio_fanout",
+    f"""
+    s AS (SELECT * FROM v_fanned_sub WHERE year BETWEEN {v.FIRST} AND {v.LAST}),
+    m AS ({_melted('s', 'subgroup, year')}),
+    t AS (SELECT subgroup, year, count(*) AS total FROM s GROUP BY subgroup, year),
+    c AS (SELECT subgroup, year, frame, count(*) AS n FROM m GROUP BY subgroup, year, frame)
+    SELECT subgroup, year, frame, n, total, n / total AS ratio FROM c JOIN t USING (subgroup, year)""",
+    [*VIEWS, SQL_FANNED],
+)
+def frame_ratio_fanout(spark, sf):
+    """Frame ratios over the rows of the many-to-many join."""
+    return frames.frame_ratio(_fanned(spark, sf), v.SUBGROUPS, v.FRAME_NAMES, v.FIRST, v.LAST, weight="n_rows")

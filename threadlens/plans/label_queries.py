@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.operators import labels as lb
+from threadlens.plans import reports
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
 from threadlens.plans.scan_queries import annotation_log
+from threadlens.session import new_path
+from threadlens.sinks.threads import write_threads
+from threadlens.sources import threads as th
 from threadlens.sources.annotations import latest_annotations
 
 
@@ -161,7 +165,7 @@ v_merged AS (
 def _merged(spark, sf):
     latest = latest_annotations(annotation_log(spark, sf)).withColumnRenamed("quality", "sentiment_numeric")
     rows = v.entries(spark, sf).select("entry_id", "origin", "doc_id")
-    return lb.merge_labels(rows, latest, spread_by=["doc_id"])
+    return lb.merge_labels(rows, latest, spread_by=["doc_id"], probe=False)
 
 
 @query("label_merge", "SELECT entry_id, origin, sentiment_numeric, merged FROM v_merged", [v.V_ENTRIES, SQL_MERGED])
@@ -198,7 +202,7 @@ def _pair_sides(spark, sf):
         .when(kind == 2, '{"entry_id": "1"}')
         .otherwise('[{"entry_id": "1", "sentiment_numeric": 2}]')
     )
-    annotations = files.select(ann_name.alias("name"), ann_text.alias("json"))
+    annotations = files.filter("part = 0").select(ann_name.alias("name"), ann_text.alias("json"))
     data_text = (
         F.when(kind == 3, F.left("json", F.lit(20)))
         .when(kind == 4, F.lit('{"entries": {"a": 1}}'))
@@ -213,7 +217,7 @@ SQL_PAIRS = """
 v_pairs AS (
   SELECT f.conv_id, f.stem, f.conv_id % 10 AS kind, f.conv_id % 17 = 0 AS lost,
          f.stem || CASE WHEN f.conv_id % 2 = 0 THEN '_annotations' ELSE '_annotated' END || '.json' AS annotation_file,
-         f.stem || '.json' AS data_file, f.part
+         f.stem || '.json' AS data_file
   FROM v_files f)"""
 
 
@@ -242,7 +246,7 @@ def pair_missing(spark, sf):
           UNION ALL SELECT annotation_file, data_file, 'EntriesNotList', 'entries field is not a list'
           FROM v_pairs WHERE NOT lost AND kind = 4
           UNION ALL SELECT p.annotation_file, p.data_file, 'MissingEntryID', 'Entry without entry_id'
-          FROM v_pairs p JOIN v_threads t ON p.conv_id = t.conv_id AND t.pos // 5000 = p.part
+          FROM v_pairs p JOIN v_threads t ON p.conv_id = t.conv_id
           WHERE NOT lost AND kind = 5 AND t.pos % 2 = 1)
     SELECT * FROM e""",
     [v.V_FILES, SQL_PAIRS],
@@ -263,3 +267,64 @@ def incremental_titles(spark, sf):
     rows = v.entries(spark, sf).select("title", F.col("doc_id").alias("pos"), "origin")
     collected = rows.filter(F.col("origin").isin("src1", "src2")).select("title")
     return lb.new_titles(rows.drop("origin"), collected)
+
+
+def _chain_texts(spark, sf):
+    """Thread files (in parts) of several folders that share file names, and an annotation file for most of them.
+
+    Every seventh annotation file is an object and every eleventh cut off: their pairs must not be merged.
+    """
+    k = F.col("conv_id")
+    place = F.concat(F.col("folder"), F.lit("/t"), F.floor(k / 3).cast("string"))  # the same name in each folder
+    data = v.thread_files(spark, sf).select(
+        F.concat(F.lit("/data/"), place, F.lit(".json")).alias("path"), "folder", "json")
+    notes = v.threads(spark, sf).filter((k % 5 != 4) & (F.col("pos") % 2 == 0)).groupBy("conv_id", "folder").agg(
+        F.collect_list(F.struct(
+            "entry_id", (F.col("pos") % 5 + 1).alias("sentiment_numeric"),
+            F.when(F.col("pos") % 4 == 0, F.lit("HATE")).otherwise(F.lit("HUMAN")).alias("categories"))).alias("x"))
+    text = F.to_json("x")
+    text = F.when(k % 7 == 0, F.lit('{"entry_id": "1"}')).when(k % 11 == 0, F.left(text, F.lit(9))).otherwise(text)
+    annotations = notes.select(
+        F.concat(F.lit("/notes/"), place, F.lit("_annotations.json")).alias("path"), "folder", text.alias("json"))
+    return data, annotations
+
+
+@query(
+    "merged_chain",
+    """
+    SELECT 't' || (conv_id // 3) || '.json' AS file, folder AS category, entry_id, pos,
+           CASE WHEN pos % 2 = 0 THEN pos % 5 + 1 END AS sentiment,
+           CASE WHEN pos % 4 = 0 THEN 'HATE' WHEN pos % 2 = 0 THEN 'HUMAN' ELSE '' END AS topics,
+           md5(content) AS content_md5
+    FROM v_threads WHERE conv_id % 5 <> 4 AND conv_id % 7 <> 0 AND conv_id % 11 <> 0""",
+    [v.V_THREADS],
+)
+def merged_chain(spark, sf):
+    """Merge, the written threads, and the build that reads them: every entry of every sound pair, with its labels."""
+    tables = reports.merge_texts(*_chain_texts(spark, sf))
+    path = new_path(spark, "merged-threads")
+    write_threads(tables["threads"], path)
+    good, _ = th.load_threads(spark, [path], stored=True)
+    rows = th.scan_entries(good, th.folder_name(F.col("path")), True, keep=["path"])
+    return rows.select(
+        th.file_name(F.col("path")).alias("file"), "category", "entry_id", "pos",
+        F.col("sentiment").cast("bigint").alias("sentiment"), F.array_join("topics", ",").alias("topics"),
+        F.md5("content").alias("content_md5"))
+
+
+@query(
+    "merged_chain_errors",
+    """
+    SELECT folder, 't' || (conv_id // 3) || '_annotations.json' AS annotation_file,
+           CASE WHEN conv_id % 7 = 0 THEN 'AnnotationsNotList' ELSE 'InvalidAnnotationJSON' END AS error_type
+    FROM (SELECT DISTINCT conv_id, folder FROM v_threads)
+    WHERE conv_id % 5 <> 4 AND (conv_id % 7 = 0 OR conv_id % 11 = 0)""",
+    [v.V_THREADS],
+)
+def merged_chain_errors(spark, sf):
+    data, notes = _chain_texts(spark, sf)
+    name = th.file_name(F.col("path")).alias("name")
+    states = lb.inspect_annotations(notes.select(name, "folder", "json"), "name", "json", "folder")
+    files = lb.inspect_data(data.select(name, "folder", "json"), "name", "json", "folder")
+    return lb.merge_errors(states, files, with_key=True).select(
+        F.substring_index("key", "/", 1).alias("folder"), "annotation_file", "error_type")

@@ -14,10 +14,10 @@ from threadlens.plans import views as v
 from threadlens.plans.catalog import query
 from threadlens.schema import POLYMORPHIC
 from threadlens.session import new_path
-from threadlens.sinks.tables import annotation_rows, read_csv, write_csv, write_typed
+from threadlens.sinks.tables import annotation_rows, read_csv, write_annotations, write_csv, write_typed
 from threadlens.sinks.threads import nest_entries
 from threadlens.sources import threads as th
-from threadlens.sources.annotations import latest_annotations
+from threadlens.sources.annotations import latest_annotations, read_written_annotations
 from threadlens.sources.titles import clean_titles
 
 CLOCK = f"strftime(try_strptime(date_raw, '%d.%m.%Y %H:%M'), {v.SQL_ISO})"
@@ -47,7 +47,7 @@ def thread_scan(spark, sf):
     )
 
 
-SOURCE_SPECS = (("en", True), ("fr", True), ("de", False), ("es", False))
+LABELLED_SOURCES = ("en", "fr")
 
 
 @query(
@@ -59,15 +59,13 @@ SOURCE_SPECS = (("en", True), ("fr", True), ("de", False), ("es", False))
     [v.V_ENTRIES, v.V_LABELS],
 )
 def source_union(spark, sf):
-    """Four sources, two of them with labels, under one schema."""
-    docs = v.entries(spark, sf).select("entry_id", "category")
-    parts = []
-    for category, labelled in SOURCE_SPECS:
-        part = docs.filter(F.col("category") == category)
-        parts.append(part.join(v.labels(spark, sf), "entry_id", "left") if labelled else part)
-    rows = th.union_sources(parts)
+    """All sources under one schema, two of them with labels: one scan, one label join."""
+    rows = v.entries(spark, sf).select("entry_id", "category").join(v.labels(spark, sf), "entry_id", "left")
+    has_labels = F.coalesce(F.col("category").isin(*LABELLED_SOURCES), F.lit(False))
+    topics = F.when(has_labels, F.array_join("topics", ","))
     return rows.select(
-        "entry_id", "category", "sentiment", F.coalesce(F.array_join("topics", ","), F.lit("")).alias("topics")
+        "entry_id", "category", F.when(has_labels, F.col("sentiment")).alias("sentiment"),
+        F.coalesce(topics, F.lit("")).alias("topics"),
     )
 
 
@@ -75,7 +73,7 @@ def source_union(spark, sf):
     "folder_scan",
     """
     SELECT t.folder AS origin_folder, f.stem || '.json' AS title, t.pos, t.entry_id, t.date_raw
-    FROM v_threads t JOIN v_files f ON t.conv_id = f.conv_id AND t.pos // 5000 = f.part""",
+    FROM v_threads t JOIN v_files f ON t.conv_id = f.conv_id""",
     [v.V_FILES],
 )
 def folder_scan(spark, sf):
@@ -87,27 +85,31 @@ def folder_scan(spark, sf):
 @query(
     "corrupt_quarantine",
     """
-    SELECT conv_id, part,
+    SELECT conv_id,
            CASE conv_id % 10 WHEN 0 THEN 'InvalidDataJSON' WHEN 5 THEN 'EntriesNotList' ELSE 'ok' END AS status,
-           CASE WHEN conv_id % 10 IN (0, 5) THEN 0 ELSE n_entries END AS n_entries
+           CASE WHEN conv_id % 10 IN (0, 5) THEN 0 ELSE n_entries END AS n_entries,
+           CASE WHEN conv_id % 10 = 3 THEN 'HATE' ELSE '' END AS topics
     FROM v_files""",
     [v.V_FILES],
 )
 def corrupt_quarantine(spark, sf):
-    """Some files cut in half, some with an object for entries; the rest still reads."""
+    """Some files cut in half, some with an object for entries; the rest still reads, badly typed topics included."""
     kind = F.col("conv_id") % 10
+    odd = F.regexp_replace("json", r'\{"title":', '{"categories":"HATE","referenced_content":7,"title":')
     broken = (
         F.when(kind == 0, F.left("json", F.floor(F.length("json") / 2).cast("int")))
         .when(kind == 5, F.lit('{"scrape_info": {"input": "x"}, "entries": {"a": 1}}'))
+        .when(kind == 3, odd)
         .otherwise(F.col("json"))
     )
     files = v.thread_files(spark, sf).withColumn("json", broken)
     good, bad = th.split_readable(th.parse_threads(files, "json"))
-    return good.select(
-        "conv_id", "part", F.lit("ok").alias("status"), F.size("entries").cast("bigint").alias("n_entries")
-    ).unionByName(
-        bad.select("conv_id", "part", F.col("problem").alias("status"), F.lit(0).cast("bigint").alias("n_entries"))
-    )
+    read = th.scan_entries(good, "forum", True, keep=["conv_id"]).groupBy("conv_id").agg(
+        F.lit("ok").alias("status"), F.count("*").alias("n_entries"),
+        F.array_join(F.sort_array(F.collect_set(F.array_join("topics", ","))), ";").alias("topics"))
+    return read.unionByName(bad.select(
+        "conv_id", F.col("problem").alias("status"), F.lit(0).cast("bigint").alias("n_entries"), F.lit("").alias("topics")
+    ).distinct())
 
 
 def _summary(spark, sf):
@@ -168,7 +170,8 @@ def folder_summary(spark, sf):
     """Every tenth file is unreadable: a title, but no entries; one folder has no label."""
     broken = F.when(F.col("conv_id") % 10 == 0, F.lit("{")).otherwise(F.col("json"))
     parsed = th.parse_threads(v.thread_files(spark, sf).withColumn("json", broken), "json")
-    files = parsed.select("folder", F.when(F.col("entries").isNotNull(), F.size("entries")).alias("n_entries"))
+    parts = parsed.select("conv_id", "folder", F.when(F.col("entries").isNotNull(), F.size("entries")).alias("n_entries"))
+    files = parts.groupBy("conv_id", "folder").agg(F.sum("n_entries").alias("n_entries"))
     return summaries.folder_summary(files, "folder", {"red": "Red", "green": "Green"})
 
 
@@ -318,6 +321,28 @@ def annotation_only(spark, sf):
     return annotation_rows(rows, "origin").withColumn("categories", F.array_join("categories", ","))
 
 
+@query(
+    "annotation_files",
+    """
+    SELECT e.origin || '_annotations.json' AS annotation_file, e.entry_id, l.sentiment AS sentiment_numeric,
+           array_to_string(l.topics, ',') AS categories
+    FROM v_entries e JOIN v_labels l ON e.entry_id = l.entry_id""",
+    [v.V_ENTRIES, v.V_LABELS],
+)
+def annotation_files(spark, sf):
+    """The same records written to a folder per target file and read back."""
+    rows = (
+        v.entries(spark, sf)
+        .select("entry_id", "origin")
+        .join(v.labels(spark, sf), "entry_id")
+        .withColumnsRenamed({"sentiment": "sentiment_numeric", "topics": "categories"})
+    )
+    path = new_path(spark, "annotations")
+    write_annotations(rows, "origin", path)
+    back = read_written_annotations(spark, path)
+    return back.withColumn("categories", F.array_join("categories", ","))
+
+
 @query(
     "default_fill",
     """

@@ -167,7 +167,8 @@ v_counted AS (SELECT entry_id, category, length(t) AS n, length(t) - length(repl
 )
 def model_score(spark, sf):
     rows = v.entries(spark, sf).select("entry_id", "content")
-    return scoring.model_scores(rows, load_vowel_scorer).drop("content")
+    scored = scoring.model_scores(rows, load_vowel_scorer, max_chars=scoring.MODEL_TEXT_LENGTH)
+    return scored.drop("content", "model_status")
 
 
 @query(
@@ -180,11 +181,11 @@ def model_score(spark, sf):
     [v.V_ENTRIES, SQL_COUNTED],
 )
 def multi_model_score(spark, sf):
-    """Two stand-in models side by side; the third cannot be loaded and is skipped."""
+    """Two stand-in models side by side; a third cannot be loaded and has no scores."""
     rows = v.entries(spark, sf).select("entry_id", "content")
     loaders = {"vowels": load_vowel_scorer, "absent": load_absent_scorer, "length": load_length_scorer}
-    scored, _ = scoring.multi_model_scores(rows, loaders)
-    return scored.drop("content")
+    scored = scoring.multi_model_scores(rows, loaders, max_chars=scoring.MODEL_TEXT_LENGTH)
+    return scored.select("entry_id", "vowels_label", "vowels_score", "length_label", "length_score")
 
 
 @query("negativity_logit")
@@ -199,3 +200,28 @@ def negativity_logit(spark, sf):
         *[F.col(name).cast("int").alias(name) for name in lexicon],
     )
     return fit_logit(coded, "negative", ["is_ther", *lexicon])
+
+
+SQL_ODDS = f"""
+v_odds AS (
+  SELECT count(*) FILTER (y AND x) AS a, count(*) FILTER (NOT y AND x) AS b,
+         count(*) FILTER (y AND NOT x) AS c, count(*) FILTER (NOT y AND NOT x) AS d
+  FROM (SELECT score < 50 AS y, k % 2 = 0 AS x FROM v_events WHERE score IS NOT NULL AND k IS NOT NULL))"""
+
+
+@query(
+    "logit_one_flag",
+    """
+    t AS (
+      SELECT 'even' AS term, ln(a * d / (b * c)) AS e, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS s FROM v_odds
+      UNION ALL SELECT 'intercept', ln(c / d), sqrt(1 / c + 1 / d) FROM v_odds)
+    SELECT term, round(e, 5) AS estimate, round(e - 1.96 * s, 5) AS conf_low, round(e + 1.96 * s, 5) AS conf_high FROM t""",
+    [v.V_EVENTS, SQL_ODDS],
+)
+def logit_one_flag(spark, sf):
+    """The regression on one flag alone, whose estimates and errors have a closed form: log odds and their ratio."""
+    rows = v.events(spark, sf).filter("score IS NOT NULL AND k IS NOT NULL").select(
+        (F.col("score") < 50).cast("int").alias("low"), (F.col("k") % 2 == 0).cast("int").alias("even"),
+        F.lit(2000).alias("year"))
+    fit = fit_logit(rows, "low", ["even"])
+    return fit.select("term", *[F.round(c, 5).alias(c) for c in ("estimate", "conf_low", "conf_high")])

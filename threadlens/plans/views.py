@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.operators import timelines
-from threadlens.sources.tables import read_table, spread
-from threadlens.sinks.threads import PART_SIZE, nest_entries, thread_json
+from threadlens.sinks.threads import nest_entries, thread_json
+from threadlens.sources.tables import read_table
 
 # Lexicons over words that occur in the benchmark texts.
 FRAMES = {
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("entry_id"),
         "doc_id",
         F.substring_index("text", "\n", 1).alias("title"),
@@ -152,18 +152,20 @@ v_threads AS (
          text AS content, ['red', 'green', 'blue'][conv_id % 3 + 1] AS folder
   FROM conversations)"""
 
-# The same rows grouped into files of at most PART_SIZE entries.
-V_FILES = V_THREADS + f""",
+# The same rows by thread, that is by file.
+V_FILES = V_THREADS + """,
 v_files AS (
-  SELECT conv_id, pos // {PART_SIZE} AS part, any_value(folder) AS folder, any_value(title) AS title,
-         'thread_' || conv_id || CASE WHEN pos // {PART_SIZE} > 0 THEN '_p' || (pos // {PART_SIZE}) ELSE '' END AS stem,
+  SELECT conv_id, any_value(folder) AS folder, any_value(title) AS title, 'thread_' || conv_id AS stem,
          count(*) AS n_entries
-  FROM v_threads GROUP BY conv_id, pos // {PART_SIZE})"""
+  FROM v_threads GROUP BY conv_id)"""
+
+# Entries per stored part in the queries: most threads come in several parts, which no result may show.
+STORED_PART = 3
 
 
 def thread_files(spark: SparkSession, sf: str, title: Column | None = None, author: Column | None = None,
                  entry_id: Column | None = None) -> DataFrame:
-    """Thread JSON texts with a path, as a folder of thread files would give them.
+    """Thread JSON texts with a path, as ``write_threads`` stores them: a row for each part of a thread.
 
     Columns passed in replace the fields of that name inside the entries.
     """
@@ -179,13 +181,10 @@ def thread_files(spark: SparkSession, sf: str, title: Column | None = None, auth
         "content",
     )
     nested = nest_entries(
-        rows, ["conv_id"], ["title", "entry_id", "author", "date", "content"], carried=["folder", "input"]
-    )
-    stem = F.concat(
-        F.lit("thread_"),
-        F.col("conv_id").cast("string"),
-        F.when(F.col("part") > 0, F.concat(F.lit("_p"), F.col("part").cast("string"))).otherwise(F.lit("")),
+        rows, ["conv_id"], ["title", "entry_id", "author", "date", "content"], carried=["folder", "input"],
+        part_size=STORED_PART,
     )
+    stem = F.concat(F.lit("thread_"), F.col("conv_id").cast("string"))
     return (
         thread_json(nested, F.struct("input"), "json")
         .withColumn("stem", stem)

@@ -1,7 +1,7 @@
 """Reader schemas and the typed entry table.
 
-JSON leaves are read as strings so that one badly typed value never makes a whole
-thread unreadable; the typed projection casts them afterwards.
+JSON leaves are read as strings, and lists as variants, so that one badly typed value never
+makes a whole thread unreadable; the typed projection casts them afterwards.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ def _struct(*names: str, **nested: T.DataType) -> T.StructType:
     return T.StructType(fields + [T.StructField(n, t) for n, t in nested.items()])
 
 
-QUOTED_ENTRY = _struct("type", "title", "entry_id", "author", "date", "content", "has_external_url")
+# Fields whose kind varies from file to file are read as variants.
+ANY = T.VariantType()
 
 ENTRY = _struct(
     "title",
@@ -26,9 +27,9 @@ ENTRY = _struct(
     "content",
     "has_external_url",
     "sentiment_numeric",
-    categories=T.ArrayType(T.StringType()),
-    referenced_content=T.ArrayType(QUOTED_ENTRY),
-    referenced_entry_ids=T.ArrayType(T.StringType()),
+    categories=ANY,
+    referenced_content=ANY,
+    referenced_entry_ids=ANY,
 )
 
 SCRAPE_INFO = _struct(
@@ -37,7 +38,7 @@ SCRAPE_INFO = _struct(
     "input",
     "time_filter",
     "filter_external_urls",
-    filters=T.ArrayType(T.StringType()),
+    filters=ANY,
 )
 
 # ``offset`` is the position of the first entry where a file holds a later part of a thread.
@@ -66,7 +67,7 @@ ANNOTATION = T.StructType(
     [
         T.StructField("entry_id", T.StringType()),
         T.StructField("sentiment_numeric", T.StringType()),
-        T.StructField("categories", T.ArrayType(T.StringType())),
+        T.StructField("categories", ANY),
         T.StructField("entries", T.StringType()),
         T.StructField(CORRUPT, T.StringType()),
     ]

@@ -39,5 +39,10 @@ def annotation_rows(labels: DataFrame, name: str) -> DataFrame:
 
 
 def write_annotations(labels: DataFrame, name: str, path: str) -> None:
-    """Annotation records as JSON lines in one folder per target file."""
-    annotation_rows(labels, name).write.mode("overwrite").json(path)
+    """Annotation records as JSON lines in one folder per target file (``annotation_file=NAME``).
+
+    Read back with ``sources.annotations.read_written_annotations``. A rebalance lets a file
+    with much of the records be written by many tasks.
+    """
+    rows = annotation_rows(labels, name).hint("rebalance", F.col("annotation_file"))
+    rows.write.mode("overwrite").partitionBy("annotation_file").json(path)

@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Entries per stored part. A thread up to this size is one JSON object; a longer one
-# becomes consecutive parts, so that no task ever holds a whole viral thread.
+# Entries per stored part, a parameter of ``nest_entries``. A longer thread becomes
+# consecutive parts, so that no task ever holds a whole viral thread; parts are a matter of
+# storage only, and readers put them together again.
 PART_SIZE = 5_000
 
 
@@ -48,7 +49,11 @@ def nest_entries(
         entries.select("*", part)
         .groupBy(*keys, "part")
         .agg(
-            F.transform(F.sort_array(F.collect_list(packed)), lambda x: x["e"]).alias("entries"),
+            # By position alone: entries may hold variants, which have no order.
+            F.transform(
+                F.array_sort(F.collect_list(packed), lambda a, b: F.sign(a["pos"] - b["pos"]).cast("int")),
+                lambda x: x["e"],
+            ).alias("entries"),
             *[F.any_value(c).alias(c) for c in carried],
         )
         .withColumn("offset", F.when(F.col("part") > 0, F.col("part") * part_size))
@@ -60,6 +65,16 @@ def thread_json(nested: DataFrame, scrape_info: Column, out: str = "json") -> Da
     return nested.withColumn(out, F.to_json(F.struct("offset", scrape_info.alias("scrape_info"), "entries")))
 
 
+def write_threads(nested: DataFrame, path: str, column: str = "json") -> None:
+    """The threads as a table of ``path, part, json``, which keeps file and folder names.
+
+    Read back in full with ``sources.threads.load_threads(..., stored=True)``. Everything
+    downstream counts a thread by its ``path``, in how many parts it may be stored.
+    """
+    part = F.col("part") if "part" in nested.columns else F.lit(0)
+    nested.select("path", part.cast("bigint").alias("part"), F.col(column).alias("json")).write.mode("overwrite").parquet(path)
+
+
 def write_thread_lines(nested: DataFrame, path: str, column: str = "json") -> None:
-    """One JSON object per line; read back with ``read_threads(..., lines=True)``."""
+    """One JSON object per line, without file names; read back with ``read_threads(..., lines=True)``."""
     nested.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

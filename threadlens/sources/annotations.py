@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.functions.labels import topic_values
 from threadlens.schema import ANNOTATION
 from threadlens.sources.threads import read_threads
 
@@ -14,7 +15,14 @@ from threadlens.sources.threads import read_threads
 def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per list element with ``path`` and its position in the file."""
     rows = read_threads(spark, paths, schema=ANNOTATION)
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    categories = F.when(F.col("categories").isNotNull(), topic_values(F.col("categories")))
+    return rows.withColumns({"categories": categories, "pos": F.monotonically_increasing_id()})
+
+
+def read_written_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """``annotation_file`` and the records of a folder that ``sinks.tables.write_annotations`` wrote."""
+    schema = "entry_id string, sentiment_numeric int, categories array<string>, annotation_file string"
+    return spark.read.schema(schema).json(path)
 
 
 def latest_annotations(annotations: DataFrame, keys: Iterable[str] = ("entry_id",), order: str = "pos") -> DataFrame:

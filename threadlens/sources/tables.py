@@ -5,21 +5,5 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-# A table of at most this many scan tasks is cheap to shuffle.
-SPREAD_MAX_TASKS = 16
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out evenly if a small scan has fewer tasks than the cluster has cores.
-
-    Meant for text work on a few row groups. Beyond a few scan tasks (of at most
-    ``spark.sql.files.maxPartitionBytes`` each) the table is left alone, so nothing
-    large is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df.rdd.getNumPartitions()
-    return df.repartition(cores) if tasks < cores and tasks <= SPREAD_MAX_TASKS else df

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from threadlens.config import MISSING_SENTIMENT
 from threadlens.functions.dates import iso_text, parse_stamp
-from threadlens.functions.labels import truthy_flag
+from threadlens.functions.labels import topic_values, truthy_flag
 from threadlens.functions.text import strip_blank, token_count
 from threadlens.schema import CORRUPT, POLYMORPHIC, THREAD, TYPED_ENTRY
+from threadlens.session import materialise
 
 
 def read_threads(spark: SparkSession, paths: str | list[str], lines: bool = False, schema=THREAD) -> DataFrame:
@@ -63,6 +64,16 @@ def split_readable(threads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, tagged.filter(F.col("problem").isNotNull())
 
 
+def load_threads(spark: SparkSession, paths: Iterable[str], stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(readable threads, quarantine) of thread files, or of tables that ``sinks.threads.write_threads`` wrote.
+
+    The files are parsed once, into the shared folder, whatever is made of them afterwards.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    rows = parse_threads(spark.read.parquet(*paths).select("path", "json"), "json") if stored else read_threads(spark, paths)
+    return split_readable(materialise(rows, "threads"))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -109,9 +120,7 @@ def scan_entries(
         cat.alias("category"),
         truthy_flag(e["has_external_url"]).alias("has_external_url"),
         F.when(has_labels, e["sentiment_numeric"].try_cast("tinyint")).alias("sentiment"),
-        F.when(has_labels, F.coalesce(e["categories"], F.array().cast("array<string>")))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("topics"),
+        F.when(has_labels, topic_values(e["categories"])).otherwise(F.array().cast("array<string>")).alias("topics"),
     )
 
 
@@ -119,13 +128,27 @@ def union_sources(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_corpus(spark: SparkSession, root: str, sources, date_mode: str = "first") -> DataFrame:
-    """Typed entries of all configured sources, tagged with their category."""
-    parts = []
+def read_corpus(spark: SparkSession, root: str, sources, date_mode: str = "first") -> tuple[DataFrame, DataFrame]:
+    """(typed entries of all configured sources, quarantine), both tagged with their category.
+
+    A source whose pattern does not end in ``.json`` is a table written by ``write_threads``.
+    """
+    parts, unreadable = [], []
     for category, pattern, labelled in sources:
-        good, _ = split_readable(read_threads(spark, f"{root.rstrip('/')}/{pattern}"))
+        good, bad = load_threads(spark, f"{root.rstrip('/')}/{pattern}", stored=not pattern.endswith(".json"))
         parts.append(scan_entries(good, category, labelled, date_mode=date_mode))
-    return union_sources(parts)
+        unreadable.append(quarantine(bad).withColumn("category", F.lit(category)))
+    return union_sources(parts), union_sources(unreadable)
+
+
+def quarantine(bad: DataFrame) -> DataFrame:
+    """``path, problem`` of the threads that could not be read."""
+    return bad.select("path", "problem")
+
+
+def part_of_thread() -> Column:
+    """Place of a stored part in its thread; 0 for whole threads."""
+    return F.coalesce(F.col("offset").try_cast("bigint"), F.lit(0))
 
 
 def scan_folders(threads: DataFrame, title_from: str = "thread", keep: Iterable[str] = ("path",)) -> DataFrame:

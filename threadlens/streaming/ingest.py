@@ -6,6 +6,7 @@ rule for files; rows need no state, so there is no watermark.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadlens.schema import CORRUPT, THREAD
-from threadlens.session import checkpoint_dir
-from threadlens.sources.threads import export_shape, scan_entries, split_readable
+from threadlens.session import materialise
+from threadlens.sources.threads import export_shape, quarantine, scan_entries, split_readable
 
 
 def stream_threads(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -30,23 +31,22 @@ def stream_threads(spark: SparkSession, folder: str, files_per_batch: int = 10_0
 
 
 def ingest_new(
-    spark: SparkSession,
-    folder: str,
-    category: str,
-    labelled: bool,
-    target: str,
-    checkpoint: str | None = None,
+    spark: SparkSession, folder: str, category: str, labelled: bool, target: str, checkpoint: str,
 ) -> StreamingQuery:
-    """Append typed entries of all new files to the table at ``target``, then stop."""
-    good, _ = split_readable(stream_threads(spark, folder))
-    typed = export_shape(scan_entries(good, category, labelled))
-    place = checkpoint or os.path.join(checkpoint_dir(spark), f"ingest-{category}")
-    return (
-        typed.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", place)
-        .partitionBy("category")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Append typed entries of all new files to ``target/entries`` and unreadable ones to ``target/unreadable``, then stop.
+
+    ``checkpoint`` is a folder for progress. What is done is kept there per source folder,
+    category and target, so another source or target starts by itself.
+    """
+    place = f"{checkpoint.rstrip('/')}/{hashlib.sha256(repr((folder, category, target)).encode()).hexdigest()[:16]}"
+
+    def append(batch: DataFrame, number: int) -> None:
+        good, bad = split_readable(materialise(batch, "ingest"))
+        for name, rows in (("entries", export_shape(scan_entries(good, category, labelled))), ("unreadable", quarantine(bad))):
+            # A batch that runs again after a failure replaces what it left.
+            rows.withColumn("batch", F.lit(f"{os.path.basename(place)}-{number}")).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy(*["category"] * (name == "entries"), "batch").parquet(
+                f"{target.rstrip('/')}/{name}")
+
+    stream = stream_threads(spark, folder).writeStream.foreachBatch(append)
+    return stream.option("checkpointLocation", place).trigger(availableNow=True).start()
