@@ -23,6 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (
     ("allow", "org/"),
@@ -36,6 +38,7 @@ FEATURES = (
     "n_params", "has_fragment", "hyphens", "longest_label", "suffix_seen", "suffix_blocked", "pair_seen", "pair_blocked",
 )
 MAX_TRAIN = 20_000
+TRAIN_TASKS = 6
 TREES, TREE_DEPTH, SEED = 12, 4, 17
 PRIOR = 10  # a suffix's blocked share is drawn to the overall share as by so many urls
 
@@ -172,6 +175,8 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = TREES, d
     drawn = labelled.filter(F.pmod(F.xxhash64("_url", F.lit(SEED)), F.lit(scale)) < int(scale * min(1.0, max_train / n)))
     full = with_suffixes(drawn, tables, overall).withColumn("_y", (F.col("_label") == "block").cast("double"))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(full).select("_features", "_y")
+    # The trees pass over these rows some hundred times: a bounded number, written once, in a few even tasks.
+    rows = materialise(rows, "labelled-urls").coalesce(TRAIN_TASKS)
     if rows.select("_y").distinct().count() < 2:
         return UrlModel(None, {}, overall)
     learner = GBTClassifier(
