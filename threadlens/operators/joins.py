@@ -41,6 +41,9 @@ def lookup_join(
     spread_by: Sequence[str],
     salts: int = 64,
     probe: bool | DataFrame = True,
+    fraction: float = 0.01,
+    min_sampled: int = 1_000,
+    most: int = 1_000,
 ) -> DataFrame:
     """Left join to a table with unique ``keys``, safe for hot and null keys on the left.
 
@@ -48,6 +51,9 @@ def lookup_join(
     them apart), and only the matching right rows are repeated per slot. ``probe`` is the
     table of hot keys, or whether to look for them; with ``False`` only null keys are
     spread. AQE still turns the join into a broadcast when the right side proves small.
+    ``fraction``, ``min_sampled`` and ``most`` say how hot keys are found (``heavy_keys``):
+    by default those with about 100,000 rows or more, at most a thousand. They bear on
+    where rows go, never on the result.
     """
     keys = list(keys)
     slot = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
@@ -55,7 +61,7 @@ def lookup_join(
     if probe is False:
         a, b = left, right.withColumn("_slot", F.lit(0))
     else:
-        hot = heavy_keys(left, keys) if probe is True else probe
+        hot = heavy_keys(left, keys, fraction, min_sampled, most) if probe is True else probe
         marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
         slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         a = left.join(marked, keys, "left")
@@ -93,19 +99,15 @@ def number_rows(
     )
 
 
-# Up to this many rows per group Spark cuts a ranking on the map side by itself
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1_000
-
-
 def top_per_group(
-    df: DataFrame, group: Iterable[str], order: Sequence[Column], n: int, slots: int = 64
+    df: DataFrame, group: Iterable[str], order: Sequence[Column], n: int, slots: int = 0
 ) -> DataFrame:
-    """First ``n`` rows per group as ``rank``; no task ever sorts a whole large group.
+    """First ``n`` rows per group as ``rank``.
 
-    Each task drops all but its own first ``n`` before the shuffle. Where ``n`` is too
-    large for Spark to do so, the rows are first ranked within slots of their group: the
-    first ``n`` of a group are among the first ``n`` of its slots.
+    Each task drops all but its own first ``n`` before the shuffle, as Spark does for ``n``
+    up to ``spark.sql.optimizer.windowGroupLimitThreshold``. For longer lists give
+    ``slots``: rows are then ranked within as many slots of their group first, whose first
+    ``n`` hold those of the group, so no task sorts a whole large group.
     """
     group = list(group)
 
@@ -113,7 +115,7 @@ def top_per_group(
         w = Window.partitionBy(*by).orderBy(*order)
         return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
-    if n > GROUP_LIMIT:
+    if slots:
         slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*df.columns), F.lit(slots)))
         df = cut(slotted, [*group, "_slot"]).drop("_slot", "rank")
     return cut(df, group)
