@@ -62,7 +62,8 @@ def lookup_join(
         a, b = left, right.withColumn("_slot", F.lit(0))
     else:
         hot = heavy_keys(left, keys, fraction, min_sampled, most) if probe is True else probe
-        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        marked = hot.withColumn("_hot", F.lit(True))
+        marked = F.broadcast(marked) if probe is True else marked  # at most `most` rows; another table by its size
         slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         a = left.join(marked, keys, "left")
         b = right.join(marked, keys, "left").withColumn("_slot", F.explode(slots)).drop("_hot")

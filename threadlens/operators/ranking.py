@@ -26,9 +26,9 @@ def top_authors(df: DataFrame, n: int = 10) -> DataFrame:
 def author_samples(df: DataFrame, top: DataFrame, key: Column, n: int = 3, seed: int = 0) -> DataFrame:
     """Up to ``n`` entries of each top author, drawn by a seeded hash so that reruns agree.
 
-    ``top`` comes from ``top_authors`` and is bounded by its own limit.
+    ``top`` comes from ``top_authors``; Spark broadcasts it by its size.
     """
-    picked = df.join(F.broadcast(top.select("author")), "author", "left_semi")
+    picked = df.join(top.select("author"), "author", "left_semi")
     draw = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return top_per_group(picked.withColumn("_draw", draw), ["author"], [F.col("_draw"), key], n).drop("_draw")
 
