@@ -41,6 +41,26 @@ SEED = 11
 DECODED = "class long, label string, mult long, vector binary, filters binary"
 
 
+def unit_vectors(raw: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, first by their largest number, which keeps squares within range."""
+    scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def packed_rows(raw: np.ndarray) -> list[bytes]:
+    """Each row's numbers, in single precision where that holds them exactly."""
+    with np.errstate(over="ignore"):
+        single = raw.astype("<f4")
+    exact = (single == raw).all(axis=1)
+    return [s.tobytes() if e else r.tobytes() for e, s, r in zip(exact, single, raw.astype("<f8"))]
+
+
+def unpacked_rows(rows: list[bytes], dims: int) -> np.ndarray:
+    if all(len(r) == 4 * dims for r in rows):
+        return np.frombuffer(b"".join(rows), "<f4").reshape(-1, dims).astype(np.float64)
+    return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dims else "<f8").astype(np.float64) for r in rows])
+
+
 def cap_height(dims: int, share: float) -> float:
     """The height whose cap holds ``share`` of the unit sphere."""
     u = np.linspace(-1, 1, 400_001)
@@ -93,7 +113,14 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
         F.coalesce(F.min("id"), F.xxhash64("label", "vector")).alias("class"), F.count("*").alias("mult"))
 
 
+def _number_kind(words: int) -> str:
+    """The type that holds the numbers of all filters."""
+    return "<i4" if words * words < 2**31 else "<i8"
+
+
 def _decoded(classes: DataFrame, words: int, filters: float, least: int) -> DataFrame:
+    kind = _number_kind(words)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("vector")
@@ -102,25 +129,25 @@ def _decoded(classes: DataFrame, words: int, filters: float, least: int) -> Data
                 at = pa.array(np.flatnonzero(sizes == dims))
                 mine = batch.take(at)
                 raw = mine.column("vector").flatten().to_numpy().reshape(-1, dims)
-                large = np.abs(raw).max(axis=1, keepdims=True)  # keeps squares within range
-                unit = raw / large
-                unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = unit_vectors(raw)
                 code = held(("product code", int(dims), words, filters, least),
                             lambda: ProductCode(int(dims), words, filters, least))
                 labels = pa.array([f"{dims}:{x}" for x in mine.column("label").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [mine.column("class"), labels, mine.column("mult"), pa.array([v.tobytes() for v in unit], pa.binary()),
-                     pa.array([f.tobytes() for f in code.decode(unit)], pa.binary())],
+                    [mine.column("class"), labels, mine.column("mult"), pa.array(packed_rows(raw), pa.binary()),
+                     pa.array([f.astype(kind).tobytes() for f in code.decode(unit)], pa.binary())],
                     ["class", "label", "mult", "vector", "filters"])
 
     return classes.select("class", "label", "mult", "vector").mapInArrow(decode, DECODED)
 
 
-def _bucket_rows(decoded: DataFrame, block: int) -> DataFrame:
+def _bucket_rows(decoded: DataFrame, block: int, words: int) -> DataFrame:
     """A row for each class and filter that others share, once for each pair of blocks it takes part in."""
+    kind = _number_kind(words)
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.frombuffer(x, np.int64) for x in batch.column("filters").to_pylist()]
+            lists = [np.frombuffer(x, kind).astype(np.int64) for x in batch.column("filters").to_pylist()]
             at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
             numbers = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*batch.take(at).columns, numbers], [*batch.schema.names, "filter"])
@@ -134,16 +161,17 @@ def _bucket_rows(decoded: DataFrame, block: int) -> DataFrame:
                        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
-def _compared(rows: DataFrame, cosine: float, parts: int) -> DataFrame:
+def _compared(rows: DataFrame, cosine: float, parts: int, words: int) -> DataFrame:
     """``class, n, to``: links of a class in a pair of blocks (weighed by copies), or a link to ``to``."""
-    key = ["label", "filter", "lo", "hi"]
+    key, kind = ["label", "filter", "lo", "hi"], _number_kind(words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("to", pa.int64())])
 
         def bucket(t: pa.RecordBatch) -> list[list]:
             """Columns of what the classes of a bucket give: counts first, then links."""
-            vectors = np.frombuffer(b"".join(t.column("vector").to_pylist())).reshape(t.num_rows, -1)
+            dims = int(t.column("label")[0].as_py().partition(":")[0])
+            vectors = unit_vectors(unpacked_rows(t.column("vector").to_pylist(), dims))
             like = vectors @ vectors.T >= cosine
             if t.column("lo")[0].as_py() != t.column("hi")[0].as_py():
                 blocks = t.column("own").to_numpy()
@@ -155,7 +183,7 @@ def _compared(rows: DataFrame, cosine: float, parts: int) -> DataFrame:
             lists, used = t.column("filters").to_pylist(), np.unique(np.concatenate([i, j]))
             lower = {}  # filters before this one, which would have seen the pair first
             for k in used.tolist():
-                numbers = np.frombuffer(lists[k], np.int64)
+                numbers = np.frombuffer(lists[k], kind)
                 lower[k] = set(numbers[: np.searchsorted(numbers, here)].tolist())
             first = np.array([lower[x].isdisjoint(lower[y]) for x, y in zip(i.tolist(), j.tolist())], bool)
             i, j = i[first], j[first]
@@ -216,7 +244,7 @@ def link_vectors(
     classes = materialise(_classes(vectors, id_col, vector_col, label_col), "classes")
     words = max(MIN_WORDS, int(np.ceil(np.sqrt(classes.count()))))
     decoded = materialise(_decoded(classes, words, filters, least), "decoded")
-    found = materialise(_compared(_bucket_rows(decoded, block), cosine, parts), "compared")
+    found = materialise(_compared(_bucket_rows(decoded, block, words), cosine, parts, words), "compared")
     sums = found.groupBy("class").agg(F.sum("n").alias("n"))
     components = connected(found.filter(F.col("to").isNotNull()).select(F.col("class").alias("a"), F.col("to").alias("b")))
     lowest = components.select(F.col("node").alias("class"), "component")
