@@ -24,7 +24,10 @@ def held(key, make: Callable[[], object]):
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in runs whose ``column`` holds at most ``limit`` bytes, or one row."""
+    """The same rows in runs whose ``column`` holds at most ``limit`` bytes, or one row.
+
+    At the end, memory that Arrow keeps for later goes back: a reused worker may idle long.
+    """
     for batch in batches:
         sizes = binary_lengths(batch.column(column))
         ends = np.cumsum(sizes)
@@ -34,6 +37,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def binary_lengths(column: pa.Array) -> np.ndarray:

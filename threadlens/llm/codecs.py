@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 
 from threadlens.llm.blocks import Recent, offsets_of, ragged_positions
 
-PIECES_KEPT = 500_000
+PIECES_KEPT = 400_000
 # Words of these characters alone take the short way; case and composition are settled for them.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-MARKS = (".", ",", "!", "?", ";", ":", ")")
+MARKS = re.escape(".,!?;:)")
 FIRST = "\x01"  # marks the first word of a text, which has no space before it
 
 
@@ -53,10 +53,11 @@ class Codec:
         self.model = self.library.model
         self.table = byte_table()
         self.added = [t["content"] for t in self.spec["added_tokens"]]
-        self.pieces = Recent(PIECES_KEPT)
+        self.pieces, self.last = Recent(PIECES_KEPT), {}
         self.family = self._family()
         guard = "|".join(map(re.escape, self.added)) or r"(?!)"
         self.special = re.compile(guard)
+        self.simple = re.compile(rf"([{LATIN}]+)([{MARKS}])?")
         if self.family == "bytes":
             self.plain = re.compile(rf"[ \n\t!-~{LATIN}]+")
             self.cut = re.compile(
@@ -96,7 +97,7 @@ class Codec:
             marked = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        return coded.indices.to_numpy(), coded.dictionary.to_pylist(), lists.offsets.to_numpy().astype(np.int64)
+        return coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy().astype(np.int64)
 
     def _text(self, word: str) -> str | None:
         """The text that a word stands for; None if it makes its text irregular."""
@@ -112,26 +113,30 @@ class Codec:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in got]
 
-    def cuts(self, words: list[str]) -> list[list[str] | str | None]:
-        """Each word's pre-tokens as text; the text itself where only the library can cut it; None if irregular.
+    def cuts(self, words: list[str]) -> list[list[str] | tuple[str, ...] | str | None]:
+        """Each word's pre-tokens; the text itself where only the library can cut it; None if irregular.
 
-        Letters alone, or letters and one mark, which most words are, need no pattern.
+        Letters alone, or letters and one mark, which most words are, need no further pattern.
         """
         out: list = []
-        add, plain, special, cut = out.append, self.plain.fullmatch, self.special.search, self.cut.findall
+        add, simple, plain, special, cut = (
+            out.append, self.simple.fullmatch, self.plain.fullmatch, self.special.search, self.cut.findall)
         spaced, lower = self.family == "bytes", self.family == "dropped"
         for word in words:
-            if word.isascii():
-                if word.isalpha():
-                    add([" " + word if spaced else word.lower()])
-                    continue
-                stem = word[:-1]
-                if word[-1:] in MARKS and stem.isalpha():
-                    add([" " + stem, word[-1]] if spaced else [stem.lower(), word[-1]])
-                    continue
+            if word.isascii() and word.isalpha():
+                add((" " + word,) if spaced else (word.lower(),))
+                continue
+            found = simple(word)
+            if found is not None:
+                if found.lastindex == 1:
+                    add((" " + word,) if spaced else (word.lower(),))
+                else:
+                    stem, mark = found.groups()
+                    add((" " + stem, mark) if spaced else (stem.lower(), mark))
+                continue
             text = self._text(word)
             if not text:
-                add(None if text is None else [])
+                add(None if text is None else ())
             elif plain(text) and not special(text):
                 add(cut(text.lower() if lower else text))
             else:
@@ -139,27 +144,33 @@ class Codec:
         return out
 
     def word_ids(self, words: list[str]) -> list[bytes | None]:
-        pieces = self.pieces
+        """Ids of distinct words as bytes; None for words that make their text irregular."""
+        last, pieces = self.last, self.pieces
         pieces.trim()
+        out = list(map(last.get, words))
+        fresh = [i for i, ids in enumerate(out) if ids is None]
         known, again, piece = pieces.new.get, pieces.again, self._piece
-        out: list[bytes | None] = []
         hard, places = [], []
-        for found in self.cuts(words):
-            if type(found) is list:
-                if len(found) == 1:
-                    p = found[0]
-                    out.append(known(p) or again(p) or piece(p))
-                else:
-                    out.append(b"".join([known(p) or again(p) or piece(p) for p in found]))
+        for i, found in zip(fresh, self.cuts([words[i] for i in fresh]), strict=True):
+            if found is None:
+                continue
+            if type(found) is str:
+                hard.append(found)
+                places.append(i)
+            elif len(found) == 1:
+                p = found[0]
+                out[i] = known(p) or again(p) or piece(p)
             else:
-                if found is not None:
-                    hard.append(found)
-                    places.append(len(out))
-                out.append(None)
+                out[i] = b"".join([known(p) or again(p) or piece(p) for p in found])
         for i, ids in zip(places, self._whole(hard), strict=True):
             out[i] = ids
+        self.last = dict(zip(words, out))  # those of the slice before: most frequent words come again
         return out
 
+    def rest(self) -> None:
+        """Give up what only helps from slice to slice."""
+        self.last = {}
+
     def mapped(self, piece: str) -> str:
         """A pre-token in the alphabet of the model."""
         if piece.isascii() and piece[1:].isalpha():

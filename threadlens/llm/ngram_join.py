@@ -5,7 +5,8 @@
 2. Document frequencies. A task packs its n-grams by parts; a part counts the classes of each
    n-gram and returns those found in two classes or more. An n-gram that many classes of one
    block hold is hot: it sends its part a single note, and its entries go on by other parts,
-   so no part takes in the rows of a hot n-gram. Hot n-grams order after all others.
+   so no part takes in the rows of a hot n-gram. Hot n-grams order after all others. There
+   are ``spark.sql.shuffle.partitions`` parts; a task holds one, seven bytes for each n-gram.
 3. Prefixes. The n-grams of a class in order of frequency, rare first: with similarity t, two
    classes of a and b n-grams can only link if they share one among the first a - ceil(ta) + 1
    and b - ceil(tb) + 1. N-grams of one class lead the order and can match nothing: a class

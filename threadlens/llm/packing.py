@@ -120,6 +120,7 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in out],
                 ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
+        codec.rest()
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),

@@ -37,7 +37,7 @@ SPACE_MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 THREADS = 2
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 FIRST = "\x01"
 ROW_SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean"
 
@@ -238,7 +238,7 @@ class PieceCodec:
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
         which, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.known.trim()
         fresh = [w for w in words if w not in self.known.new and self.known.again(w) is None]
         self._learn(fresh)
