@@ -35,7 +35,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(filled(texts)))
     words = lists.flatten()
     coded = words.dictionary_encode()
-    names = coded.dictionary.to_pylist()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter((xxh3_64_intdigest(w) for w in names), np.uint64, len(names))[coded.indices.to_numpy()]
     real = pc.binary_length(words).to_numpy() > 0
     offsets = offsets_of(real)[lists.offsets.to_numpy()]

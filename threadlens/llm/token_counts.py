@@ -59,7 +59,7 @@ class PreTokens:
         """Pre-token numbers of all texts, the distinct pre-tokens, and the offsets of the texts."""
         which, words, bounds = self.codec.split(texts)
         numbers: dict[str, int] = {}
-        cuts = [self._whole(c) if isinstance(c, str) else c for c in self.codec.cuts(words)]
+        cuts = [self._whole(c) if type(c) is str else c for c in self.codec.cuts(words)]
         odd = np.array([c is None for c in cuts], bool)
         flat = np.array([numbers.setdefault(p, len(numbers)) for c in cuts if c for p in c], np.int64)
         sizes = np.array([len(c) if c else 0 for c in cuts], np.int64)

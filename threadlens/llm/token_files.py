@@ -50,7 +50,7 @@ def encode_segments(
                    pa.array([tokens], pa.int64()), pa.array([dac.encode(np.concatenate(waiting_ids))], pa.binary())]
             return pa.RecordBatch.from_arrays(row, schema=schema)
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             ids, offsets = codec.encode(filled(batch.column("text")))
             sizes = np.diff(offsets) + 1
             whole = np.empty(len(ids) + len(sizes), np.uint32)
@@ -66,6 +66,7 @@ def encode_segments(
                 yield segment()
                 done += tokens
                 waiting_docs, waiting_sizes, waiting_ids, tokens = [], [], [], 0
+        codec.rest()
         if tokens:
             yield segment()
 
