@@ -280,6 +280,24 @@ def test_limits_follow_the_group(spark):
     assert kept == set(range(700))
 
 
+def test_junk_does_not_loosen_its_limit(spark):
+    """Junk of a tenth of each group is rejected; its clean texts, tables among them, stay."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 7)))
+    rows = []
+    for i in range(600):
+        kind = "junk" if i % 10 == 0 else "clean"
+        ends = ("$$$", "$$$") if kind == "junk" else ("", " |") if i % 10 == 1 else ("", "")
+        rows.append((i, " ".join(word() + ends[k % 2] for k in range(60)), "en" if i % 3 else "de", "s", kind))
+        rows.append((1000 + i, " ".join(word() + ("%%%" if i % 10 == 0 else "") for _ in range(60)), "fr", "s", kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")
+    got = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
+    assert got == {i for i, _, _, _, kind in rows if kind == "clean"}
+    counts = {r.kind: r for r in quality.rejections(docs, "kind").collect()}
+    assert counts["junk"].symbol_share_high == counts["junk"].n == 120 and counts["junk"].kept == 0
+    assert counts["clean"].kept == counts["clean"].n == 1080
+
+
 def test_quality_stays_in_spark(spark, sf):
     for name in ("op6_line_dedup", "op10_quality_rules", "op3_url_filter"):
         plan = queries.PLANS[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

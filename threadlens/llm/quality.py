@@ -4,10 +4,11 @@ Each text is measured once. Measures of the texts that pass the fixed base rules
 sketches per language and source, and sketches merge: those of a language's sources into
 the language's, those into that of all rows. A group's limits come from its own sketch if
 it has seen at least ``min_group`` texts, else from its language's, else from that of all.
-A limit lies ``reach`` times the distance from the median to an outer quantile beyond that
-quantile, and beyond a margin in any case, so that a group of like texts does not reject its
-ordinary members. Limits are rounded outwards, for sketches differ a little between runs.
-They are joined back by group: a few numbers for each pair of language and source.
+A limit lies ``reach`` times the distance between the quartiles beyond the outer one, so that
+junk moves it only where it is a quarter of a group. It keeps a least distance from the
+median, so that a group of like texts does not reject its ordinary members. Limits are
+rounded outwards, for sketches differ a little between runs. They are joined back by group:
+a few numbers for each pair of language and source. ``rejections`` counts what each rule rejects.
 
 A null or empty text has no words and fails the base rules. Rows with null language or
 source form groups of their own. Each row counts, also where ids repeat. Columns of the
@@ -31,12 +32,12 @@ MIN_GROUP = 200
 REACH = 3.0
 STEP = 0.05  # limits are rounded outwards to a multiple
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# measure, side, outer quantile, margin
+# measure, side, least distance of the limit from the median
 RULES = (
-    ("mean_word", "low", 0.05, 2.5),
-    ("mean_word", "high", 0.95, 15.0),
-    ("symbol_share", "high", 0.95, 0.2),
-    ("dup_line_share", "high", 0.95, 0.5),
+    ("mean_word", "low", 2.0),
+    ("mean_word", "high", 2.0),
+    ("symbol_share", "high", 0.15),
+    ("dup_line_share", "high", 0.4),
 )
 MEASURES = ("mean_word", "symbol_share", "dup_line_share")
 
@@ -115,12 +116,13 @@ def limits(sound: DataFrame, lang: str, source: str, min_group: int, reach: floa
 
     def lines(frame: DataFrame, by: list[str], tag: str) -> DataFrame:
         out = []
-        for i, (m, side, q, margin) in enumerate(RULES):
+        for i, (m, side, least) in enumerate(RULES):
             # An empty sketch has no quantiles.
-            at, mid = (F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double(F.col(m), F.lit(x))) for x in (q, 0.5))
-            far = at + reach * (at - mid)
-            limit = (F.greatest(F.ceil(far / STEP) * STEP, F.lit(margin)) if side == "high"
-                     else F.least(F.floor(far / STEP) * STEP, F.lit(margin)))
+            low, mid, high = (F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double(F.col(m), F.lit(x)))
+                              for x in (0.25, 0.5, 0.75))
+            far = reach * (high - low)
+            limit = (F.ceil(F.greatest(high + far, mid + least) / STEP) * STEP if side == "high"
+                     else F.floor(F.least(low - far, mid - least) / STEP) * STEP)
             out.append(F.when(F.col("_n") > 0, limit).alias(f"{tag}{i}"))
         return frame.select(*by, F.col("_n").alias(f"{tag}n"), *out)
 
@@ -137,12 +139,21 @@ def limits(sound: DataFrame, lang: str, source: str, min_group: int, reach: floa
     return joined.select("_lang", "_source", *picked)
 
 
-def judge(
+def failed() -> list[Column]:
+    """For each of ``RULES``, whether a row with its limits fails it."""
+    out = []
+    for i, (m, side, _) in enumerate(RULES):
+        limit = F.col(f"_limit{i}")
+        out.append(F.coalesce(shares()[m] > limit if side == "high" else shares()[m] < limit, F.lit(False)))
+    return out
+
+
+def with_limits(
     docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source",
     min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, min_group: int = MIN_GROUP, reach: float = REACH,
     sketch_k: int = SKETCH_K, keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``kept``; without the text if that is not asked for.
+    """``docs`` with the counts, ``base_failed`` and the limits of each row's group.
 
     The measured rows are written to the shared folder once, so that sketches and verdicts
     come from one reading of the texts.
@@ -150,10 +161,25 @@ def judge(
     rows = measure(docs, text_col).withColumn("base_failed", base_failed(min_words, max_repeat))
     rows = materialise(rows if keep_text else rows.drop(text_col), "measured")
     found = limits(rows.filter(~F.col("base_failed")), lang, source, min_group, reach, sketch_k)
-    fails = F.lit(False)
-    for i, (m, side, _, _) in enumerate(RULES):
-        limit = F.col(f"_limit{i}")
-        fails = fails | F.coalesce(shares()[m] > limit if side == "high" else shares()[m] < limit, F.lit(False))
     same = F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source"))
-    judged = rows.join(found, same, "left").withColumn("kept", ~F.col("base_failed") & ~fails)
-    return judged.drop("_lang", "_source", "_used", *[f"_limit{i}" for i in range(len(RULES))])
+    return rows.join(found, same, "left").drop("_lang", "_source")
+
+
+def judge(docs: DataFrame, *args, **options) -> DataFrame:
+    """``docs`` with the counts, ``base_failed`` and ``kept``, by the parameters of ``with_limits``."""
+    fails = F.lit(False)
+    for one_failed in failed():
+        fails = fails | one_failed
+    judged = with_limits(docs, *args, **options).withColumn("kept", ~F.col("base_failed") & ~fails)
+    return judged.drop("_used", *[f"_limit{i}" for i in range(len(RULES))])
+
+
+def rejections(docs: DataFrame, by: str, **options) -> DataFrame:
+    """Per value of the column ``by``: rows, those the base rules reject, those each limit rejects beyond these, and kept ones."""
+    base, flags = F.col("base_failed"), failed()
+    beyond = [F.count_if(~base & f).alias(f"{m}_{side}") for f, (m, side, _) in zip(flags, RULES)]
+    whole = ~base
+    for f in flags:
+        whole = whole & ~f
+    return with_limits(docs, keep_text=False, **options).groupBy(by).agg(
+        F.count("*").alias("n"), F.count_if(base).alias("base"), *beyond, F.count_if(whole).alias("kept"))
