@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,23 @@ def test_lines_odd(clashing, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_lines_count_documents_not_rows(spark, clashing, tmp_path):
+    """The query's and the pipeline's own parameters on repeated rows: a line of two documents in three rows stays."""
+    line = "one long line that two documents hold"
+    extra = spark.createDataFrame([(50, line), (50, line), (50, line + "\nx"), (70, line)], "doc_id long, text string")
+    docs = clashing.unionByName(extra, allowMissingColumns=True)
+    want = plain_lines(texts_of(docs))
+    got = line_dedup.dedup_lines(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == want
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.PLANS["op6_line_dedup"](spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in rows) == collections.Counter(
+        {(i, n, k, hashlib.sha256(t.encode()).hexdigest()): c for (i, n, k, t), c in want.items()})
+    cut = corpus_pipeline.line_deduplication(spark, docs, "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in cut) == collections.Counter(
+        {(i, t): sum(c for (j, _, _, u), c in want.items() if (i, t) == (j, u)) for i, _, _, t in want})
+
+
 def test_lines_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect())

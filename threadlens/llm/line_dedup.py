@@ -52,13 +52,14 @@ def shared_keys(rows: DataFrame, min_docs: int, unique_ids: bool) -> DataFrame:
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-    min_docs: int = MIN_DOCS, unique_ids: bool = True,
+    min_docs: int = MIN_DOCS, unique_ids: bool = False,
 ) -> DataFrame:
     """``docs`` with cut texts, and ``n_lines`` and ``n_dropped`` at the end.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents
-    stays in the document with the largest id only. With ``unique_ids``, each row counts as
-    a document; without, rows that repeat an id count as one, for one more shuffle of hashes.
+    stays in the document with the largest id only. Rows that repeat an id count as one
+    document. A caller who knows that none does may say so by ``unique_ids``, which saves a
+    shuffle of hashes; each row then counts.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own = renamed(docs.select(*columns))
