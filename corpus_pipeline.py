@@ -8,7 +8,7 @@ the columns of ``documents``. Every stage works on all that the one before it ke
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import line_dedup, ngram_join, packing, quality, secrets
@@ -33,10 +33,21 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; those without an id stay too."""
-    stay = ngram_join.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of each group of near duplicates one row stays: that with the smallest id, then by its text's hash; null ids last.
+
+    Rows that repeat both id and text are one. A text without words is a copy of itself only.
+    """
+    def key(name: str, print_of: Column) -> Column:
+        return F.xxhash64(F.col(name).isNull(), F.col(name), print_of)
+
+    found = ngram_join.near_duplicates(docs, keys=True)
+    alone = F.when(F.col("group").isNull(), key("doc_id", F.col("text_hash")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("best")
+    stay = found.groupBy("group", alone.alias("alone")).agg(best).select("best.doc_id", "best.text_hash")
+    rows = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), key("doc_id", F.xxhash64("text")).alias("key"))
+    kept = rows.join(stay.select(key("doc_id", F.col("text_hash")).alias("key")), "key", "left_semi")
+    return kept.groupBy("key").agg(F.min("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,14 +47,14 @@ LEADERS = 3
 SUFFIX_BINS = 64
 _LOW = np.uint64(0xFFFFFF)
 
-DIGEST_SCHEMA = "doc_id long, n_shingles long, class long"
+DIGEST_SCHEMA = "doc_id long, text_hash long, n_shingles long, class long"
 PACK_SCHEMA = "part int, classes binary, sizes binary, grams binary, owners binary, hot binary, passed binary, passed_owners binary"
 REPLY_SCHEMA = "dest int, classes binary, sizes binary, grams binary, freqs binary"
 SET_SCHEMA = "class long, n int, first int, prefix binary, grams binary, bins array<int>"
 
 
 def digests(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, class`` of each row; ``class`` is null for an empty set."""
+    """``doc_id, text_hash, n_shingles, class`` of each row; ``class`` is null for an empty set."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -63,10 +63,10 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(grams))
                 names.append(fingerprint(grams) if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.int64())],
-                ["doc_id", "n_shingles", "class"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(names, pa.int64())],
+                ["doc_id", "text_hash", "n_shingles", "class"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, DIGEST_SCHEMA)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(digest, DIGEST_SCHEMA)
 
 
 def _packed(docs: DataFrame, size: int, parts: int) -> DataFrame:
@@ -299,10 +299,13 @@ def _rest_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN,
-    leaders: int = LEADERS, rounds: int = 2,
+    leaders: int = LEADERS, rounds: int = 2, keys: bool = False,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row; a component is named by its smallest id.
 
+    With ``keys``, also ``text_hash`` (``xxhash64`` of the text) and ``group``, which tell rows and
+    components apart where ids repeat or are null; ``group`` is null for an empty set.
+
     Two documents link when ``den`` times their sets' intersection is at least ``num`` times
     the union. ``leaders`` and ``rounds`` of stars decide what is verified early, not the result.
     """
@@ -321,7 +324,8 @@ def near_duplicates(
         open_rows = materialise(_named(prefixes, components), "mixed")
     rest = _verified(_rest_pairs(open_rows, sets, num, den), sets, num, den)
     components = connected(links.unionByName(rest))
-    return _labelled(digest, components)
+    found = _labelled(digest, components)
+    return found if keys else found.drop("text_hash", "group")
 
 
 def _labelled(digest: DataFrame, components: DataFrame) -> DataFrame:
@@ -329,7 +333,8 @@ def _labelled(digest: DataFrame, components: DataFrame) -> DataFrame:
     smallest = digest.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"))
     joined = smallest.join(components.select(F.col("node").alias("class"), "component"), "class")
     lowest = joined.groupBy("component").agg(F.min("low").alias("lowest"))
-    linked = joined.join(lowest, "component").select("class", "lowest")
-    ids = smallest.join(linked, "class", "left").select("class", F.coalesce("lowest", "low").alias("component_id"))
+    linked = joined.join(lowest, "component").select("class", "component", "lowest")
+    ids = smallest.join(linked, "class", "left").select(
+        "class", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("component", "class").alias("group"))
     return digest.join(ids, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "group")

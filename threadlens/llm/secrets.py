@@ -53,7 +53,7 @@ BINS = 20
 FDR = 0.01
 LEVEL = 0.05  # no string below this p counts as random, however few its stratum holds
 SCAN_SCHEMA = (
-    "row long, n_assign long, n_access long, n_hex long, base array<struct<at:int,rank:int,stop:int>>, "
+    "row long, text_hash long, n_assign long, n_access long, n_hex long, base array<struct<at:int,rank:int,stop:int>>, "
     "found array<struct<at:int,stop:int,stratum:string,p:double,mark:long>>"
 )
 
@@ -154,15 +154,16 @@ def base_spans(text: str, patterns) -> list[tuple[int, int, int]]:
 
 
 def scan(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` (which has ``row``) to its base spans and candidates, one row each."""
+    """``docs`` (which has ``row``) to its base spans and candidates, one row each, with ``text_hash``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = re.compile(ASSIGN), re.compile(ACCESS), re.compile(rf"{HEX[:-1]}{{{HEX_MIN},}}")
         runs = re.compile(rf"[A-Za-z0-9+/_-]{{{min_chars},}}")
         schema = None
         for batch in slices(batches, "text"):
-            columns: list[list] = [[] for _ in range(6)]
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            columns: list[list] = [[] for _ in range(7)]
+            for row, print_of, text in zip(
+                    *[batch.column(c).to_pylist() for c in ("row", "text_hash", "text")], strict=True):
                 text = text or ""
                 base = base_spans(text, patterns)
                 found = []
@@ -175,18 +176,19 @@ def scan(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) ->
                                       "p": randomness(token, encoding), "mark": mark})
                 kinds = [rank for _, rank, _ in base]
                 for column, x in zip(columns, (
-                    row, kinds.count(0), kinds.count(1), kinds.count(2),
+                    row, print_of, kinds.count(0), kinds.count(1), kinds.count(2),
                     [{"at": a, "rank": r, "stop": b} for a, r, b in base], found), strict=True):
                     column.append(x)
             schema = schema or pa.schema([
-                ("row", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
+                ("row", pa.int64()), ("text_hash", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
                 ("base", pa.list_(pa.struct([("at", pa.int32()), ("rank", pa.int32()), ("stop", pa.int32())]))),
                 ("found", pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32()), ("stratum", pa.string()),
                                               ("p", pa.float64()), ("mark", pa.int64())])))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.select("row", F.col(text_col).alias("text")).mapInArrow(find, SCAN_SCHEMA)
+    texts = docs.select("row", F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(find, SCAN_SCHEMA)
 
 
 def cut_of(counts: list[int], fdr: float) -> float | None:
@@ -244,9 +246,10 @@ def digest(spans: Column) -> Column:
 def find_secrets(
     docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, fdr: float = FDR
 ) -> DataFrame:
-    """``docs`` with ``row``, base counts, ``base`` and ``spans``; the text is read once, the findings are written."""
+    """``docs`` with ``row``, ``text_hash``, base counts, ``base`` and ``spans``; the text is read once, the findings are written."""
     scanned = materialise(scan(docs, text_col, min_chars), "secrets")
-    return scanned.select("row", "n_assign", "n_access", "n_hex", "base", all_spans(cuts(scanned, fdr)).alias("spans"))
+    spans = all_spans(cuts(scanned, fdr)).alias("spans")
+    return scanned.select("row", "text_hash", "n_assign", "n_access", "n_hex", "base", spans)
 
 
 def secret_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -261,13 +264,15 @@ def secret_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with each span replaced by ``mark``; overlapping spans are replaced as one.
 
-    Rows that repeat an id must repeat its text too.
+    Findings go back to their rows by id, null or not, and a hash of the text.
     """
     found = find_secrets(
         docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), "text", **options)
-    spans = found.filter((F.size("spans") > 0) & F.col("row").isNotNull()).groupBy(F.col("row").alias("_id")).agg(
+    # Rows with the same id and text have the same spans.
+    spans = found.filter(F.size("spans") > 0).groupBy(F.col("row").alias("_of"), F.col("text_hash").alias("_hash")).agg(
         F.first("spans").alias("_spans"))
     rows = renamed(docs)
+    own = rows.columns
     text, name = (F.col(f"_c{docs.columns.index(c)}") for c in (text_col, id_col))
     # Code points before, between and after the spans; a span inside an earlier one adds nothing.
     cut = F.aggregate(
@@ -278,6 +283,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
             s["stop"].alias("at"))),
         lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))),
     )
-    joined = rows.withColumn("_id", name).join(spans, "_id", "left")
+    rows = rows.withColumns({"_id": name, "_mark": F.xxhash64(text)})
+    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_mark") == F.col("_hash")), "left")
     clean = F.when(F.col("_spans").isNull(), text).otherwise(cut)
-    return joined.select(*[(clean if c == text_col else F.col(k)).alias(c) for c, k in zip(docs.columns, rows.columns)])
+    return joined.select(*[(clean if c == text_col else F.col(k)).alias(c) for c, k in zip(docs.columns, own)])
