@@ -1,9 +1,11 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Fixed patterns give the base spans (assign, access, hex). Beside them, each run of token
-characters with the marks of an encoding is a candidate. Its encoding is inferred from its
-characters (hex, base32, base36, base64, base64url), and three tests ask whether its symbols
-could be uniform draws: chi-squared over the alphabet, runs about the alphabet's middle, and
+characters is cut at '/' and '+', at '-' and '_', and at all of them; the run and each part
+that has the marks of an encoding is a candidate, so that a key is tested apart from the path
+or the prefix it stands in. The encoding is inferred from the characters (hex, base32,
+base36, base64, base64url; a run in groups, as a serial number is, without its separators),
+and three tests ask whether its symbols could be uniform draws: chi-squared over the alphabet, runs about the alphabet's middle, and
 serial correlation. Fisher's method combines them to one p-value, uniform for a random string
 and near 0 for a name, a path or a counter.
 
@@ -13,7 +15,8 @@ evenly and others hardly reach the upper half, which so tells how many random st
 are; what lies above a cut beyond their share are false discoveries. The cut of a stratum is
 the lowest, from the level of a single test on, above which their estimated share is at most
 ``fdr`` beyond chance. There are some two thousand pairs of stratum and bin at most, whatever
-the size of the corpus.
+the size of the corpus. Where candidates over their cuts overlap they become one span; what
+base spans cover of it is left to these, and the parts beside them stay.
 
 A null text is an empty one and holds nothing. Each row counts, also where ids repeat;
 strings that repeat are one string in the strata. Whole texts are searched, of any length.
@@ -48,13 +51,16 @@ ALPHABETS = {
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
 }
-MIN_CHARS = 20
+MIN_CHARS = 16
+SHORT = 20  # shorter strings are strata of their own
+CUTS = tuple(re.compile(x) for x in (".+", "[^/+]+", "[^_-]+", "[^/+_-]+"))
+GROUPED = "s"  # ends the name of an encoding whose symbols stand in groups
 BINS = 20
 FDR = 0.01
 LEVEL = 0.05  # no string below this p counts as random, however few its stratum holds
 SCAN_SCHEMA = (
     "row long, text_hash long, n_assign long, n_access long, n_hex long, base array<struct<at:int,rank:int,stop:int>>, "
-    "found array<struct<at:int,stop:int,stratum:string,p:double,mark:long>>"
+    "found array<struct<at:int,stop:int,stratum:string,p:double,mark:long,free:array<struct<at:int,stop:int>>>>"
 )
 
 
@@ -131,7 +137,46 @@ def infer_encoding(token: str) -> str | None:
     return None
 
 
+def infer_grouped(token: str) -> str | None:
+    """The encoding of groups of letters and digits of one case between '-' or '_'; None if most are words and numbers."""
+    groups = re.split("[-_]+", token)
+    whole = "".join(groups)
+    encoding = infer_encoding(whole) if len(groups) > 1 and whole.isalnum() else None
+    mixed = sum(len(g) for g in groups if infer_encoding(g))
+    return encoding + GROUPED if encoding in ("hex", "base32", "base36") and 2 * mixed >= len(whole) else None
+
+
+def candidates(token: str, min_chars: int) -> Iterator[tuple[int, str, str]]:
+    """``(place, string, encoding)`` of a run and of its parts between marks."""
+    seen = set()
+    for part in CUTS:
+        for m in part.finditer(token):
+            if m.span() in seen or len(m.group()) < min_chars:
+                continue
+            seen.add(m.span())
+            encoding = infer_encoding(m.group()) or infer_grouped(m.group())
+            if encoding:
+                yield m.start(), m.group(), encoding
+
+
+def uncovered(at: int, stop: int, base: list[tuple[int, int, int]]) -> list[dict]:
+    """What the base spans, in order, leave of ``at .. stop``."""
+    out = []
+    for a, _, b in base:
+        if a >= stop:
+            break
+        if b > at:
+            if a > at:
+                out.append({"at": at, "stop": a})
+            at = b
+    if at < stop:
+        out.append({"at": at, "stop": stop})
+    return out
+
+
 def randomness(token: str, encoding: str) -> float:
+    if encoding.endswith(GROUPED):
+        token, encoding = re.sub("[-_]", "", token), encoding[: -len(GROUPED)]
     alphabet = ALPHABETS[encoding]
     text = token.lower() if encoding in ("hex", "base36") else token
     values = [alphabet.index(c) for c in text]
@@ -139,8 +184,8 @@ def randomness(token: str, encoding: str) -> float:
 
 
 def length_band(n: int) -> int:
-    """Bands of half a doubling, open above 512."""
-    return min(int(2 * math.log2(n)), 18)
+    """Bands of half a doubling, open above 512; the short ones are a band."""
+    return min(int(2 * math.log2(n)), 18) if n >= SHORT else 7
 
 
 def base_spans(text: str, patterns) -> list[tuple[int, int, int]]:
@@ -168,12 +213,13 @@ def scan(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) ->
                 base = base_spans(text, patterns)
                 found = []
                 for m in runs.finditer(text):
-                    token = m.group()
-                    encoding = infer_encoding(token)
-                    if encoding:
-                        mark = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big", signed=True)
-                        found.append({"at": m.start(), "stop": m.end(), "stratum": f"{encoding}:{length_band(len(token))}",
-                                      "p": randomness(token, encoding), "mark": mark})
+                    for place, token, encoding in candidates(m.group(), min_chars):
+                        at, stop = m.start() + place, m.start() + place + len(token)
+                        free = uncovered(at, stop, base)
+                        if free:
+                            mark = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big", signed=True)
+                            found.append({"at": at, "stop": stop, "stratum": f"{encoding}:{length_band(len(token))}",
+                                          "p": randomness(token, encoding), "mark": mark, "free": free})
                 kinds = [rank for _, rank, _ in base]
                 for column, x in zip(columns, (
                     row, print_of, kinds.count(0), kinds.count(1), kinds.count(2),
@@ -183,7 +229,8 @@ def scan(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) ->
                 ("row", pa.int64()), ("text_hash", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
                 ("base", pa.list_(pa.struct([("at", pa.int32()), ("rank", pa.int32()), ("stop", pa.int32())]))),
                 ("found", pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32()), ("stratum", pa.string()),
-                                              ("p", pa.float64()), ("mark", pa.int64())])))])
+                                              ("p", pa.float64()), ("mark", pa.int64()),
+                                              ("free", pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32())])))])))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -226,14 +273,22 @@ def cuts(scanned: DataFrame, fdr: float = FDR, bins: int = BINS) -> dict[str, fl
 
 
 def all_spans(cut: dict[str, float]) -> Column:
-    """Base spans and the candidates over their stratum's cut that lie outside these, in order."""
-    chosen = F.array().cast("array<struct<at:int,rank:int,stop:int>>")
+    """Base spans and what these leave of the candidates over their stratum's cut, overlapping ones as one, in order."""
+    kind = "array<struct<at:int,rank:int,stop:int>>"
+    chosen = F.array().cast(kind)
     if cut:
         limits = F.create_map(*[F.lit(x) for pair in sorted(cut.items()) for x in pair])
-        fits = F.filter("found", lambda c: F.coalesce(c["p"] >= limits[c["stratum"]], F.lit(False)) & ~F.exists(
-            "base", lambda b: (b["at"] < c["stop"]) & (c["at"] < b["stop"])))
-        chosen = F.transform(fits, lambda c: F.struct(
-            c["at"].alias("at"), F.lit(KINDS.index("random")).alias("rank"), c["stop"].alias("stop")))
+        fits = F.filter("found", lambda c: F.coalesce(c["p"] >= limits[c["stratum"]], F.lit(False)))
+        rank = F.lit(KINDS.index("random")).alias("rank")
+        pieces = F.array_sort(F.flatten(F.transform(fits, lambda c: F.transform(c["free"], lambda f: F.struct(
+            f["at"].alias("at"), rank, f["stop"].alias("stop"))))))
+        # An earlier start comes first, so a span overlaps the last one or none.
+        chosen = F.aggregate(pieces, chosen, lambda done, s: F.when(
+            (F.size(done) > 0) & (s["at"] < F.get(done, F.size(done) - 1)["stop"]),
+            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(
+                F.get(done, F.size(done) - 1)["at"].alias("at"), rank,
+                F.greatest(F.get(done, F.size(done) - 1)["stop"], s["stop"]).alias("stop")))).cast(kind),
+        ).otherwise(F.concat(done, F.array(s)).cast(kind)))
     return F.array_sort(F.concat("base", chosen))
 
 
