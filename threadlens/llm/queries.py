@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import (
-    line_dedup, ngram_join, packing, quality, secrets, sentencepieces, token_counts, token_files, url_filter,
-    vector_links,
+    line_dedup, ngram_join, packing, periodic, quality, resampling, secrets, sentencepieces, token_counts, token_files,
+    top_search, url_filter, vector_links,
 )
 from threadlens.session import new_path
 
@@ -130,6 +130,42 @@ def quality_verdicts(spark: SparkSession, sf: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+@query("op11_importance_resampling")
+def resampled_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; one text in ten, by a hash of its id, becomes its words with a tail that repeats a sequence."""
+    draw = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(draw % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    g, n = F.col("g"), F.size("words")
+    chosen = docs.select("doc_id", "text", F.floor(draw / 10).alias("g"), words.alias("words"))
+    placed = chosen.withColumn("a", F.when(n > 0, g % n))
+    period = placed.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", source(i).cast("int")))
+    return period.select("doc_id", F.when(n > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def periodic_run_table(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.collapse_runs(with_planted_periods(table(spark, sf, "documents")))
+    better = lambda best, run: best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+    best = F.reduce("runs", F.lit(None).cast(periodic.RUN), lambda best, run: F.when(better(best, run), run).otherwise(best))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_top_search")
+def best_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return top_search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 PLANS["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
