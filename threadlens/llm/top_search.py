@@ -268,8 +268,8 @@ def top_k(
     bars = head.groupBy("at").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
     bar = F.coalesce("bar", F.lit(LOWEST))
     least = F.when((F.col("bar") > 0) & (F.col("square") > 0), F.pow(F.col("bar").cast("double"), 2) / F.col("square"))
-    waiting = asked.join(bars, "at", "left").withColumn("bar", bar).withColumn(
-        "level", F.coalesce(_level(F.least(least, F.lit(LIMIT))) - 1, F.lit(-1)))
+    level = F.when(least.isNull(), F.lit(-1)).otherwise(_level(F.least(least, F.lit(LIMIT))) - 1)
+    waiting = asked.join(bars, "at", "left").withColumn("bar", bar).withColumn("level", level)
     dealt = placed(waiting, F.asc("dims"), F.asc("level"), F.asc("at"), out="n").withColumn(
         "qb", F.floor(F.col("n") / query_block))
     for_rows = _running(dealt.groupBy("dims", "level").agg(F.max("qb")).collect(), falling=False)
