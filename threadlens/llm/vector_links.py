@@ -1,6 +1,6 @@
 """Near-duplicate vectors by spherical-cap filters with structured random product codes.
 
-Equal vectors of a label form a class. Class vectors are scaled to length 1 and turned by a
+Equal vectors of a label form a class, which a stored number names; ids come in only at the end. Class vectors are scaled to length 1 and turned by a
 fixed random rotation. A filter direction is a pair of code words, one for each half of the
 coordinates; a vector is decoded to all directions whose inner product with it reaches the
 cap's height, by sorting the scores of one half and searching in them for each word of the
@@ -16,7 +16,8 @@ than they hold classes, never pairs.
 
 Vectors that are null, zero, hold null or non-finite numbers, or have a null label link with
 nothing, and so do vectors of different lengths. Repeated rows are copies and link with each
-other. Rows with a null id have no name in components but count as links of others.
+other; rows that repeat an id with another vector or label are vectors of their own. Rows with a null id have
+no name in components but count as links of others; a component without any id has none, and its rows are not kept.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.blocks import held
 from threadlens.llm.components import connected
+from threadlens.operators.joins import lookup_join
 from threadlens.session import materialise
 
 COSINE = 0.93
@@ -99,7 +101,7 @@ class ProductCode:
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``class, label, vector, mult`` of the vectors that can link; ``class`` is the smallest id of equal rows."""
+    """``class, label, vector, mult, low`` of the vectors that can link; ``class`` has to be stored before it is used."""
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
         F.col(vector_col).cast("array<double>").alias("vector"))
@@ -109,8 +111,8 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
         & F.exists("vector", lambda x: x != 0)
     )
     rows = rows.filter(F.coalesce(fit, F.lit(False)))
-    return rows.groupBy("label", "vector").agg(
-        F.coalesce(F.min("id"), F.xxhash64("label", "vector")).alias("class"), F.count("*").alias("mult"))
+    return rows.groupBy("label", "vector").agg(F.min("id").alias("low"), F.count("*").alias("mult")).withColumn(
+        "class", F.monotonically_increasing_id())
 
 
 def _number_kind(words: int) -> str:
@@ -246,12 +248,17 @@ def link_vectors(
     decoded = materialise(_decoded(classes, words, filters, least), "decoded")
     found = materialise(_compared(_bucket_rows(decoded, block, words), cosine, parts, words), "compared")
     sums = found.groupBy("class").agg(F.sum("n").alias("n"))
-    components = connected(found.filter(F.col("to").isNotNull()).select(F.col("class").alias("a"), F.col("to").alias("b")))
-    lowest = components.select(F.col("node").alias("class"), "component")
+    components = materialise(connected(
+        found.filter(F.col("to").isNotNull()).select(F.col("class").alias("a"), F.col("to").alias("b"))
+    ).select(F.col("node").alias("class"), "component"), "components")
+    own = classes.select("class", "low")
+    lowest = components.join(own, "class").groupBy("component").agg(F.min("low").alias("lowest"))
+    # one component may hold most classes, so its rows are spread
+    named = lookup_join(components, lowest, ["component"], spread_by=["class"])
     facts = (
-        classes.join(sums, "class", "left").join(lowest, "class", "left")
+        classes.join(sums, "class", "left").join(named.select("class", "lowest"), "class", "left")
         .select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
-                F.coalesce("component", "class").alias("component_id"))
+                F.coalesce("lowest", "low").alias("component_id"))
     )
     rows = vectors.select(
         F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("string").alias("label"),
@@ -259,4 +266,4 @@ def link_vectors(
     own = F.coalesce("component_id", F.col(id_col))
     return rows.join(facts, ["label", "vector"], "left").select(
         id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"),
-        (own == F.col(id_col)).alias("kept"))
+        F.coalesce(own == F.col(id_col), F.lit(False)).alias("kept"))
