@@ -1,7 +1,7 @@
 """Packing of token pieces into windows by multiway differencing.
 
-A document is cut into pieces of ``capacity`` tokens; a full piece is a window by itself.
-What is left over is cut once more at ``piece_limit``. These pieces are dealt to groups of
+A document is cut into pieces of ``capacity`` tokens; a full piece is a window by itself
+and goes into no group. What is left over is cut once more at ``piece_limit``. These pieces are dealt to groups of
 about ``group_pieces`` by a hash, so that a task's work is bounded at every size, and each
 group is packed by itself: every piece starts as a partial partition of k windows, one
 holding it and k-1 empty. The two partitions with the largest differences between their
@@ -9,8 +9,9 @@ fullest and emptiest windows are merged, the fullest windows of one onto the emp
 the other, until one partition is left. k starts at the least that can hold the group and
 rises whenever a window is over capacity.
 
-Null texts are documents of the end id alone; each row is a document of its own, also
-where ids repeat or are null. Further columns are ignored.
+Null and empty texts are documents of the end id alone; texts are encoded whole, however long.
+Each row is a document of its own, also where ids repeat or are null. An empty table gives an
+empty table. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from threadlens.session import materialise
 CAPACITY = 4096
 PIECE_LIMIT = 1024
 GROUP_PIECES = 1024
+FULL_WINDOWS = 1 << 62  # above the numbers of all groups' windows
 PIECE_SCHEMA = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -137,10 +139,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")])
         sizes, group = table["length"].to_numpy(), table["group"][0].as_py()
-        window = np.empty(len(sizes), np.int64)
-        full = sizes >= capacity
-        window[~full] = pack(sizes[~full], capacity)
-        window[full] = np.arange(full.sum()) + (window[~full].max() + 1 if (~full).any() else 0)
+        window = pack(sizes, capacity)
         order = np.argsort(window, kind="stable")
         table, window = table.take(pa.array(order)), window[order]
         sizes = sizes[order]
@@ -152,7 +151,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
 
     group = F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(groups)).alias("group")
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return pieces.select("*", group).groupBy("group").applyInArrow(place, schema)
+    placed = pieces.filter(small).select("*", group).groupBy("group").applyInArrow(place, schema)
+    own = (F.lit(FULL_WINDOWS) + F.monotonically_increasing_id()).alias("sequence_id")
+    full = pieces.filter(~small).drop("row").select("*", own, F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def pack_documents(
