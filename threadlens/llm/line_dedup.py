@@ -4,7 +4,9 @@ Lines are normalised to keys, exploded once per document and key, and hashed; th
 documents per hash are counted with map-side partial sums, so a line that a third of all
 documents hold is a few partial counts per task. Only the hashes over the threshold are
 joined back to the lines' hashes, which gives the positions that each document loses:
-texts are shuffled once, to these positions, and reassembled from the rest in order.
+texts are shuffled once, to these positions, and reassembled from the rest in order. Hashes with a
+thousandth or more of all shared lines (so a thousand at most, which is what the broadcast is) have
+their rows spread over slots in that join.
 
 Keys are compared by 96 bits of hash. A null or empty text is one empty line. Rows with a
 null id hold no document: they neither count nor lose lines. Further columns stay as they
@@ -17,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.blocks import renamed
+from threadlens.operators.joins import lookup_join
+from threadlens.session import materialise
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 20
 MIN_DOCS = 3
+HOT_SHARE = 1000  # a key with one in so many shared lines is hot
 
 
 def line_key(line: Column) -> Column:
@@ -42,12 +47,12 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 
 def shared_keys(rows: DataFrame, min_docs: int, unique_ids: bool) -> DataFrame:
-    """``_h, _keeper`` of the keys in at least ``min_docs`` documents; ``rows`` has ``_id, _hashes``."""
+    """``_h, _keeper, _n`` of the keys in at least ``min_docs`` documents; ``rows`` has ``_id, _hashes``."""
     found = rows.select("_id", F.explode(F.array_distinct(F.array_compact("_hashes"))).alias("_h"))
     if not unique_ids:
         found = found.distinct()
     counted = found.groupBy("_h").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper"))
-    return counted.filter(F.col("_n") >= min_docs).select("_h", "_keeper")
+    return counted.filter(F.col("_n") >= min_docs)
 
 
 def dedup_lines(
@@ -70,11 +75,13 @@ def dedup_lines(
         F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_mark"),
         line_hashes(F.col(text_col), min_chars).alias("_hashes"),
     )
+    shared = materialise(shared_keys(hashed, min_docs, unique_ids), "shared-lines")
+    most = shared.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(shared.filter(F.col("_n") * HOT_SHARE >= most).select("_h"))
     # Rows with the same id are told apart by their texts; those with the same text lose the same lines.
+    lines = hashed.select("_id", "_mark", F.posexplode("_hashes").alias("_pos", "_h")).filter(F.col("_h").isNotNull())
     lost = (
-        hashed.select("_id", "_mark", F.posexplode("_hashes").alias("_pos", "_h"))
-        .filter(F.col("_h").isNotNull())
-        .join(shared_keys(hashed, min_docs, unique_ids), "_h")
+        lookup_join(lines, shared.select("_h", "_keeper"), ["_h"], spread_by=["_id", "_pos"], probe=hot)
         .filter(F.col("_id") != F.col("_keeper"))
         .groupBy("_id", "_mark")
         .agg(F.collect_list("_pos").alias("_drop"))
