@@ -3,7 +3,8 @@
 Everything runs as DataFrame functions and Spark's own tree learner. A url is cut into host
 and path, the longest fitting rule judges it, and a url that no rule fits gets the verdict of
 gradient-boosted trees. These are trained on labelled urls: by default on those that the
-rules judge, of which a bounded share drawn by a hash of the url is taken (``max_train``).
+rules judge. Of the distinct urls of each kind about half of ``max_train`` are drawn by a hash, or
+all there are, and weighed for their copies and for those not drawn, so neither kind is missed.
 The suffix statistics (labelled urls and blocked share of the host's last label and last two
 labels) are counted over all labelled urls and joined; they have a row per suffix seen.
 
@@ -160,6 +161,23 @@ class UrlModel:
             "_features", "_raw", "_probability", "_prediction", *FEATURES)
 
 
+def drawn_urls(labelled: DataFrame, max_train: int) -> DataFrame:
+    """Distinct labelled urls, about ``max_train / 2`` of each kind or all there are, with a ``_weight``.
+
+    The weight stands for a url's copies and for the urls of its kind that were not drawn.
+    """
+    lexical_columns = [c for c in labelled.columns if c not in ("_url", "_label")]
+    urls = labelled.groupBy("_url", "_label").agg(
+        F.count("*").alias("_copies"), *[F.first(c).alias(c) for c in lexical_columns])
+    kinds = dict(labelled.select("_url", "_label").distinct().groupBy("_label").count().collect())
+    share = F.lit(1.0)
+    for kind, n in kinds.items():
+        share = F.when(F.col("_label") == kind, F.lit(min(1.0, max_train / 2 / n))).otherwise(share)
+    scale = 1 << 40
+    drawn = urls.filter(F.pmod(F.xxhash64("_url", F.lit(SEED)), F.lit(scale)) < share * scale)
+    return drawn.withColumn("_weight", F.col("_copies") / share)
+
+
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = TREES, depth: int = TREE_DEPTH) -> UrlModel:
     """Fit on lexical rows with a ``_label`` of allow or block."""
     totals = labelled.agg(F.count("*").alias("n"), F.sum((F.col("_label") == "block").cast("long")).alias("b")).first()
@@ -171,16 +189,13 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = TREES, d
         "suffix": suffix_table(labelled, "_suffix", "suffix", overall),
         "pair": suffix_table(labelled, "_pair", "pair", overall),
     }
-    scale = 1 << 40
-    drawn = labelled.filter(F.pmod(F.xxhash64("_url", F.lit(SEED)), F.lit(scale)) < int(scale * min(1.0, max_train / n)))
-    full = with_suffixes(drawn, tables, overall).withColumn("_y", (F.col("_label") == "block").cast("double"))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(full).select("_features", "_y")
+    rows = drawn_urls(labelled, max_train)
+    full = with_suffixes(rows, tables, overall).withColumn("_y", (F.col("_label") == "block").cast("double"))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(full).select("_features", "_y", "_weight")
     # The trees pass over these rows some hundred times: a bounded number, written once, in a few even tasks.
     rows = materialise(rows, "labelled-urls").coalesce(TRAIN_TASKS)
-    if rows.select("_y").distinct().count() < 2:
-        return UrlModel(None, {}, overall)
     learner = GBTClassifier(
-        featuresCol="_features", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=SEED,
+        featuresCol="_features", labelCol="_y", weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=SEED,
         predictionCol="_prediction",
     )
     learner.set(learner.getParam("probabilityCol"), "_probability")
