@@ -12,15 +12,24 @@ import pyarrow as pa
 SLICE_BYTES = 8 << 20
 
 
-def held(key, make: Callable[[], object]):
+def held(key: tuple, make: Callable[[], object]):
     """An object that a reused Python worker keeps from one task to the next.
 
-    Task code travels by value, so its own globals are new in each task.
+    Task code travels by value, so its own globals are new in each task. A worker serves one
+    stage after the other: objects of another kind, which the stages before have left, go.
     """
-    kept = sys.modules.setdefault("threadlens_worker_state", types.ModuleType("threadlens_worker_state")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    kept = sys.modules.setdefault("threadlens_worker_state", types.ModuleType("threadlens_worker_state"))
+    state = kept.__dict__.setdefault("held", {})
+    for other in [k for k in state if k[0] != key[0]]:
+        del state[other]
+    if key not in state:
+        state[key] = make()
+    return state[key]
+
+
+def release() -> None:
+    """For tasks that keep nothing: what the stages before have left in this worker goes."""
+    held(("nothing",), lambda: None)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from threadlens.llm.blocks import Recent, offsets_of, ragged_positions
 
-PIECES_KEPT = 400_000
+PIECES_KEPT = 150_000
 # Words of these characters alone take the short way; case and composition are settled for them.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = re.escape(".,!?;:)")

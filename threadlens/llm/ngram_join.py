@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.blocks import ragged_positions, slices
+from threadlens.llm.blocks import ragged_positions, release, slices
 from threadlens.llm.components import connected
 from threadlens.llm.shingles import SHINGLE, fingerprint, shingle_sets
 from threadlens.session import materialise
@@ -57,6 +57,7 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, class`` of each row; ``class`` is null for an empty set."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             n, names = [], []
             for grams in shingle_sets(batch.column("text"), size):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.blocks import renamed, slices
+from threadlens.llm.blocks import release, renamed, slices
 from threadlens.session import materialise
 
 KINDS = ("assign", "access", "hex", "random")
@@ -202,6 +202,7 @@ def scan(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) ->
     """``docs`` (which has ``row``) to its base spans and candidates, one row each, with ``text_hash``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         patterns = re.compile(ASSIGN), re.compile(ACCESS), re.compile(rf"{HEX[:-1]}{{{HEX_MIN},}}")
         runs = re.compile(rf"[A-Za-z0-9+/_-]{{{min_chars},}}")
         schema = None
