@@ -73,6 +73,23 @@ def test_vector_recall(spark, block):
     assert sum(n for n, _, _ in got.values()) >= 0.99 * total > 1000
 
 
+def test_vectors_with_repeated_ids(spark):
+    """Rows of one id with other vectors or labels are vectors of their own; null ids have no name."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near_a, near_b = [1.0, 0.1, 0.0], [0.1, 1.0, 0.0]
+    rows = [(5, a, 1), (5, b, 1), (6, near_a, 1), (7, near_b, 1), (8, a, 2), (8, a, 3), (10, near_a, 2), (11, near_a, 3),
+            (None, b, 2), (None, near_b, 2), (None, b, 1), (4, a, 2), (5, a, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    low = {(1, 0): 5, (1, 1): 5, (2, 0): 4, (3, 0): 8, (2, 1): None}  # of a label and a direction
+    want = []
+    for i, (name, v, label) in enumerate(rows):
+        way = int(v[1] > v[0])
+        others = [r for j, r in enumerate(rows) if j != i and r[2] == label and int(r[1][1] > r[1][0]) == way]
+        want.append((name, len(others), low[label, way], name is not None and low[label, way] == name))
+    for table in (df, df.repartition(5)):
+        assert sorted((tuple(r) for r in vector_links.link_vectors(table).collect()), key=str) == sorted(want, key=str)
+
+
 def test_vector_query(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.PLANS["op9_vector_links"](spark, sf).collect()}
@@ -147,6 +164,21 @@ def test_url_trees_learn(spark):
     assert np.mean([r.verdict == truth[r.page_id] for r in got]) >= 0.97
 
 
+def test_url_rare_kind_is_drawn(spark):
+    """Five blocked urls among thousands, and one url with most of the rows."""
+    allowed = [(f"http://site{i % 700}.info/{i}.html", "allow") for i in range(3000)]
+    blocked = [(f"http://bad{i}-4711.xyz/9/9/9?a=1&b=2&c=3", "block") for i in range(5)]
+    known = spark.createDataFrame(allowed + blocked + [("http://hot.info/x", "allow")] * 4000, "url string, label string")
+    drawn = url_filter.drawn_urls(
+        url_filter.lexical(url_filter.cut_urls(known, "label", "url", ())).withColumn("_label", F.col("label")), 400)
+    rows = drawn.select("_url", "_label", "_weight").collect()
+    assert sum(r._label == "block" for r in rows) == 5 and len(rows) <= 300
+    assert len({r._url for r in rows}) == len(rows)
+    pages = spark.createDataFrame([(1, "http://bad9-4711.xyz/9/9/9?a=1&b=2&c=3"), (2, "http://site9.info/77.html")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, labelled=known, rules=(), max_train=400).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 def test_url_labels_of_one_kind(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (None, None)], "page_id long, url string")
     for labelled, verdict in (([], "allow"), ([("http://b.net", "block")], "block"), ([(None, "allow")], "allow")):

@@ -396,3 +396,17 @@ def test_line_query_matches_sql(spark, sf):
         want = duck.execute(f"SELECT {order} FROM ({queries.CHECKS[name]})").fetchall()
         assert sorted(map(tuple, df.collect())) == sorted(want), name
     assert F.col is not None
+
+
+def test_hot_line(spark):
+    """A line that most documents hold, one that few hold, and repeated rows."""
+    rows = [(i, f"a line that most of the documents hold\nown line of document number {i}\na line that a few documents hold {i // 9}") for i in range(600)]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect())
+    want = []
+    for i, text in rows:
+        lines = text.split("\n")
+        kept = [x for x, last in zip(lines, (599, i, min(599, i // 9 * 9 + 8))) if i == last]
+        want.append((i, "\n".join(kept), 3 - len(kept)))
+    assert got == sorted(want)

@@ -245,3 +245,31 @@ def test_sentencepiece_odd(spark, clashing, no_docs):
     assert got == {1: "", 2: None, 3: "é x"}
     assert sentencepieces.check_documents(no_docs, PIECES).count() == 0
     assert sentencepieces.check_documents(clashing, PIECES).filter(F.col("n_tokens") == 0).count() == 2
+
+
+def test_token_counts_behind_any_plan(spark, sf):
+    """Counts do not depend on rows being read twice in one order."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    library = Tokenizer.from_file(WORDS)
+    want = sorted((r.doc_id, len(r.text.encode()), len(library.encode(r.text, add_special_tokens=False).ids)) for r in docs.collect())
+    keys = docs.select("doc_id").filter("doc_id % 2 = 0")
+    odd = docs.join(keys, "doc_id", "left_anti")
+    tables = {
+        "groupBy": docs.groupBy("doc_id").agg(F.first("text").alias("text")), "repartition": docs.repartition(7),
+        "sort": docs.orderBy(F.xxhash64("text")), "join": docs.join(keys, "doc_id").unionByName(odd),
+    }
+    for name, table in tables.items():
+        rows = token_counts.count_tokens(table, WORDS, limit=2048).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == want, name
+        assert all(r.over_limit == (r.n_tokens > 2048) for r in rows)
+
+
+def test_full_pieces_take_no_group(spark):
+    rows = [(i, i, s * 4096, 4096, 0, 40960) for i in range(50) for s in range(10)] + [(i, i, 0, 700, 0, 700) for i in range(50, 60)]
+    pieces = spark.createDataFrame(rows, packing.PIECE_SCHEMA)
+    placed = packing.pack_pieces(pieces, group_pieces=4)
+    got = placed.collect()
+    docs, sequences = pieces_of(got)
+    assert len(got) == len(rows) and len(docs) == 60
+    full = [r for r in got if r.length == 4096]
+    assert len({r.sequence_id for r in full}) == 500 and all(r.offset == 0 for r in full)
