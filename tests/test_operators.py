@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlens import config
+from threadlens.functions import lookup
 from threadlens.operators import (
     frames, joins, labels, mentions, ranking, regression, scoring, shape, summaries, timelines,
 )
@@ -352,3 +353,99 @@ def test_logit_matches_irls_on_all_rows(spark):
         assert got[term].conf_low == pytest.approx(b - 1.96 * s, abs=1e-5)
         assert got[term].conf_high == pytest.approx(b + 1.96 * s, abs=1e-5)
     assert "constant" not in got
+
+
+LOGIT = "y int, a int, b int, year int"
+
+
+def _coded(rng, n):
+    a, b, year = rng.integers(0, 2, n), rng.integers(0, 2, n), rng.integers(2005, 2020, n)
+    p = 1 / (1 + np.exp(-(-1.0 + 1.5 * a - 0.7 * b + 0.05 * (year - 2012))))
+    return [tuple(map(int, r)) for r in zip(rng.random(n) < p, a, b, year)]
+
+
+@pytest.mark.parametrize("max_cells", [100_000, 3])
+def test_logit_sums_in_driver_or_tasks(spark, max_cells):
+    """Heavy cells, at whose shares of 0 or 1 nothing starts; the same numbers from both ways of summing."""
+    rows = _coded(np.random.default_rng(3), 4000)
+    df = spark.createDataFrame(rows, LOGIT).repartition(3)
+    got = {r.term: r for r in regression.negativity_logit(df, "y", ["a", "b"], max_cells=max_cells).collect()}
+    y, a, b, year = (np.array(c, float) for c in zip(*rows))
+    beta, se = _irls(np.column_stack([a, b, year - year.mean(), np.ones(len(y))]), y)
+    for term, x, s in zip(("a", "b", "year_c", "intercept"), beta, se):
+        assert got[term].estimate == pytest.approx(x, abs=1e-8)
+        assert got[term].conf_high - got[term].estimate == pytest.approx(1.96 * s, abs=1e-7)
+        assert got[term].p_value == pytest.approx(math.erfc(abs(x / s) / math.sqrt(2)), abs=1e-9)
+
+
+def _firth(x, y):
+    """The highest point of the likelihood with Jeffreys' penalty, climbed by plain gradient steps on all rows."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(200_000):
+        p = 1 / (1 + np.exp(-x @ beta))
+        w = p * (1 - p)
+        inverse = np.linalg.inv(x.T @ (x * w[:, None]))
+        hat = w * np.einsum("ni,ij,nj->n", x, inverse, x)
+        step = inverse @ (x.T @ (y - p + hat * (0.5 - p)))
+        if np.abs(step).max() < 1e-12:
+            break
+        beta = beta + 0.5 * step
+    return beta
+
+
+def test_logit_of_separated_outcomes_is_firths(spark):
+    rows = [(int(a and year > 2010), a, b, year) for a in (0, 1) for b in (0, 1) for year in range(2008, 2014) for _ in range(1 + b)]
+    df = spark.createDataFrame(rows, LOGIT)
+    with pytest.warns(UserWarning, match="part the outcomes"):
+        fit = regression.negativity_logit(df, "y", ["a", "b"])
+    got = {r.term: r.estimate for r in fit.collect()}
+    y, a, b, year = (np.array(c, float) for c in zip(*rows))
+    beta = _firth(np.column_stack([a, b, year - year.mean(), np.ones(len(y))]), y)
+    for term, x in zip(("a", "b", "year_c", "intercept"), beta):
+        assert got[term] == pytest.approx(x, abs=1e-6)
+    with pytest.warns(UserWarning, match="part the outcomes"):
+        balance = regression.score_balance(df, "y", ["a", "b"])
+    for r in balance.collect():
+        assert r.fitted == pytest.approx(r.observed, abs=1e-6)
+    with pytest.warns(UserWarning):  # one outcome only
+        alone = regression.negativity_logit(df.filter("y = 0"), "y", ["a", "b"]).collect()
+    assert all(abs(r.estimate) < 20 for r in alone) and {r.term for r in alone} >= {"intercept"}
+
+
+def test_logit_gives_no_numbers_unless_settled(spark):
+    df = spark.createDataFrame(_coded(np.random.default_rng(5), 500), LOGIT)
+    with pytest.raises(regression.NotConverged):
+        regression.negativity_logit(df, "y", ["a", "b"], max_iter=1)
+    with pytest.warns(UserWarning, match="constant"):
+        assert regression.negativity_logit(df.limit(0), "y", ["a", "b"]).count() == 0
+    copied = df.withColumns({"c": F.lit(1) - F.col("a"), "n": F.lit(None).cast("int")})
+    with pytest.warns(UserWarning, match="determined by others"):
+        kept = {r.term for r in regression.negativity_logit(copied, "y", ["a", "c"]).collect()}
+    assert kept in ({"a", "year_c", "intercept"}, {"c", "year_c", "intercept"})
+
+
+GOOD = {"good": 2.0, "bad": -1.5, "fine": 1.0}
+RULES = scoring.ContextRules({"very": 0.3, "hardly": -0.3}, frozenset({"not", "never"}), frozenset({"but"}))
+
+
+@pytest.mark.parametrize(("text", "total"), [
+    (None, 0), ("", 0), ("nothing here!", 0), ("good", 2), ("not good", 2 * -0.74), ("very good", 2.3), ("very bad", -1.8),
+    ("hardly bad", -1.2), ("very not good", (2 * -0.74) - 0.3 * 0.95), ("not very good", 2.3 * -0.74),
+    ("not a b good", 2 * -0.74), ("not a b c good", 2), ("never not good", 2 * 0.74 * 0.74), ("GOOD day", 2.733), ("GOOD DAY", 2),
+    ("very BAD day", -1.5 - 0.733 - 0.3), ("good but bad", 0.5 * 2 - 1.5 * 1.5), ("but good but bad", 1.5 * 2 - 1.5 * 1.5),
+    ("good!", 2.292), ("bad!!!!!!", -1.5 - 4 * 0.292), ("good?", 2), ("good??", 2.36), ("good?????", 2.96),
+    ("good good", 4), ("bad good", 0.5), ("not good. very fine", 2 * -0.74 + (1.3 * -0.74)),
+])
+def test_context_scores(spark, text, total):
+    df = spark.createDataFrame([(1, text)], "k int, content string")
+    got = scoring.with_context_score(df, GOOD, RULES).first().compound
+    assert got == pytest.approx(total / math.sqrt(total * total + 15))
+
+
+def test_word_table(spark):
+    words = {f"word{i}": {"n": i} for i in range(3000)}
+    look = lookup.word_table(words, "n: int")
+    df = spark.createDataFrame([(f"word{i}",) for i in range(0, 4000, 7)] + [(None,), ("",)], "w string")
+    got = {r.w: r.x for r in df.select("w", look(F.col("w"))["n"].alias("x")).collect()}
+    assert got == {w: words[w]["n"] if w in words else None for w in got}
+    assert df.select(lookup.word_table({}, "n: int")(F.col("w")).alias("x")).filter("x IS NOT NULL").count() == 0

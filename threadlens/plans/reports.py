@@ -145,10 +145,13 @@ def frame_tables(
 
 def mention_tables(
     entries: DataFrame, valence: Mapping[str, float], load: scoring.Loader, date_mode: str = "strict",
-    tasks: int | None = None, max_chars: int | None = scoring.MODEL_TEXT_LENGTH,
+    tasks: int | None = None, max_chars: int | None = None, rules: scoring.ContextRules | None = None,
 ) -> Tables:
     """Entries that mention a group, scored by a lexicon and a model, and their summaries.
 
+    With ``rules`` the lexicon's words are read in their context. The model reads whole texts unless
+    ``max_chars`` is given.
+
     The scored rows are written to the shared folder once: the model, the dearest step of
     all, reads each text a single time, on ``tasks`` even shares of the rows if given, and
     every table is made from its results.
@@ -158,7 +161,8 @@ def mention_tables(
     marked = mentions.with_mention(rows)
     stems = [(name, stem) for name, stem in config.SUBGROUP_STEMS.items()]
     marked = marked.withColumn("title_category", first_match(F.col("title"), stems))
-    scored = scoring.with_lexicon_score(scoring.model_scores(marked, load, tasks=tasks, max_chars=max_chars), valence)
+    scored = scoring.model_scores(marked, load, tasks=tasks, max_chars=max_chars)
+    scored = scoring.with_context_score(scored, valence, rules) if rules else scoring.with_lexicon_score(scored, valence)
     scored = materialise(scored.withColumn("bin", sentiment_bin(F.col("compound"))), "scored")
     return {
         "scored": scored,

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions.patterns import first_match
-from threadlens.operators import mentions, scoring, summaries
-from threadlens.operators.regression import negativity_logit as fit_logit
+from threadlens.operators import mentions, regression, scoring, summaries
 from threadlens.operators.shape import add_flags, keep_found
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
@@ -127,6 +126,59 @@ def lexicon_sentiment(spark, sf):
     return scored.withColumn("compound", F.round("compound", 6))
 
 
+# Frequent words of the invented texts stand in for boosters, negations and contrasts.
+CONTEXT = scoring.ContextRules(
+    boosters={"is": 0.293, "en": 0.293, "die": 0.293, "was": -0.293, "de": -0.293},
+    negations=frozenset({"to", "den", "des"}), contrasts=frozenset({"that", "das", "pas"}))
+
+
+def _context_values() -> str:
+    words = sorted({*v.VALENCE, *CONTEXT.boosters, *CONTEXT.negations, *CONTEXT.contrasts})
+    cell = lambda x: "NULL" if x is None else str(x)
+    return ", ".join(
+        f"('{w}', {cell(v.VALENCE.get(w))}::double, {cell(CONTEXT.boosters.get(w))}::double, "
+        f"{w in CONTEXT.negations}, {w in CONTEXT.contrasts})" for w in words)
+
+
+@query(
+    "context_sentiment",
+    rf"""
+    lex(word, v, b, n, c) AS (VALUES {_context_values()}),
+    words AS (SELECT entry_id, content, regexp_extract_all(content, '{v.WORDS}') AS l FROM v_entries),
+    tok AS (SELECT entry_id, content, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM words),
+    hit AS (SELECT t.*, x.* FROM tok t JOIN lex x ON lower(t.w) = x.word),
+    turn AS (SELECT entry_id, min(i) AS place FROM hit WHERE c GROUP BY entry_id),
+    s0 AS (
+      SELECT h.entry_id, h.i, h.v + CASE WHEN upper(h.w) = h.w AND lower(h.w) <> h.w AND upper(h.content) <> h.content
+                                    THEN sign(h.v) * 0.733 ELSE 0 END AS s,
+             p.b AS b1, p.n AS n1, q.b AS b2, q.n AS n2, r.b AS b3, r.n AS n3
+      FROM hit h
+      LEFT JOIN hit p ON p.entry_id = h.entry_id AND p.i = h.i - 1 AND p.v IS NULL
+      LEFT JOIN hit q ON q.entry_id = h.entry_id AND q.i = h.i - 2 AND q.v IS NULL
+      LEFT JOIN hit r ON r.entry_id = h.entry_id AND r.i = h.i - 3 AND r.v IS NULL
+      WHERE h.v IS NOT NULL),
+    s1 AS (SELECT *, (s + sign(s) * coalesce(b1, 0)) * CASE WHEN n1 THEN -0.74 ELSE 1 END AS t1 FROM s0),
+    s2 AS (SELECT *, (t1 + sign(t1) * coalesce(b2, 0) * 0.95) * CASE WHEN n2 THEN -0.74 ELSE 1 END AS t2 FROM s1),
+    s3 AS (SELECT *, (t2 + sign(t2) * coalesce(b3, 0) * 0.9) * CASE WHEN n3 THEN -0.74 ELSE 1 END AS t3 FROM s2),
+    total AS (
+      SELECT s.entry_id, sum(t3 * CASE WHEN place IS NULL THEN 1 WHEN s.i <= place THEN 0.5 ELSE 1.5 END) AS x
+      FROM s3 s LEFT JOIN turn t ON t.entry_id = s.entry_id GROUP BY s.entry_id),
+    marks AS (
+      SELECT entry_id, least(length(content) - length(replace(content, '!', '')), 4) * 0.292 AS cried,
+             length(content) - length(replace(content, '?', '')) AS asked FROM v_entries),
+    strong AS (
+      SELECT m.entry_id, x + sign(x) * (cried + CASE WHEN asked > 3 THEN 0.96 WHEN asked > 1 THEN asked * 0.18 ELSE 0 END) AS y
+      FROM marks m JOIN total t ON t.entry_id = m.entry_id)
+    SELECT e.entry_id, round(coalesce(y / sqrt(y * y + 15), 0), 6) + 0 AS compound
+    FROM v_entries e LEFT JOIN strong s ON s.entry_id = e.entry_id""",
+    [v.V_ENTRIES],
+)
+def context_sentiment(spark, sf):
+    """Lexicon words read in their context: boosters, negations, contrasts, capitals and marks."""
+    scored = scoring.with_context_score(v.entries(spark, sf).select("entry_id", "content"), v.VALENCE, CONTEXT)
+    return scored.select("entry_id", (F.round("compound", 6) + F.lit(0.0)).alias("compound"))  # no minus zero
+
+
 def load_vowel_scorer():
     """Deterministic stand-in for a model: weighs ``e`` against ``a``; fails on texts with neither."""
 
@@ -188,18 +240,48 @@ def multi_model_score(spark, sf):
     return scored.select("entry_id", "vowels_label", "vowels_score", "length_label", "length_score")
 
 
-@query("negativity_logit")
-def negativity_logit(spark, sf):
-    """Negativity of labelled mentions on marker, centred year and two lexicon flags."""
-    lexicon = {"entry_verbal": v.FRAMES["verbal"], "entry_german": v.FRAMES["german"]}
-    rows = _marked(spark, sf, lexicon).filter(F.col("sentiment").isNotNull())
-    coded = rows.select(
+LOGIT_LEXICON = {"entry_verbal": v.FRAMES["verbal"], "entry_german": v.FRAMES["german"]}
+LOGIT_FLAGS = ["is_ther", *LOGIT_LEXICON]
+
+
+def coded_mentions(spark, sf):
+    """Labelled mentions with what the model of negativity needs: the outcome, the year and three flags."""
+    rows = _marked(spark, sf, LOGIT_LEXICON).filter(F.col("sentiment").isNotNull())
+    return rows.select(
         (F.col("signed") < 0).cast("int").alias("negative"),
         "year",
         (F.col("marker") == "ther").cast("int").alias("is_ther"),
-        *[F.col(name).cast("int").alias(name) for name in lexicon],
+        *[F.col(name).cast("int").alias(name) for name in LOGIT_LEXICON],
     )
-    return fit_logit(coded, "negative", ["is_ther", *lexicon])
+
+
+@query("negativity_logit")
+def negativity_logit(spark, sf):
+    """Negativity of labelled mentions on marker, centred year and two lexicon flags."""
+    return regression.negativity_logit(coded_mentions(spark, sf), "negative", LOGIT_FLAGS)
+
+
+SQL_CODED = ", ".join(
+    f"CAST({v.sql_any('content', stems)} AS INT) AS {name}" for name, stems in LOGIT_LEXICON.items())
+SQL_TERMS = " UNION ALL ".join(
+    f"SELECT '{t}' AS term, sum({x} * negative) AS observed, min({x}) < max({x}) OR '{t}' = 'intercept' AS varies FROM c"
+    for t, x in [*((f, f) for f in LOGIT_FLAGS), ("year_c", "year_c"), ("intercept", "1")])
+
+
+@query(
+    "negativity_logit_balance",
+    f"""
+    r AS (SELECT CAST(signed < 0 AS INT) AS negative, year, CAST(marker = 'ther' AS INT) AS is_ther, {SQL_CODED}
+          FROM v_marked WHERE marker IS NOT NULL AND sentiment IS NOT NULL AND year IS NOT NULL),
+    c AS (SELECT *, year - (SELECT avg(year) FROM r) AS year_c FROM r),
+    t AS ({SQL_TERMS})
+    SELECT term, round(observed, 4) AS observed, round(observed, 4) AS fitted FROM t WHERE varies""",
+    [v.V_POSTS, SQL_MARKED],
+)
+def negativity_logit_balance(spark, sf):
+    """The score equations of ``negativity_logit``: at the estimates, and nowhere else, fitted sums are the observed ones."""
+    balance = regression.score_balance(coded_mentions(spark, sf), "negative", LOGIT_FLAGS)
+    return balance.select("term", *[F.round(c, 4).alias(c) for c in ("observed", "fitted")])
 
 
 SQL_ODDS = f"""
@@ -223,5 +305,5 @@ def logit_one_flag(spark, sf):
     rows = v.events(spark, sf).filter("score IS NOT NULL AND k IS NOT NULL").select(
         (F.col("score") < 50).cast("int").alias("low"), (F.col("k") % 2 == 0).cast("int").alias("even"),
         F.lit(2000).alias("year"))
-    fit = fit_logit(rows, "low", ["even"])
+    fit = regression.negativity_logit(rows, "low", ["even"])
     return fit.select("term", *[F.round(c, 5).alias(c) for c in ("estimate", "conf_low", "conf_high")])
