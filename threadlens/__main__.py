@@ -6,12 +6,13 @@
     descriptives --threads PATH... --out DIR         entries, titles, lengths, top titles
     frames       --threads PATH... --out DIR         timelines, frames, words, bigrams
     mentions     --threads PATH... --lexicon CSV --scorer MODULE:LOADER --out DIR   scored mentions and their tables
-    merge        --data PATH --annotations PATH --out DIR   label merge with audit
+    merge        --data PATH --annotations PATH [--files] --out DIR   label merge with audit
     annotate     --threads PATH... --responder MODULE:FUNCTION --out DIR   batches, responses, annotation lists
     titles       --lists PATH... [--collected DIR] --out DIR   titles not collected yet
     authors      --typed DIR --out DIR               most active authors and samples
 
-``--stored`` says that ``--threads`` are tables written by the merge (``OUT/threads``). Every
+``--stored`` says that ``--threads`` are tables written by the merge (``OUT/threads``), ``--large`` that their files
+are to be read by splits. With ``--files`` the merge writes one JSON file per thread below ``OUT/files`` as well. Every
 job that reads threads also writes those it could not read, as ``OUT/unreadable``.
 """
 
@@ -53,17 +54,17 @@ def named(place: str):
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    stored = getattr(args, "stored", False)
+    stored, large = getattr(args, "stored", False), getattr(args, "large", False)
     if args.job == "build":
         tables = reports.typed_tables(spark, args.root)
         write_typed(tables["entries"], f"{args.out.rstrip('/')}/entries")
         save({"unreadable": tables["unreadable"]}, args.out)
     elif args.job == "counts":
-        save(reports.count_tables(spark, args.threads, stored), args.out)
+        save(reports.count_tables(spark, args.threads, stored, large), args.out)
     elif args.job == "folders":
-        save({"folders": reports.folder_table(spark, args.threads, stored=stored)}, args.out)
+        save({"folders": reports.folder_table(spark, args.threads, stored=stored, large=large)}, args.out)
     elif args.job in ("descriptives", "frames", "mentions"):
-        read = reports.folder_tables(spark, args.threads, stored=stored)
+        read = reports.folder_tables(spark, args.threads, stored=stored, large=large)
         if args.job == "descriptives":
             made = reports.descriptive_tables(read["entries"])
         elif args.job == "frames":
@@ -74,9 +75,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             made = reports.mention_tables(read["entries"], lexicon, named(args.scorer))
         save({**made, "unreadable": read["unreadable"]}, args.out)
     elif args.job == "merge":
-        save(reports.merge_tables(spark, args.data, args.annotations), args.out)
+        tables = reports.merge_tables(spark, args.data, args.annotations)
+        save(tables, args.out)
+        if args.files:
+            reports.write_merged_files(tables, f"{args.out.rstrip('/')}/files", overwrite=True)
     elif args.job == "annotate":
-        read = reports.folder_tables(spark, args.threads, stored=stored)
+        read = reports.folder_tables(spark, args.threads, stored=stored, large=large)
         made = reports.annotation_tables(read["entries"], named(args.responder))
         save({**made, "unreadable": read["unreadable"]}, args.out)
     elif args.job == "titles":
@@ -99,6 +103,9 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument(f"--{option}", required=True, nargs="+" if option in ("threads", "lists") else None)
         if "threads" in options:
             job.add_argument("--stored", action="store_true")
+            job.add_argument("--large", action="store_true")
+        if name == "merge":
+            job.add_argument("--files", action="store_true")
         if name == "titles":
             job.add_argument("--collected")
     return top

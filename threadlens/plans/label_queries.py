@@ -312,6 +312,29 @@ def merged_chain(spark, sf):
         F.md5("content").alias("content_md5"))
 
 
+@query(
+    "merged_chain_files",
+    """
+    SELECT 't' || (conv_id // 3) || '_merged.json' AS file, folder AS category, entry_id, pos,
+           CASE WHEN pos % 2 = 0 THEN pos % 5 + 1 END AS sentiment,
+           CASE WHEN pos % 4 = 0 THEN 'HATE' WHEN pos % 2 = 0 THEN 'HUMAN' ELSE '' END AS topics,
+           md5(content) AS content_md5
+    FROM v_threads WHERE conv_id % 5 <> 4 AND conv_id % 7 <> 0 AND conv_id % 11 <> 0""",
+    [v.V_THREADS],
+)
+def merged_chain_files(spark, sf):
+    """The same chain over one JSON file per thread, streamed from parts of three entries and read by folder."""
+    tables = reports.merge_texts(*_chain_texts(spark, sf))
+    path = new_path(spark, "merged-files")
+    reports.write_merged_files(tables, path, part_size=3)
+    good, _ = th.load_threads(spark, [f"{path}/*/*.json"])
+    rows = th.scan_entries(good, th.folder_name(F.col("path")), True, keep=["path"])
+    return rows.select(
+        th.file_name(F.col("path")).alias("file"), "category", "entry_id", "pos",
+        F.col("sentiment").cast("bigint").alias("sentiment"), F.array_join("topics", ",").alias("topics"),
+        F.md5("content").alias("content_md5"))
+
+
 @query(
     "merged_chain_errors",
     """

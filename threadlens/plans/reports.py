@@ -19,7 +19,8 @@ from threadlens.functions.patterns import first_match
 from threadlens.functions.text import blank_to_null, snippet, thousands
 from threadlens.operators import frames, labels, mentions, ranking, scoring, shape, summaries, timelines
 from threadlens.session import materialise
-from threadlens.sinks.threads import entry_fields, nest_entries, thread_info, thread_json
+from threadlens.sinks.files import write_thread_files
+from threadlens.sinks.threads import PART_SIZE, entry_fields, nest_entries, thread_info, thread_json
 from threadlens.sources import threads as th
 from threadlens.sources.annotations import latest_annotations
 from threadlens.sources.titles import read_title_lists
@@ -39,10 +40,10 @@ def typed_entries(spark: SparkSession, root: str, sources: Sequence = config.SOU
 
 
 def folder_tables(
-    spark: SparkSession, paths: Sequence[str], title_from: str = "thread", stored: bool = False
+    spark: SparkSession, paths: Sequence[str], title_from: str = "thread", stored: bool = False, large: bool = False
 ) -> Tables:
     """Entries of thread folders, tagged with the folder name, and the threads that could not be read."""
-    good, bad = th.load_threads(spark, paths, stored)
+    good, bad = th.load_threads(spark, paths, stored, large)
     return {"entries": th.scan_folders(good, title_from), "unreadable": th.quarantine(bad)}
 
 
@@ -51,9 +52,9 @@ def folder_entries(spark: SparkSession, paths: Sequence[str], title_from: str =
     return folder_tables(spark, paths, title_from, stored)["entries"]
 
 
-def count_tables(spark: SparkSession, paths: Sequence[str], stored: bool = False) -> Tables:
+def count_tables(spark: SparkSession, paths: Sequence[str], stored: bool = False, large: bool = False) -> Tables:
     """Per-thread summary, corpus statistics and the unreadable files."""
-    good, bad = th.load_threads(spark, paths, stored)
+    good, bad = th.load_threads(spark, paths, stored, large)
     category = F.regexp_replace(th.folder_name(F.col("path")), "_titles_data$", "")
     parts = good.withColumns({"category": category, "part": th.part_of_thread()})
     summary = th.join_parts(th.summarise_threads(parts, ["path", "category", "part"]), ["path", "category"]).drop("path")
@@ -65,10 +66,11 @@ def count_tables(spark: SparkSession, paths: Sequence[str], stored: bool = False
 
 
 def folder_table(
-    spark: SparkSession, paths: Sequence[str], names: Mapping[str, str] = config.SUMMARY_LABELS, stored: bool = False
+    spark: SparkSession, paths: Sequence[str], names: Mapping[str, str] = config.SUMMARY_LABELS, stored: bool = False,
+    large: bool = False,
 ) -> DataFrame:
     """Titles and entries per labelled folder with a total row and printable counts; unreadable files are titles."""
-    good, bad = th.load_threads(spark, paths, stored)
+    good, bad = th.load_threads(spark, paths, stored, large)
     threads = good.select("path", F.size("entries").alias("n")).unionByName(bad.select("path", F.lit(None).cast("int").alias("n")))
     files = threads.groupBy("path").agg(F.sum("n").alias("n_entries")).select(
         th.folder_name(F.col("path")).alias("folder"), "n_entries")
@@ -238,6 +240,12 @@ def merge_texts(data: DataFrame, annotations: DataFrame) -> Tables:
     }
 
 
+def write_merged_files(tables: Tables, path: str, suffix: str = "_merged", part_size: int = PART_SIZE, overwrite: bool = False) -> None:
+    """The merged threads of ``merge_texts`` as one JSON file each, at the place of their pair: ``path/FOLDER/NAME_merged.json``."""
+    nested = nest_entries(tables["merged"], ["path"], entry_fields(), carried=["scrape_info", "key"], part_size=part_size)
+    write_thread_files(nested, F.concat("key", F.lit(f"{suffix}.json")), thread_info(), path, overwrite)
+
+
 def annotation_tables(
     entries: DataFrame, respond: Callable[[DataFrame], DataFrame], thread: str = "path", size: int = config.BATCH_SIZE
 ) -> Tables:

@@ -9,11 +9,13 @@ from threadlens.functions.labels import display_label, truthy_flag
 from threadlens.functions.patterns import matches
 from threadlens.functions.text import blank_to_null, thousands
 from threadlens.operators import frames, mentions, summaries, timelines
+from threadlens.operators.joins import number_rows
 from threadlens.operators.shape import keep_found
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
 from threadlens.schema import POLYMORPHIC
 from threadlens.session import new_path
+from threadlens.sinks.files import write_thread_files
 from threadlens.sinks.tables import annotation_rows, read_csv, write_annotations, write_csv, write_typed
 from threadlens.sinks.threads import nest_entries
 from threadlens.sources import threads as th
@@ -303,6 +305,26 @@ def nested_rebuild(spark, sf):
     )
 
 
+@query(
+    "large_file_scan",
+    """
+    SELECT folder AS category, row_number() OVER (PARTITION BY folder ORDER BY conv_id, pos) - 1 AS pos, entry_id,
+           coalesce(author, '') AS author, md5(content) AS content_md5
+    FROM v_threads""",
+    [v.V_THREADS],
+)
+def large_file_scan(spark, sf):
+    """All threads of a folder as one file, written in parts, and read back by splits of the file."""
+    rows = v.threads(spark, sf).withColumn("order", F.col("conv_id") * 100_000 + F.col("pos"))
+    rows = number_rows(rows.drop("pos"), ["folder"], "order").withColumn("pos", F.col("rn") - 1)
+    nested = nest_entries(rows, ["folder"], ["entry_id", "author", "content"], part_size=500)
+    path = new_path(spark, "folder-files")
+    write_thread_files(nested, F.concat("folder", F.lit("/all.json")), F.struct(F.col("folder").alias("input")), path)
+    good, _ = th.load_threads(spark, [f"{path}/*/*.json"], large=True)
+    read = th.scan_entries(good, th.folder_name(F.col("path")), False, keep=["path"])
+    return read.select("category", "pos", "entry_id", "author", F.md5("content").alias("content_md5"))
+
+
 @query(
     "annotation_only",
     """

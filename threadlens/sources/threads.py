@@ -64,13 +64,23 @@ def split_readable(threads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, tagged.filter(F.col("problem").isNotNull())
 
 
-def load_threads(spark: SparkSession, paths: Iterable[str], stored: bool = False) -> tuple[DataFrame, DataFrame]:
+def load_threads(
+    spark: SparkSession, paths: Iterable[str], stored: bool = False, large: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(readable threads, quarantine) of thread files, or of tables that ``sinks.threads.write_threads`` wrote.
 
-    The files are parsed once, into the shared folder, whatever is made of them afterwards.
+    The files are parsed once, into the shared folder, whatever is made of them afterwards. With ``large``
+    a file is read by as many tasks as it has splits (``sources.large``), and its thread comes in parts.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    rows = parse_threads(spark.read.parquet(*paths).select("path", "json"), "json") if stored else read_threads(spark, paths)
+    if stored:
+        rows = parse_threads(spark.read.parquet(*paths).select("path", "json"), "json")
+    elif large:
+        from threadlens.sources.large import split_thread_files
+
+        rows = parse_threads(split_thread_files(spark, paths).select("path", "json"), "json")
+    else:
+        rows = read_threads(spark, paths)
     return split_readable(materialise(rows, "threads"))
 
 
