@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from threadlens import config
 from threadlens.functions import lookup
+from threadlens.operators.score_store import read_scores, stored_scores
 from threadlens.operators import (
-    frames, joins, labels, mentions, ranking, regression, scoring, shape, summaries, timelines,
+    frames, frequent, joins, labels, mentions, ranking, regression, scoring, shape, summaries, timelines,
 )
 
 
@@ -449,3 +450,63 @@ def test_word_table(spark):
     got = {r.w: r.x for r in df.select("w", look(F.col("w"))["n"].alias("x")).collect()}
     assert got == {w: words[w]["n"] if w in words else None for w in got}
     assert df.select(lookup.word_table({}, "n: int")(F.col("w")).alias("x")).filter("x IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("tracked", [8, 64, 1024])
+def test_frequent_items_are_exact_for_any_summary(spark, tracked):
+    """Skewed, flat and tied counts, few rows, null groups and items; small summaries prove little and count in full."""
+    rng = random.Random(6)
+    rows = [("skew", f"w{int(rng.paretovariate(0.8))}") for _ in range(6000)]
+    rows += [("flat", f"w{i % 700}") for i in range(2100)] + [("few", "a"), ("few", "b"), ("few", "a")]
+    rows += [(None, "x")] * 40 + [(None, "y")] * 30 + [("skew", None)] * 500
+    df = spark.createDataFrame(rows, "g string, w string").repartition(6)
+    want = []
+    for group in ("skew", "flat", "few", None):
+        counts = Counter(w for g, w in rows if g == group and w is not None)
+        best = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:5]
+        want += [(group, w, n, i + 1) for i, (w, n) in enumerate(best)]
+    got = [tuple(r) for r in frequent.most_frequent(df, "g", "w", 5, tracked).select("g", "w", "n", "rank").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    bounds = {r.g: (r.bound, r["items"]) for r in frequent.summarised(df.filter("w IS NOT NULL"), "g", "w", 5, tracked).collect()}
+    for group, (bound, items) in bounds.items():
+        counts = Counter(w for g, w in rows if g == group and w is not None)
+        assert all(n <= bound for w, n in counts.items() if w not in items)
+    assert frequent.most_frequent(df.limit(0), "g", "w", 5, tracked).count() == 0
+
+
+def test_score_store_meets_each_text_once(spark, tmp_path):
+    """Copies are scored once, a second run loads no model, failures stay open, versions are apart."""
+    log = tmp_path / "log"
+
+    def loader(word):
+        def load():
+            with open(log, "a") as file:
+                file.write("load\n")
+
+            def score(texts):
+                if any("boom" in t for t in texts) and word != "late":
+                    raise ValueError("boom")
+                with open(log, "a") as file:
+                    file.writelines(f"{t}\n" for t in texts)
+                return [(word, float(len(t))) for t in texts]
+
+            return score
+
+        return load
+
+    rows = [(i, "copy" if i % 3 == 0 else f"text {i}") for i in range(60)] + [(60, None), (61, ""), (62, "boom"), (None, "boom")]
+    df = spark.createDataFrame(rows, "i int, content string").repartition(4)
+    run = lambda word, version="v1", table=df: {
+        (r.i, r.content): (r.model_label, r.model_score)
+        for r in stored_scores(table, loader(word), str(tmp_path / "store"), version, tasks=3).collect()}
+    got = run("first")
+    assert got == {(i, t): ((None, None) if t == "boom" else ("first", float(len(t or "")))) for i, t in rows}
+    lines = log.read_text().splitlines()
+    assert lines.count("copy") == 1 and lines.count("") == 1
+    log.unlink()
+    assert run("second", table=df.filter("content <> 'boom'")) == {k: x for k, x in got.items() if k[1] not in (None, "boom")}
+    assert not log.exists()
+    assert run("late")[62, "boom"] == ("late", 4.0)  # what failed is tried again
+    assert log.read_text().splitlines() == ["load", "boom"]
+    assert set(run("late", "v2").values()) == {("late", x) for _, x in run("late").values()}
+    assert read_scores(spark, str(tmp_path / "store"), "v1").count() == len({t or "" for _, t in rows})

@@ -10,7 +10,7 @@ from threadlens.sinks.threads import nest_entries, thread_json, write_thread_lin
 from threadlens.sources import threads as th
 from threadlens.sources.annotations import latest_annotations, read_annotations, read_written_annotations
 from threadlens.sources.titles import read_title_lists
-from threadlens.streaming.ingest import ingest_new
+from threadlens.streaming.ingest import ingest_new, read_rollups
 
 
 def _entry(i, **over):
@@ -209,9 +209,21 @@ def test_ingest_reads_each_file_once(spark, corpus, tmp_path):
     assert run() == 3
     _write(corpus, "later.json", {"scrape_info": {"input": "z"}, "entries": [_entry(50)]})
     assert run() == 4
+    # What the batches left gives the same tables as all entries, after each of them.
+    for name in ("even_later.json", "last.json"):
+        _write(corpus, name, {"scrape_info": {"input": name}, "entries": [_entry(len(name)), _entry(90 + len(name))]})
+        run()
+        rolled = read_rollups(spark, target)
+        entries = spark.read.parquet(f"{target}/entries")
+        dated = entries.filter("date IS NOT NULL").withColumn("year", F.year(F.to_timestamp("date")))
+        want = {tuple(r) for r in dated.groupBy("category", "year").count().collect()}
+        assert {tuple(r) for r in rolled["timeline"].collect()} == want
+        assert {tuple(r) for r in rolled["titles"].collect()} == {
+            tuple(r) for r in entries.groupBy("category").agg(F.count_distinct("title")).collect()}
+    assert run() == 8
     bad = spark.read.parquet(f"{target}/unreadable").collect()
     assert sorted(r.problem for r in bad) == ["EntriesNotList", "InvalidDataJSON"]
     # The same progress folder serves other targets and sources.
-    assert run(to=f"{tmp_path}/second") == 4
+    assert run(to=f"{tmp_path}/second") == 8
     _write(tmp_path / "other", "one.json", {"scrape_info": {"input": "o"}, "entries": [_entry(60)]})
-    assert run(source=tmp_path / "other") == 5
+    assert run(source=tmp_path / "other") == 9

@@ -25,7 +25,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.plans import reports
-from threadlens.session import JOB_SETTINGS
+from threadlens.session import JOB_SETTINGS, clear_paths
 from threadlens.sinks.tables import write_annotations, write_csv, write_typed
 from threadlens.sinks.threads import write_threads
 from threadlens.sources.threads import read_typed
@@ -116,7 +116,11 @@ def main(argv: list[str] | None = None) -> None:
     builder = SparkSession.builder.appName(f"threadlens-{args.job}")
     for key, value in JOB_SETTINGS.items():
         builder = builder.config(key, value)
-    run(builder.getOrCreate(), args)
+    spark = builder.getOrCreate()
+    try:
+        run(spark, args)
+    finally:
+        clear_paths(spark)
 
 
 if __name__ == "__main__":

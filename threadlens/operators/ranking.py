@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import bigrams, title_words
+from threadlens.operators import frequent
 from threadlens.operators.joins import top_per_group
 
 
-def _most_frequent(df: DataFrame, group: str, item: str, n: int) -> DataFrame:
+def _most_frequent(df: DataFrame, group: str, item: str, n: int, tracked: int | None = None) -> DataFrame:
+    """By counts of all items, or, given ``tracked``, by summaries of so many counters (``operators.frequent``)."""
+    if tracked:
+        return frequent.most_frequent(df, group, item, n, tracked)
     counted = df.groupBy(group, item).agg(F.count("*").alias("n"))
     return top_per_group(counted, [group], [F.desc("n"), F.asc(item)], n)
 
@@ -33,16 +37,16 @@ def author_samples(df: DataFrame, top: DataFrame, key: Column, n: int = 3, seed:
     return top_per_group(picked.withColumn("_draw", draw), ["author"], [F.col("_draw"), key], n).drop("_draw")
 
 
-def top_words(titles: DataFrame, group: str, n: int = 15) -> DataFrame:
+def top_words(titles: DataFrame, group: str, n: int = 15, tracked: int | None = None) -> DataFrame:
     """``titles`` are distinct (group, title, year) rows."""
     words = titles.select(group, F.explode(title_words(F.col("title"))).alias("word"))
-    return _most_frequent(words, group, "word", n)
+    return _most_frequent(words, group, "word", n, tracked)
 
 
-def top_bigrams(titles: DataFrame, group: str, n: int = 10) -> DataFrame:
+def top_bigrams(titles: DataFrame, group: str, n: int = 10, tracked: int | None = None) -> DataFrame:
     words = titles.select(group, title_words(F.col("title")).alias("w"))
     pairs = words.select(group, F.explode(bigrams(F.col("w"))).alias("bigram"))
-    return _most_frequent(pairs, group, "bigram", n)
+    return _most_frequent(pairs, group, "bigram", n, tracked)
 
 
 def extremes(df: DataFrame, group: str, score: str, key: str, n: int = 20) -> DataFrame:

@@ -154,11 +154,13 @@ def model_scores(
 
     @F.pandas_udf("label string, score double, status string")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        try:
-            scorer, status = load(), "ok"
-        except Exception as error:
-            scorer, status = None, f"{type(error).__name__}: {error}"
+        scorer, status = None, None
         for batch in batches:
+            if status is None:  # a task without rows loads no model
+                try:
+                    scorer, status = load(), "ok"
+                except Exception as error:
+                    scorer, status = None, f"{type(error).__name__}: {error}"
             values = batch.tolist()
             out: list[tuple[str | None, float | None]] = []
             for i in range(0, len(values), MODEL_BATCH):

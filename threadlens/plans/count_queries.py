@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.labels import half_even
 from threadlens.functions.text import snippet
-from threadlens.operators import frames, ranking, shape, summaries, timelines
+from threadlens.operators import frames, frequent, ranking, rollups, shape, summaries, timelines
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
 
@@ -68,6 +71,34 @@ def timeline(spark, sf):
     return timelines.timeline(_dated(spark, sf), "category")
 
 
+def _batches(rows):
+    """Three ingests of different sizes."""
+    dealt = F.pmod(F.xxhash64("entry_id"), F.lit(10))
+    return [rows.filter(dealt < 1), rows.filter((dealt >= 1) & (dealt < 4)), rows.filter(dealt >= 4)]
+
+
+@query("rolled_timeline", "SELECT category, year, count(*) AS entries FROM v_dated GROUP BY category, year", [v.V_DATED])
+def rolled_timeline(spark, sf):
+    """The timeline from what three batches left of themselves."""
+    parts = [rollups.year_counts(b, "category") for b in _batches(_dated(spark, sf))]
+    return rollups.rolled_timeline(reduce(DataFrame.unionByName, parts), "category")
+
+
+@query(
+    "rolled_titles",
+    "SELECT category, count(DISTINCT title) AS n_titles, true AS within_error FROM v_entries GROUP BY category",
+    [v.V_ENTRIES],
+)
+def rolled_titles(spark, sf):
+    """Distinct titles beside the estimate of three batches' sketches, which is to lie within four standard errors."""
+    rows = v.entries(spark, sf)
+    sketches = reduce(DataFrame.unionByName, [rollups.title_sketches(b, "category") for b in _batches(rows)])
+    both = summaries.titles_per_group(rows, "category").join(
+        rollups.rolled_titles(sketches, "category").withColumnRenamed("n_titles", "estimate"), "category")
+    error = F.abs(F.col("estimate") - F.col("n_titles")) <= 4 * rollups.TITLE_ERROR * F.col("n_titles") + 1
+    return both.select("category", "n_titles", error.alias("within_error"))
+
+
 def _cells(spark, sf):
     counted = timelines.labelled_timeline(_dated(spark, sf), "category", PRIORITIES, "label")
     return counted
@@ -209,6 +240,13 @@ def top_words(spark, sf):
     return ranking.top_words(_titles(spark, sf), "category")
 
 
+@query("top_words_bounded", SQL_TOP.format(group="category", item="word", source="v_word", n=15),
+       [v.V_POSTS, SQL_TITLES, SQL_WORDS])
+def top_words_bounded(spark, sf):
+    """The same words by summaries and a proof, with a shuffle that the number of distinct words does not bear on."""
+    return ranking.top_words(_titles(spark, sf), "category", tracked=frequent.TRACKED)
+
+
 @query("top_bigrams", SQL_TOP.format(group="category", item="bigram", source="v_bigram", n=10),
        [v.V_POSTS, SQL_TITLES, SQL_WORDS])
 def top_bigrams(spark, sf):

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.patterns import first_match
 from threadlens.operators import mentions, regression, scoring, summaries
+from threadlens.operators.score_store import stored_scores
 from threadlens.operators.shape import add_flags, keep_found
 from threadlens.plans import views as v
 from threadlens.plans.catalog import query
+from threadlens.session import new_path
 
 SQL_MARKER = v.sql_case("content", v.MENTIONS, at_word_start=True)
 SQL_MARKED = f"v_marked AS (SELECT *, {SQL_MARKER} AS marker, sentiment - 3 AS signed FROM v_posts)"
@@ -223,6 +225,23 @@ def model_score(spark, sf):
     return scored.drop("content", "model_status")
 
 
+@query(
+    "stored_model_score",
+    """
+    SELECT entry_id, CASE WHEN e + a = 0 THEN NULL WHEN a > e THEN 'negative' ELSE 'positive' END AS model_label,
+           abs(e - a) / nullif(e + a, 0) AS model_score
+    FROM v_counted""",
+    [v.V_ENTRIES, SQL_COUNTED],
+)
+def stored_model_score(spark, sf):
+    """Scores by way of the store: one category is scored first, then all of them, of which it is known already."""
+    store = new_path(spark, "scores")
+    rows = v.entries(spark, sf).select("entry_id", "category", "content")
+    options = {"load": load_vowel_scorer, "store": store, "version": "vowels-1", "max_chars": scoring.MODEL_TEXT_LENGTH}
+    stored_scores(rows.filter("category = 'en'"), **options)
+    return stored_scores(rows, **options).drop("content", "category")
+
+
 @query(
     "multi_model_score",
     """

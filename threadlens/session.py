@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -35,9 +37,15 @@ def local_session(app: str = "threadlens", cores: int | str = "*", memory: str =
     return builder.getOrCreate()
 
 
+_made: list[str] = []  # paths handed out by new_path and not cleared yet
+
+
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="threadlens-")
+    """For a local session without a checkpoint folder, as in tests; it goes when Python ends."""
+    folder = tempfile.mkdtemp(prefix="threadlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -54,8 +62,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder; ``clear_paths`` removes what was written there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def clear_paths(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this process. For the end of a job: tables read from them are gone, too."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

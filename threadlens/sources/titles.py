@@ -16,10 +16,10 @@ ENCODINGS = ("utf-8", "utf-16", "latin-1")
 
 @F.pandas_udf(StringType())
 def decode_bytes(raw: pd.Series) -> pd.Series:
-    """Text of a file in the first encoding that fits (Spark's own decode raises instead of falling through)."""
+    """Text of a file that is no UTF-8, in the first encoding that fits (Spark's own decode raises instead of falling through)."""
 
     def one(data):
-        for name in ENCODINGS:
+        for name in ENCODINGS[1:]:
             try:
                 return bytes(data).decode(name)
             except UnicodeDecodeError:
@@ -42,6 +42,9 @@ def clean_titles(lines: DataFrame, column: str) -> DataFrame:
 
 def read_title_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(path, pos, title)`` of every title; each file is one small list."""
-    files = spark.read.format("binaryFile").load(paths).select("path", decode_bytes("content").alias("text"))
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    plain = files.filter(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.col("content").cast("string").alias("text"))
+    other = files.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select("path", decode_bytes("content").alias("text"))
+    files = plain.unionByName(other)
     lines = files.select("path", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "title"))
     return clean_titles(lines, "title")
