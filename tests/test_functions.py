@@ -1,10 +1,13 @@
 import re
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadlens import config
 from threadlens.functions import dates, labels, patterns, text
 from threadlens.functions.register import register_functions
+from threadlens.operators import shape
 
 STAMPS = [
     "05.03.2023 04:10",
@@ -158,3 +161,24 @@ def test_sql_functions(spark):
                   clean_topics(array('\\tECON', 'x', 'HATE')) AS t"""
     ).first()
     assert (row.d, row.n, row.s, row.m, row.t) == ("2016-06-18 15:07", None, "untitled", "suriyeli", ["ECON", "HATE"])
+
+
+LETTERS = st.text("abcİıi.ş-]^", min_size=1, max_size=5)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.text("abcİIıiS.ş-]^ ", max_size=30), min_size=1, max_size=6), stems=st.lists(LETTERS, min_size=1, max_size=12))
+def test_one_pass_flags_are_the_single_ones(spark, texts, stems):
+    """Overlapping stems, stems within and before others, signs of regexes among the plain letters."""
+    lexicon = {f"f{i}": stems[i::3] for i in range(3) if stems[i::3]}
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "content string")
+    one, each = (shape.add_flags(df, "content", lexicon, one_pass=x).collect() for x in (True, False))
+    assert one == each
+
+
+def test_trie_takes_the_longest_stem():
+    words = ["a", "ab", "abcd", "b", "bc", "x.y", "x-z", "zz" * 2000]
+    pattern = re.compile(patterns.trie_pattern(words))
+    for text, want in (("abcx", "ab"), ("abcde", "abcd"), ("a", "a"), ("bcd", "bc"), ("x.yz", "x.y"), ("x-z", "x-z"), ("z" * 5000, "zz" * 2000)):
+        assert pattern.match(text).group() == want
+    assert pattern.match("xay") is None and pattern.match("zz") is None

@@ -7,9 +7,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.patterns import matches
+from threadlens.functions.patterns import flag_columns, matches, plain_stems, stem_hits
 from threadlens.functions.text import fold_case
 
+ONE_PASS_STEMS = 100
+
 
 def keep_found(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add ``value`` as ``name`` and drop the rows where it is null.
@@ -24,10 +26,19 @@ def keep_found(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def add_flags(
-    df: DataFrame, text: str, lexicon: Mapping[str, str | Iterable[str]], prefix: str = ""
+    df: DataFrame, text: str, lexicon: Mapping[str, str | Iterable[str]], prefix: str = "", one_pass: bool | None = None
 ) -> DataFrame:
-    """Add one boolean per lexicon name; the text is folded once for all of them."""
+    """Add one boolean per lexicon name; the text is folded once for all of them.
+
+    With ``one_pass`` the text is searched once for all plain stems together, else once for each; the flags
+    are the same. By default large lexicons, of ``ONE_PASS_STEMS`` stems or more, take one pass.
+    """
     folded = df.withColumn("_folded", fold_case(F.col(text)))
+    stems = plain_stems(lexicon)
+    if stems and (len(stems) >= ONE_PASS_STEMS if one_pass is None else one_pass):
+        found = folded.withColumn("_hits", stem_hits(F.col("_folded"), stems))
+        flags = flag_columns(F.col("_hits"), F.col("_folded"), lexicon)
+        return found.select(*df.columns, *[flag.alias(prefix + name) for name, flag in flags.items()])
     flags = [matches(F.col("_folded"), stems, folded=True).alias(prefix + name) for name, stems in lexicon.items()]
     return folded.select(*df.columns, *flags)
 

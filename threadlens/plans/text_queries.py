@@ -193,6 +193,13 @@ def frame_flags(spark, sf):
     return add_flags(v.entries(spark, sf).select("entry_id", "title"), "title", v.FRAMES).drop("title")
 
 
+@query("one_pass_flags", f"SELECT entry_id, {v.sql_flags('content', {**v.FRAMES, **v.CATALOGUE})} FROM v_entries", [v.V_ENTRIES])
+def one_pass_flags(spark, sf):
+    """All flags of whole texts from one search of the text for all stems."""
+    lexicon = {**v.FRAMES, **v.CATALOGUE}
+    return add_flags(v.entries(spark, sf).select("entry_id", "content"), "content", lexicon, one_pass=True).drop("content")
+
+
 @query(
     "entry_title_flags",
     f"""SELECT entry_id, {v.sql_flags('content', v.FRAMES, 'entry_')}, {v.sql_flags('title', v.FRAMES, 'title_')},
