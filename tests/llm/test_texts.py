@@ -410,3 +410,20 @@ def test_hot_line(spark):
         kept = [x for x, last in zip(lines, (599, i, min(599, i // 9 * 9 + 8))) if i == last]
         want.append((i, "\n".join(kept), 3 - len(kept)))
     assert got == sorted(want)
+
+
+def test_each_pair_is_verified_once(spark, monkeypatch):
+    """Near copies at several distances: no pair comes to verification twice, in either order."""
+    rng, rows = random.Random(2), []
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(9):
+            copy = list(words)
+            for _ in range(rng.randrange(7)):
+                copy[rng.randrange(60)] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    seen, verify = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (
+        seen.extend(tuple(r) for r in pairs.select("a", "b").collect()), verify(pairs, *rest))[1])
+    ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(seen) == len({frozenset(p) for p in seen}) > 50

@@ -13,8 +13,8 @@
    with a prefix of these alone is out. Only shared n-grams take part in intersections, so the
    kept ones are enough to verify with.
 4. Stars. In each bucket (classes that share a prefix n-gram) every class meets the bucket's
-   leader for its length. A class is verified against the few leaders it meets most, and links
-   make components. This is linear in the rows, also where a third of them are near copies.
+   leader for its length. A class is verified against the few leaders it meets most, each pair
+   once and never again later, and links make components. This is linear in the rows, also where a third of them are near copies.
 5. The rest, exactly. Buckets that still hold several components are joined: pairs of classes
    in different components that pass the length and the positional filter are formed once,
    pass the suffix filter (partitioned counts of the n-grams), and are verified once. Pairs
@@ -264,7 +264,8 @@ def _star_pairs(prefixes: DataFrame, leaders: int, turn: int, num: int, den: int
     met = rows.join(chosen, ["gram", "band"]).filter("class <> b").groupBy(F.col("class").alias("a"), "b").agg(
         F.count("*").alias("m"))
     best = Window.partitionBy("a").orderBy(F.desc("m"), "b")
-    return met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= leaders).select("a", "b")
+    chosen = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= leaders)
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _named(prefixes: DataFrame, components: DataFrame) -> DataFrame:
@@ -315,15 +316,18 @@ def near_duplicates(
     digest = materialise(digests(rows, size), "digests")
     sets = materialise(_sets(_replies(_packed(rows, size, parts), parts), num, den), "sets")
     prefixes = materialise(_prefixes(sets), "prefixes")
-    links = components = None
+    links = components = tried = None
     open_rows = prefixes
+    untried = lambda pairs: pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
     for turn in range(rounds):
-        found = materialise(_verified(_star_pairs(open_rows, leaders, turn, num, den), sets, num, den), "stars")
+        pairs = materialise(untried(_star_pairs(open_rows, leaders, turn, num, den)), "pairs")
+        found = materialise(_verified(pairs, sets, num, den), "stars")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         components = connected(links)
         links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
         open_rows = materialise(_named(prefixes, components), "mixed")
-    rest = _verified(_rest_pairs(open_rows, sets, num, den), sets, num, den)
+    rest = _verified(untried(_rest_pairs(open_rows, sets, num, den)), sets, num, den)
     components = connected(links.unionByName(rest))
     found = _labelled(digest, components)
     return found if keys else found.drop("text_hash", "group")
