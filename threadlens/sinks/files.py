@@ -60,7 +60,7 @@ class ThreadFileWriter(DataSourceArrowWriter):
         system, stage = file_system(self.stage)
         own = f"{stage}/open/{uuid.uuid4().hex}"
         system.create_dir(own, recursive=True)
-        name, last, out, files = None, None, None, 0
+        name, last, out, files, begun = None, None, None, 0, False
 
         def close() -> None:
             out.write(b"]}")
@@ -76,15 +76,14 @@ class ThreadFileWriter(DataSourceArrowWriter):
                         close()
                     if not file or file.startswith("/") or ".." in file.split("/"):
                         raise ValueError(f"{file!r} is no place below the target")
-                    name, last, files = file, None, files + 1
+                    name, last, files, begun = file, None, files + 1, False
                     out = system.open_output_stream(f"{own}/file")
                     out.write(info[:-1].encode() + (b"" if info == "{}" else b", ") + b'"entries": [')
                 elif part == last:
                     raise ValueError(f"two threads go to {file}")
                 inner = entries.strip()[1:-1].encode()
-                out.write((b", " if last is not None and inner and self.any else b"") + inner)
-                self.any = bool(inner) or (last is not None and self.any)
-                last = part
+                out.write((b", " if inner and begun else b"") + inner)
+                begun, last = begun or bool(inner), part
         if out is not None:
             close()
         system.delete_dir(own)
