@@ -12,8 +12,9 @@ whole. Each distinct word and each such text is also encoded by the sentencepiec
 ``parity`` says whether both agree on all of a text, and where they do not, the result has
 the ids of the sentencepiece library.
 
-Null texts are empty and have no ids. Each row is a document of its own, also where ids
-repeat or are null. Further columns are ignored.
+Null and empty texts have no ids; texts of any length are encoded whole. Each row is a document
+of its own, also where ids repeat or are null. An empty table gives an empty table. Further
+columns are ignored.
 """
 
 from __future__ import annotations

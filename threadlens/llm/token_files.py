@@ -5,8 +5,10 @@ place (``part``, ``part_start``), its documents and their lengths, and the encod
 (see ``dac``). Parts ascend with the ids of the documents, segments ascend in their part,
 and a segment holds whole documents, about ``segment_tokens`` tokens or one document.
 
-Null texts are empty documents and get the end id alone. Null ids come first, rows that
-repeat an id lie side by side, and further columns are ignored.
+Null and empty texts get the end id alone; a text of any length is one document of one segment.
+Null ids come first, and rows that repeat an id lie side by side (all rows of one id are written by
+one task, a segment at a time). An empty table gives files without a segment, which read as an empty
+table. Further columns are ignored.
 """
 
 from __future__ import annotations
