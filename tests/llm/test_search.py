@@ -39,6 +39,16 @@ def test_query(spark, sf):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain_search(rows)
 
 
+def test_query_matches_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = sorted(con.execute(queries.CHECKS["op13_top_search"]).fetchall())
+    got = queries.PLANS["op13_top_search"](spark, sf).select("query_id", "rank", "vec_id", "score")
+    assert sorted(tuple(r) for r in got.collect()) == want != []
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0], 1), (0, [1.0, 2.0], 1), (0, [-1.0, 0.5], None), (None, [3.0, 3.0], 1), (1, [3.0, 3.0], 1),

@@ -161,7 +161,20 @@ def periodic_run_table(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-@query("op13_top_search")
+TOP_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+best AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pair)
+SELECT query_id, rank, vec_id, score FROM best WHERE rank <= 10"""
+
+
+@query("op13_top_search", TOP_SQL)
 def best_matches(spark: SparkSession, sf: str) -> DataFrame:
     return top_search.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
