@@ -474,6 +474,29 @@ def test_frequent_items_are_exact_for_any_summary(spark, tracked):
     assert frequent.most_frequent(df.limit(0), "g", "w", 5, tracked).count() == 0
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_rows_of_a_large_group_do_not_meet_in_one_task(spark, threshold):
+    """Rows meet a broadcast before they are counted; without broadcasts counts meet parts of their groups."""
+    rng = random.Random(9)
+    rows = [("large", f"w{int(rng.paretovariate(0.8))}") for _ in range(5000)] + [("small", "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "g string, w string").repartition(6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = frequent.most_frequent(df, "g", "w", 5, 8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    counts = {g: Counter(w for at, w in rows if at == g) for g in ("large", "small", None)}
+    best = {g: sorted(c.items(), key=lambda x: (-x[1], x[0]))[:5] for g, c in counts.items()}
+    assert sorted(got, key=str) == sorted([(g, w, k, i + 1) for g in best for i, (w, k) in enumerate(best[g])], key=str)
+    lines = plan.splitlines()
+    semi = [i for i, line in enumerate(lines) if "LeftSemi" in line]
+    kinds = {("_part" in lines[i], "Broadcast" in lines[i], "HashAggregate" in "".join(lines[i:])) for i in semi}
+    assert kinds == ({(True, False, True)} if threshold == "-1" else {(True, True, False)})
+
+
 def test_score_store_meets_each_text_once(spark, tmp_path):
     """Copies are scored once, a second run loads no model, failures stay open, versions are apart."""
     log = tmp_path / "log"
